@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.ranking import cumulative_weight
+from .rows import once
 
 N_BINS = 5
 PAIR_LEFT, PAIR_RIGHT = 5, 6     # first features that enter pair products and ratios
@@ -112,7 +113,7 @@ def one_hot(x: str = "x") -> Column:
     """One column per quantile bin; a bin holds values from its lower edge up, the last is closed."""
     def block(b):
         place = F.size(F.filter(b["inner"], lambda e: e <= F.get(x, b["feature"])))
-        return F.transform(F.sequence(F.lit(0), F.size(b["inner"])), lambda j: (j == place).cast("double"))
+        return once(place, lambda p: F.transform(F.sequence(F.lit(0), F.size(b["inner"])), lambda j: (j == p).cast("double")))
 
     return F.flatten(F.transform("bins", block))
 

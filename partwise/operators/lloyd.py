@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -107,6 +108,15 @@ def run_lloyd(samples: DataFrame, fits: list[Fit], width: int, n_init: int = 1,
 
     ``samples``: group STRING, row_id, idx, val. An empty cluster keeps its old centre.
     """
+    # The rows are read once per round; keep them near the executors between rounds.
+    samples = samples.select("group", "row_id", "idx", "val").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _rounds(samples, fits, width, n_init, max_rounds, tol, seed)
+    finally:
+        samples.unpersist()
+
+
+def _rounds(samples, fits, width, n_init, max_rounds, tol, seed) -> dict[str, Fit]:
     live = initial_centres(samples, fits, width, n_init, seed)
     check_state(sum(len(f.centres) for f in live), width)
     narrow = samples.select("group", "idx", "val")

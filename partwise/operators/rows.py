@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed one time per row, not once per array element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cells_of(samples: DataFrame, *keep: str) -> DataFrame:
     """Explode sparse rows to (keep..., feature, value); row-local, no shuffle."""
     keep = keep or ("row_id",)
@@ -71,8 +76,8 @@ def row_norm(val: Column, norm: str) -> Column:
 def normalize(samples: DataFrame, norm: str = "l2") -> DataFrame:
     """Divide every row by its norm; an all-zero row stays as it is. Row-local, no shuffle."""
     size = row_norm(F.col("val"), norm)
-    scaled = samples.withColumn("__s", F.when(size == 0, 1.0).otherwise(size))
-    return scaled.withColumn("val", F.transform("val", lambda v: v / F.col("__s"))).drop("__s")
+    divisor = F.when(size == 0, 1.0).otherwise(size)
+    return samples.withColumn("val", once(divisor, lambda s: F.transform("val", lambda v: v / s)))
 
 
 def project_selected(cells: DataFrame, selection: DataFrame) -> DataFrame:

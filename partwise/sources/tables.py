@@ -17,14 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dense_samples(df: DataFrame, row_id, label, features) -> DataFrame:
-    """Samples from a dense ARRAY column; zero entries are left out."""
-    wide = df.select(row_id.alias("row_id"), label.cast("double").alias("label"),
+def dense_samples(df: DataFrame, row_id, label, features, **extra) -> DataFrame:
+    """Samples from a dense ARRAY column; zero entries are left out. ``extra`` columns are kept."""
+    more = [c.alias(name) for name, c in extra.items()]
+    wide = df.select(row_id.alias("row_id"), label.cast("double").alias("label"), *more,
                      F.transform(features, lambda v: v.cast("double")).alias("all_val"))
     kept = F.filter(F.transform(F.col("all_val"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))),
                     lambda c: c["v"] != 0)
-    packed = wide.select("row_id", "label", kept.alias("c"))
-    return packed.select("row_id", "label", F.col("c.i").alias("idx"), F.col("c.v").alias("val"))
+    packed = wide.select("row_id", "label", *extra, kept.alias("c"))
+    return packed.select("row_id", "label", *extra, F.col("c.i").alias("idx"), F.col("c.v").alias("val"))
 
 
 def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,10 @@ def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineitem_samples_with(table(spark, sf_dir, "lineitem"))
+
+
+def lineitem_samples_with(items: DataFrame, **extra) -> DataFrame:
     """Regression rows: price from quantity, discount, tax and line number.
 
     The table has no unique key, but whole rows differ, so the id is a digest of the row.
@@ -46,7 +51,7 @@ def lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
     features = F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"),
                        F.col("l_linenumber").cast("double"))
-    return dense_samples(table(spark, sf_dir, "lineitem"), digest, F.col("l_extendedprice"), features)
+    return dense_samples(items, digest, F.col("l_extendedprice"), features, **extra)
 
 
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
