@@ -242,7 +242,7 @@ def mutual_sql(points: str) -> str:
            "ln({n}) - 1 / (2.0 * {n}) - 1 / (12.0 * {n} * {n}) + 1 / (120.0 * {n} ** 4) - 1 / (252.0 * {n} ** 6) + 0.5772156649015329 END - 0.5772156649015329")
 
     def digamma(n):
-        return "(" + psi.format(n=n).replace("list_sum(list_transform", "coalesce(list_sum(list_transform").replace("1.0 / i))", "1.0 / i)), 0)") + ")"
+        return "(" + psi.format(n=f"({n})::BIGINT").replace("list_sum(list_transform", "coalesce(list_sum(list_transform").replace("1.0 / i))", "1.0 / i)), 0)") + ")"
 
     return f"""ls AS (SELECT cluster_id, label, count(*) AS nl FROM (SELECT DISTINCT cluster_id, row_id, label FROM {points}) GROUP BY ALL HAVING count(*) > 1),
 up AS (SELECT p.*, nl FROM {points} p JOIN ls USING (cluster_id, label)),

@@ -40,7 +40,9 @@ def rows_of(names, rows):
 def compare(con, spark, sf_dir, fn, sql):
     """(ok, message)"""
     df = fn(spark, sf_dir)
+    start = time.time()
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    took = time.time() - start
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
     want = rows_of(names, cur.fetchall())
@@ -51,7 +53,7 @@ def compare(con, spark, sf_dir, fn, sql):
     bad = [(a, b) for a, b in zip(got, want) if a != b]
     if bad:
         return False, f"{len(bad)} of {len(got)} rows differ, first {bad[0]}"
-    return True, f"{len(got)} rows"
+    return True, f"{len(got)} rows (spark {took:.1f}s)"
 
 
 if __name__ == "__main__":
