@@ -91,3 +91,28 @@ def project_selected(cells: DataFrame, selection: DataFrame) -> DataFrame:
     joined = cells.join(chosen, ["cluster_id", "feature"], "left").join(known, "cluster_id", "left")
     kept = joined.filter(F.col("out_feature").isNotNull() | F.col("known").isNull())
     return kept.withColumn("feature", F.coalesce("out_feature", "feature")).drop("out_feature", "known")
+
+
+def selection_map(selection: DataFrame) -> DataFrame:
+    """(cluster_id, out_of ARRAY<INT>): new column per old column, NULL where it was not chosen."""
+    top = selection.groupBy("cluster_id").agg(F.max("in_feature").alias("top"))
+    every = top.select("cluster_id", F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))).alias("in_feature"))
+    filled = every.join(selection.select("cluster_id", F.col("in_feature").cast("int").alias("in_feature"), "out_feature"),
+                        ["cluster_id", "in_feature"], "left")
+    return filled.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct(
+        "in_feature", F.col("out_feature").cast("int").alias("o"))))["o"].alias("out_of"))
+
+
+def apply_selection(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """Replay a per-cluster column choice on sparse rows in place; unknown clusters pass through."""
+    met = rows.join(maps, "cluster_id", "left")
+    moved = F.transform(F.arrays_zip("idx", "val"), lambda c: F.struct(F.get("out_of", c["idx"]).alias("i"), c["val"].alias("v")))
+    kept = met.withColumn("__c", F.when(F.col("out_of").isNotNull(), F.filter(moved, lambda c: c["i"].isNotNull())))
+    return kept.withColumn("idx", F.coalesce("__c.i", "idx")).withColumn("val", F.coalesce("__c.v", "val")).drop("__c", "out_of")
+
+
+def renumber(samples: DataFrame, kept: DataFrame) -> DataFrame:
+    """Apply a (feature, new_feature) list to sparse rows in place."""
+    maps = selection_map(kept.select(F.lit(0).alias("cluster_id"), F.col("feature").alias("in_feature"),
+                                     F.col("new_feature").alias("out_feature")))
+    return apply_selection(samples.withColumn("cluster_id", F.lit(0)), maps).drop("cluster_id")
