@@ -51,30 +51,30 @@ def text_rank(df: DataFrame, column: str, out: str, prefix: int = PREFIX) -> Dat
 
 def dense_index(df: DataFrame, key: str, out: str = "position", per_bucket: int = 1_000_000) -> DataFrame:
     """0-based position in ascending order of an integer key, from even key ranges."""
-    low = df.agg(F.min(key)).scalar()
-    span = df.agg((F.max(key) - F.min(key) + 1)).scalar()
-    buckets = df.agg(F.ceil(F.count("*") / F.lit(per_bucket))).scalar()
-    width = F.ceil(span / buckets)
+    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    if not n:
+        return df.withColumn(out, F.lit(0).cast("bigint"))
+    buckets = -(-n // per_bucket)
+    width = -(-(high - low + 1) // buckets)
     bucketed = df.withColumn("__b", F.floor((F.col(key) - low) / width))
     ranked = bucket_rank(bucketed, [], "__b", [F.col(key)], out)
     return ranked.withColumn(out, F.col(out).cast("bigint") - 1)
 
 
-def sample_threshold(df: DataFrame, keys: list, size: Column, seed, prefix: int = PREFIX) -> Column:
-    """Largest sort key of the exact ``size`` first rows in hash order, as a scalar subquery.
+def sample_threshold(df: DataFrame, keys: list, size: int, seed, prefix: int = PREFIX) -> Column:
+    """Largest sort key of the exact ``size`` first rows in hash order.
 
     Only bucket counts and the rows of one bucket are looked at, so choosing n of N rows
-    costs two narrow scans and no shuffle of the rows.
+    costs two narrow scans and no shuffle of the rows. The key itself is one short string.
     """
-    key = sort_key(keys, seed)
-    keyed = df.select(key.alias("k")).withColumn("b", F.substring("k", 1, prefix))
+    keyed = df.select(sort_key(keys, seed).alias("k")).withColumn("b", F.substring("k", 1, prefix))
     counts = keyed.groupBy("b").agg(F.count("*").alias("n"))
     running = counts.select("b", "n", F.sum("n").over(W.orderBy("b")).alias("upto"))
     edge = running.filter((F.col("upto") - F.col("n") < size) & (F.col("upto") >= size))
     inside = keyed.join(edge.select("b", (size - (F.col("upto") - F.col("n"))).alias("need")), "b")
     ranked = inside.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("k")))
-    # No bucket qualifies when size is 0: the empty string is below every key.
-    return F.coalesce(ranked.filter(F.col("r") == F.col("need")).agg(F.max("k")).scalar(), F.lit(""))
+    found = ranked.filter(F.col("r") == F.col("need")).agg(F.max("k")).first()[0]
+    return F.lit(found or "")       # size 0: the empty string is below every key
 
 
 def first_by_hash(df: DataFrame, groups: list[str], keys: list, k: int, seed, out: str = "rank",

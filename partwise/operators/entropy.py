@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .rows import remap
+
 BINS = 20
 
 
@@ -52,18 +55,9 @@ def continuous_features(cells: DataFrame, n_rows: Column, limit: float = 0.1) ->
     return stats.select("feature", (distinct / n_rows).alias("distinct_ratio"), (distinct / n_rows > limit).alias("continuous"))
 
 
-def feature_mask(features: DataFrame) -> Column:
-    """One boolean per feature 0..max, as a scalar: a row looks its entries up by position."""
-    top = features.agg(F.max("feature")).scalar()
-    every = features.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), top)).alias("feature"))
-    flagged = every.join(features.select("feature", F.lit(True).alias("on")), "feature", "left")
-    entry = F.struct("feature", F.coalesce("on", F.lit(False)).alias("on"))
-    return flagged.agg(F.sort_array(F.collect_list(entry))["on"]).scalar()
-
-
 def keep_subset(samples: DataFrame, features: DataFrame) -> DataFrame:
     """Cut sparse rows to a feature subset without moving them."""
-    mask = feature_mask(features)
-    entry = F.filter(F.arrays_zip("idx", "val"), lambda c: F.coalesce(F.get(mask, c["idx"]), F.lit(False)))
-    cut = samples.withColumn("__c", entry)
-    return cut.withColumn("idx", F.col("__c.idx")).withColumn("val", F.col("__c.val")).drop("__c")
+    chosen = features.select("feature").toPandas()["feature"].to_numpy(dtype=np.int64)
+    lookup = np.full(int(chosen.max()) + 1 if len(chosen) else 1, -1, dtype=np.int32)
+    lookup[chosen] = chosen
+    return remap(samples, lookup)

@@ -18,7 +18,9 @@ COLUMN_CHUNK = 1024
 
 
 def silhouette_sample(samples: DataFrame, size: int = SILHOUETTE_ROWS, seed: int = SEED) -> DataFrame:
-    limit = sample_threshold(samples, ["row_id"], samples.agg(F.least(F.count("*"), F.lit(size))).scalar(), seed)
+    if samples.count() <= size:
+        return samples
+    limit = sample_threshold(samples, ["row_id"], size, seed)
     return samples.filter(sort_key(["row_id"], seed) <= limit)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+MAX_LOOKUP_BYTES = 64 << 20
+
 
 def once(value: Column, use) -> Column:
     """``use(value)`` with the value computed one time per row, not once per array element."""
@@ -111,8 +115,38 @@ def apply_selection(rows: DataFrame, maps: DataFrame) -> DataFrame:
     return kept.withColumn("idx", F.coalesce("__c.i", "idx")).withColumn("val", F.coalesce("__c.v", "val")).drop("__c", "out_of")
 
 
+def remap(samples: DataFrame, lookup: np.ndarray) -> DataFrame:
+    """New column number per old one (-1 = drop), applied to sparse rows in place.
+
+    ``lookup`` has one INT per feature and travels with the task; it must keep the order.
+    """
+    if lookup.nbytes > MAX_LOOKUP_BYTES:
+        raise ValueError("too many features for a lookup; use keep_features on cells")
+
+    def run(batches):
+        for pdf in batches:
+            idx = pdf["idx"].to_list()
+            lengths = np.array([len(i) for i in idx], dtype=np.int64)
+            old = np.concatenate(idx).astype(np.int64) if lengths.sum() else np.empty(0, dtype=np.int64)
+            values = np.concatenate(pdf["val"].to_list()) if lengths.sum() else np.empty(0)
+            new = np.where(old < len(lookup), lookup[np.minimum(old, len(lookup) - 1)], -1)
+            keep = new >= 0
+            kept_per_row = np.bincount(np.repeat(np.arange(len(idx)), lengths)[keep], minlength=len(idx))
+            ends = np.cumsum(kept_per_row)[:-1]
+            yield pdf.assign(idx=np.split(new[keep].astype(np.int32), ends), val=np.split(values[keep], ends))
+
+    return samples.mapInPandas(run, samples.schema)
+
+
 def renumber(samples: DataFrame, kept: DataFrame) -> DataFrame:
-    """Apply a (feature, new_feature) list to sparse rows in place."""
-    maps = selection_map(kept.select(F.lit(0).alias("cluster_id"), F.col("feature").alias("in_feature"),
-                                     F.col("new_feature").alias("out_feature")))
-    return apply_selection(samples.withColumn("cluster_id", F.lit(0)), maps).drop("cluster_id")
+    """Apply a (feature, new_feature) list to sparse rows; beyond the lookup limit through a join."""
+    top = kept.agg(F.max("feature")).first()[0]
+    if top is not None and 4 * (int(top) + 1) > MAX_LOOKUP_BYTES:
+        packed = pack(keep_features(cells_of(samples), kept), ["row_id"])
+        others = [c for c in samples.columns if c not in ("idx", "val")]
+        return samples.select(*others).join(packed, "row_id", "left").withColumn(
+            "idx", F.coalesce("idx", F.array().cast("array<int>"))).withColumn("val", F.coalesce("val", F.array().cast("array<double>")))
+    rows = kept.select("feature", "new_feature").toPandas()
+    lookup = np.full(int(top) + 1 if top is not None else 1, -1, dtype=np.int32)
+    lookup[rows["feature"].to_numpy(dtype=np.int64)] = rows["new_feature"]
+    return remap(samples, lookup)

@@ -41,7 +41,7 @@ def flagship(spark, sf):
     samples = normalize(tb.embedding_samples(spark, sf))
     train, test = pf.split(samples)
     place = lambda df: FifoClusterer(4).fit_predict(df).withColumnRenamed("cluster", "cluster_id")
-    rows = place(train).withColumn("copy", F.lit(0))
+    rows = cut(place(train).withColumn("copy", F.lit(0)))
     params = svm.params_by_cluster(rows.select("cluster_id").distinct()).withColumn("kernel", F.lit("linear"))
     job = svm.SvmJob(rows, "clf")
     models = cut(job.train(params))
@@ -315,7 +315,7 @@ def end_to_end_reg(spark, sf):
 @query()
 def sweep_best_run(spark, sf):
     train, test = pf.split(tb.embedding_samples(spark, sf))
-    configs = sw.grid(Config("clf", clustering=True, method="fifo", defaults={"kernel": "linear"}), [None], [2, 4])
+    configs = sw.grid(Config("clf", clustering=True, method="fifo", k=2, defaults={"kernel": "linear"}), [None], [2, 4])
     return sw.best_runs(sw.sweep({"embeddings": (train, test)}, configs), "accuracy")
 
 

@@ -57,7 +57,7 @@ def write_report(report: DataFrame, path: str) -> None:
 
 def with_test_flag(samples: DataFrame, share: float = 0.2, seed: int = SEED) -> DataFrame:
     """Mark exactly ceil(share * n) rows as test rows, in hash order."""
-    size = samples.agg(F.ceil(F.lit(share) * F.count("*"))).scalar()
+    size = samples.agg(F.ceil(F.lit(share) * F.count("*"))).first()[0]
     limit = sample_threshold(samples, ["row_id"], size, seed)
     return samples.withColumn("is_test", sort_key(["row_id"], seed) <= limit)
 
@@ -69,7 +69,8 @@ def split(samples: DataFrame, share: float = 0.2, seed: int = SEED) -> tuple[Dat
 
 def fit_sample(samples: DataFrame, ratio: float = 0.1, threshold: int = 10_000, seed: int = SEED) -> DataFrame:
     """All rows up to the threshold, otherwise exactly int(n * ratio) rows in hash order."""
-    size = samples.agg(F.when(F.count("*") > threshold, F.floor(F.count("*") * ratio))
-                       .otherwise(F.count("*"))).scalar()
-    limit = sample_threshold(samples, ["row_id"], size, seed)
+    n = samples.count()
+    if n <= threshold:
+        return samples
+    limit = sample_threshold(samples, ["row_id"], int(n * ratio), seed)
     return samples.filter(sort_key(["row_id"], seed) <= limit)
