@@ -29,29 +29,33 @@ def digamma(n: Column) -> Column:
     return small.otherwise(series)
 
 
-def jittered(points: DataFrame, seed: int = SEED) -> DataFrame:
-    """Scale to unit deviation and break ties by a tiny seeded offset per row.
+def jittered(points: DataFrame) -> DataFrame:
+    """Scale to unit deviation and break ties by a tiny offset per row.
 
-    ``points``: cluster_id, feature, row_id, copy, label, value with zeros present.
+    ``points``: cluster_id, feature, label, value with zeros present, u = the row's draw in [0, 1).
     """
     keys = ["cluster_id", "feature"]
     scale = points.groupBy(*keys).agg(F.stddev_pop("value").alias("s"), F.avg(F.abs("value")).alias("a"))
     scale = scale.withColumn("s", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")))
     scale = scale.select(*keys, "s", (1e-10 * F.greatest(F.lit(1.0), F.col("a") / F.col("s"))).alias("tiny"))
-    noise = F.col("tiny") * (2 * hash_uniform(seed, "row_id", "copy") - 1)
-    return points.join(scale, keys).withColumn("v", F.col("value") / F.col("s") + noise).drop("s", "tiny", "value")
+    noise = F.col("tiny") * (2 * F.col("u") - 1)
+    return points.join(scale, keys).withColumn("v", F.col("value") / F.col("s") + noise).drop("s", "tiny", "value", "u")
 
 
-def dense_points(rows: DataFrame, shape: DataFrame) -> DataFrame:
-    """(cluster_id, row_id, copy, label, feature, value) with explicit zeros. ``shape``: cluster_id, d."""
+def dense_points(rows: DataFrame, shape: DataFrame, seed: int = SEED) -> DataFrame:
+    """(cluster_id, label, u, feature, value) with explicit zeros. ``shape``: cluster_id, d.
+
+    The draw u is made once per row, before the row is opened into its features.
+    """
     lookup = F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda j: F.coalesce(
         F.get("val", F.array_position("idx", j).cast("int") - 1), F.lit(0.0)))
     dense = F.when(F.size("idx") == F.col("d"), F.col("val")).otherwise(lookup)
-    return rows.join(shape.select("cluster_id", "d"), "cluster_id").select(
-        "cluster_id", "row_id", "copy", "label", F.posexplode(dense).alias("feature", "value"))
+    drawn = rows.join(shape.select("cluster_id", "d"), "cluster_id").select(
+        "cluster_id", "label", hash_uniform(seed, "row_id", "copy").alias("u"), dense.alias("x"))
+    return drawn.select("cluster_id", "label", "u", F.posexplode("x").alias("feature", "value"))
 
 
-def mutual_information(points: DataFrame, seed: int = SEED, per_bucket: int = 500_000) -> DataFrame:
+def mutual_information(points: DataFrame, per_bucket: int = 200_000) -> DataFrame:
     """(cluster_id, feature, score).
 
     Windows run over (cluster, feature) when no cluster exceeds ``per_bucket`` rows. Larger
@@ -60,38 +64,23 @@ def mutual_information(points: DataFrame, seed: int = SEED, per_bucket: int = 50
     """
     label_sizes = points.filter("feature = 0").groupBy("cluster_id", "label").agg(F.count("*").alias("n_label"))
     label_sizes = label_sizes.filter("n_label > 1")
-    used = points.join(label_sizes, ["cluster_id", "label"])
     largest = label_sizes.groupBy("cluster_id").agg(F.sum("n_label").alias("n")).agg(F.max("n")).first()[0] or 0
+    cut_up = largest > per_bucket
     keys = ["cluster_id", "feature"]
-    moved = jittered(used, seed)
-    cut = largest > per_bucket
-    if cut:
+    moved = jittered(points.join(label_sizes, ["cluster_id", "label"]))
+    if cut_up:
         bounds = with_bounds(moved, keys, "v", per_bucket)
-        moved = moved.join(bounds, keys, "left").withColumn("b", bucket_of(F.col("v"), F.col("bounds")))
+        moved = moved.join(bounds, keys, "left").withColumn("b", bucket_of(F.col("v"), F.col("bounds"))).drop("bounds")
+        near = _with_halo(_ranks(moved, keys, ["b"]), keys)
+        ranges = ["b"]
     else:
-        bounds = None
-        moved = moved.withColumn("b", F.lit(0))
-    before = _ranks(moved, keys, cut)
-    inside = W.partitionBy(*keys, "label", "b").orderBy("v", "row_id", "copy")
-    near = _with_halo(before, keys) if cut else before.withColumn("own", F.lit(True))
-    gaps = []
-    for i in range(1, NEIGHBOURS + 1):
-        for shift, side in ((F.lag, -1), (F.lead, 1)):
-            there = shift(F.struct("v", "lt", "le"), i).over(inside)
-            gaps.append(F.when(there.isNotNull(), F.struct(
-                F.abs(F.col("v") - there["v"]).alias("gap"), F.lit(side).alias("side"),
-                there["v"].alias("at"), there["lt"].alias("lt"), there["le"].alias("le"))))
-    k = F.least(F.lit(NEIGHBOURS), F.col("n_label") - 1).cast("int")
-    sorted_gaps = F.array_sort(F.filter(F.array(*gaps), lambda g: g.isNotNull()))
-    with_k = near.withColumn("k", k).withColumn("__g", sorted_gaps).filter("own").withColumn("g", F.get("__g", F.col("k") - 1))
-    # The neighbour's own rank bounds its side; only the mirrored point needs a lookup.
-    asked = with_k.select(*keys, "row_id", "copy", "v", "lt", "le", "n_label", "k", "g",
-                          (2 * F.col("v") - F.col("g.at")).alias("mirror"))
-    far = _count_at(moved, asked, keys, bounds)
-    m = (F.when(F.col("g.gap") == 0, F.col("le") - F.col("lt"))
-         .when(F.col("g.side") == -1, F.col("far") - F.col("g.le"))
-         .otherwise(F.col("g.lt") - F.col("far")))
-    scored = far.withColumn("m", m)
+        bounds, ranges = None, []
+        near = _ranks(moved, keys, []).withColumn("own", F.lit(True))
+    asked = _neighbour(near, keys, ranges)
+    far = _count_at(asked, keys, bounds)
+    m = (F.when(F.col("tied").isNotNull(), F.col("tied"))
+         .when(F.col("left"), F.col("far") - F.col("beside")).otherwise(F.col("beside") - F.col("far")))
+    scored = far.select(*keys, "k", "n_label", m.alias("m"))
     result = scored.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(digamma(F.col("k"))).alias("psi_k"),
         F.avg(digamma(F.col("n_label"))).alias("psi_l"), F.avg(digamma(F.col("m"))).alias("psi_m"))
@@ -99,30 +88,24 @@ def mutual_information(points: DataFrame, seed: int = SEED, per_bucket: int = 50
     return result.select(*keys, F.greatest(F.lit(0.0), score).alias("score"))
 
 
-def _offsets(moved: DataFrame, keys: list[str]) -> DataFrame:
-    counts = moved.groupBy(*keys, "b").agg(F.count("*").alias("__n"))
-    return counts.select(*keys, "b", (F.sum("__n").over(W.partitionBy(*keys).orderBy("b")) - F.col("__n")).alias("__before"))
-
-
-def _ranks(moved: DataFrame, keys: list[str], cut: bool) -> DataFrame:
+def _ranks(moved: DataFrame, keys: list[str], ranges: list[str]) -> DataFrame:
     """lt = rows with a smaller value, le = rows with a value not larger, within (cluster, feature)."""
-    inner = W.partitionBy(*keys, "b").orderBy("v")
-    less = F.rank().over(inner) - 1
-    upto = F.count("*").over(inner)      # default frame: peers included
-    base = moved.drop("bounds")
-    if not cut:
-        return base.withColumn("lt", less).withColumn("le", upto)
-    joined = base.join(_offsets(moved, keys), [*keys, "b"])
-    return joined.withColumn("lt", less + F.col("__before")).withColumn("le", upto + F.col("__before")).drop("__before")
+    inner = W.partitionBy(*keys, *ranges).orderBy("v")
+    ranked = moved.withColumn("lt", F.rank().over(inner) - 1).withColumn("le", F.count("*").over(inner))
+    if not ranges:
+        return ranked
+    counts = moved.groupBy(*keys, "b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*keys).orderBy("b")) - F.col("__n")
+    joined = ranked.join(counts.select(*keys, "b", before.alias("__before")), [*keys, "b"])
+    return joined.withColumn("lt", F.col("lt") + F.col("__before")).withColumn("le", F.col("le") + F.col("__before")).drop("__before")
 
 
 def _with_halo(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """Add to each range the nearest rows of the label from the next non-empty ranges."""
     group = [*keys, "label"]
-    up = W.partitionBy(*group, "b").orderBy("v", "row_id", "copy")
-    down = W.partitionBy(*group, "b").orderBy(F.col("v").desc(), F.col("row_id").desc(), F.col("copy").desc())
-    low = ranked.withColumn("__r", F.row_number().over(up)).filter(F.col("__r") <= NEIGHBOURS)
-    high = ranked.withColumn("__r", F.row_number().over(down)).filter(F.col("__r") <= NEIGHBOURS)
+    low = ranked.withColumn("__r", F.row_number().over(W.partitionBy(*group, "b").orderBy("v"))).filter(F.col("__r") <= NEIGHBOURS)
+    high = ranked.withColumn("__r", F.row_number().over(W.partitionBy(*group, "b").orderBy(F.col("v").desc()))).filter(
+        F.col("__r") <= NEIGHBOURS)
     ranges = ranked.groupBy(*group, "b").agg(F.count("*").alias("__n"))
     order = W.partitionBy(*group).orderBy("b")
     beside = ranges.select(
@@ -138,31 +121,53 @@ def _with_halo(ranked: DataFrame, keys: list[str]) -> DataFrame:
     return own.unionByName(lend(high, "later")).unionByName(lend(low, "earlier"))
 
 
-def _count_at(moved: DataFrame, asked: DataFrame, keys: list[str], bounds: DataFrame | None) -> DataFrame:
+def _neighbour(near: DataFrame, keys: list[str], ranges: list[str]) -> DataFrame:
+    """The k-th neighbour of every own row: which side, its rank there, and the mirrored value.
+
+    The neighbour's own rank bounds its side, so only the mirrored point needs a lookup.
+    """
+    inside = W.partitionBy(*keys, "label", *ranges).orderBy("v")
+    gaps = []
+    for i in range(1, NEIGHBOURS + 1):
+        for shift, left in ((F.lag, True), (F.lead, False)):
+            there, rank = shift("v", i).over(inside), shift("le" if left else "lt", i).over(inside)
+            gaps.append(F.when(there.isNotNull(), F.struct(
+                F.abs(F.col("v") - there).alias("gap"), F.lit(left).alias("left"), there.alias("at"), rank.alias("rank"))))
+    k = F.least(F.lit(NEIGHBOURS), F.col("n_label") - 1).cast("int")
+    found = near.select(*keys, *ranges, "v", "lt", "le", "n_label", "own", k.alias("k"),
+                        F.array_sort(F.filter(F.array(*gaps), lambda g: g.isNotNull())).alias("g"))
+    chosen = found.filter("own").withColumn("g", F.get("g", F.col("k") - 1))
+    return chosen.select(
+        *keys, *ranges, "v", "n_label", "k", F.col("g.left").alias("left"), F.col("g.rank").alias("beside"),
+        F.when(F.col("g.gap") == 0, F.col("le") - F.col("lt")).alias("tied"), (2 * F.col("v") - F.col("g.at")).alias("mirror"))
+
+
+def _count_at(asked: DataFrame, keys: list[str], bounds: DataFrame | None) -> DataFrame:
     """far = rows < mirror (neighbour on the left) or <= mirror (neighbour on the right).
 
-    Points and lookups are merged in value order and counted by one running sum: a strict
-    lookup stands before equal points, the other kind after them.
+    Every row stands twice in value order, as a point and as a lookup, and one running sum
+    counts: a strict lookup comes before equal points, the other kind after them.
     """
+    carried = ["n_label", "k", "left", "beside", "tied"]
+    ranges = []
     if bounds is not None:
-        asked = asked.join(bounds, keys, "left").withColumn("b", bucket_of(F.col("mirror"), F.col("bounds"))).drop("bounds")
-    else:
-        asked = asked.withColumn("b", F.lit(0))
-    queries = asked.select(*keys, "b", F.col("mirror").alias("at"),
-                           F.when(F.col("g.side") == -1, 0).otherwise(2).alias("kind"),
-                           F.struct("lt", "le", "n_label", "k", "g").alias("q"))
-    none = F.lit(None).cast(queries.schema["q"].dataType)
-    events = queries.unionByName(moved.select(*keys, "b", F.col("v").alias("at"), F.lit(1).alias("kind"), none.alias("q")))
-    running = F.sum((F.col("kind") == 1).cast("bigint")).over(
-        W.partitionBy(*keys, "b").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
+        ranges = ["b"]
+        asked = asked.join(bounds, keys, "left").withColumn("mb", bucket_of(F.col("mirror"), F.col("bounds"))).drop("bounds")
+    both = F.array(
+        F.struct(F.col("v").alias("at"), F.lit(1).alias("kind"), *([F.col("b").alias("b")] if ranges else [])),
+        F.struct(F.col("mirror").alias("at"), F.when(F.col("left"), 0).otherwise(2).alias("kind"),
+                 *([F.col("mb").alias("b")] if ranges else [])))
+    events = asked.select(*keys, *carried, F.explode(both).alias("e")).select(*keys, *carried, "e.*")
+    is_point = (F.col("kind") == 1).cast("bigint")
+    running = F.sum(is_point).over(W.partitionBy(*keys, *ranges).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
     counted = events.withColumn("far", running).filter("kind != 1")
-    if bounds is not None:
+    if ranges:
         # Ranges that only hold lookups take the offset of the points below them.
-        points = events.groupBy(*keys, "b").agg(F.sum((F.col("kind") == 1).cast("bigint")).alias("__n"))
-        order = W.partitionBy(*keys).orderBy("b")
-        walk = points.select(*keys, "b", (F.sum("__n").over(order) - F.col("__n")).alias("__before"))
-        counted = counted.join(walk, [*keys, "b"]).withColumn("far", F.col("far") + F.col("__before")).drop("__before")
-    return counted.select(*keys, "far", "q.lt", "q.le", "q.n_label", "q.k", "q.g")
+        points = events.groupBy(*keys, "b").agg(F.sum(is_point).alias("__n"))
+        before = F.sum("__n").over(W.partitionBy(*keys).orderBy("b")) - F.col("__n")
+        counted = counted.join(points.select(*keys, "b", before.alias("__before")), [*keys, "b"]).withColumn(
+            "far", F.col("far") + F.col("__before"))
+    return counted.select(*keys, *carried, "far")
 
 
 def quantile_label(rows: DataFrame, bins: int = 10, per_bucket: int = 1_000_000) -> DataFrame:

@@ -25,6 +25,7 @@ from ..functions import kernels as kn
 from ..functions.dense import dense_block
 from ..functions.hashing import SEED, hash_int
 from ..functions.ranking import first_by_hash, hash_rank
+from ..session import cut
 
 BLOCK_ROWS = 8192
 BLOCK_CELLS = 2_000_000
@@ -53,7 +54,7 @@ def assign_folds(rows: DataFrame, cv: int, task: str, seed: int = SEED) -> DataF
     return ranked.withColumn("fold", ((F.col("__r") - 1) % F.col("n_folds")).cast("int")).drop("__r")
 
 
-def pack_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
+def pack_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = SEED, with_ids: bool = True) -> DataFrame:
     """Blocks of at most about ``block_rows`` rows of one cluster, with the cluster's totals.
 
     cluster_id, block, blocks, d, variance, classes (NULL for many values), and per row arrays.
@@ -72,11 +73,12 @@ def pack_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = SEED)
         F.ceil(F.col("__n") / size).cast("int").alias("blocks"))
     keyed = [F.col("row_id")] + ([F.col("copy")] if "copy" in extra else [])
     salted = rows.join(stats, "cluster_id").withColumn("block", (hash_int(seed, F.lit("block"), *keyed) % F.col("blocks")).cast("int"))
-    gathered = salted.groupBy("cluster_id", "block", "blocks", "n_cluster", "d", "variance").agg(
-        F.collect_list(F.struct("row_id", "label", "idx", "val", *extra)).alias("e"))
+    # An explicit number keeps the blocks apart: they are few, but each is work for a task.
+    gathered = _spread(salted, "cluster_id", "block").groupBy("cluster_id", "block", "blocks", "n_cluster", "d", "variance").agg(
+        F.collect_list(F.struct(*(["row_id"] if with_ids else []), "label", "idx", "val", *extra)).alias("e"))
     return gathered.select(
         "cluster_id", "block", "blocks", "n_cluster", "d", "variance",
-        F.col("e.row_id").alias("row_id"), F.col("e.label").alias("label"),
+        *([F.col("e.row_id").alias("row_id")] if with_ids else []), F.col("e.label").alias("label"),
         F.transform("e", lambda r: F.size(r["idx"])).alias("lengths"),
         F.flatten("e.idx").alias("idx"), F.flatten("e.val").alias("val"),
         *[F.col(f"e.{c}").alias(c) for c in extra if c != "copy"])
@@ -217,7 +219,7 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     """Blocks are few and heavy: give the tasks an even share of them."""
     parallel = df.sparkSession.sparkContext.defaultParallelism
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(parallel, wanted) * 2, *keys)
+    return df.repartition(max(parallel, wanted), *keys)
 
 
 class SvmJob:
@@ -230,11 +232,12 @@ class SvmJob:
                  max_rounds: int = 50, seed: int = SEED):
         if task not in ("clf", "reg"):
             raise ValueError(f"task must be clf or reg, not {task!r}")
+        self.task, self.max_rounds = task, max_rounds
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         if rows.filter(F.col("label").isNull()).limit(1).count():
             raise ValueError("every row needs a label")
-        self.task, self.max_rounds = task, max_rounds
-        self.marks = landmark_table(rows, landmarks, seed)
-        packed = pack_blocks(rows, block_rows, seed).join(self.marks, "cluster_id", "left")
+        self.marks = cut(landmark_table(rows, landmarks, seed))
+        packed = pack_blocks(rows, block_rows, seed, with_ids=False).join(self.marks, "cluster_id", "left")
         # Read once per round or trial table; losing a copy only costs packing it again.
         self.blocks = packed.persist(StorageLevel.MEMORY_AND_DISK)
         large = self.blocks.filter("blocks > 1").groupBy("cluster_id").agg(
@@ -246,6 +249,7 @@ class SvmJob:
             seen = self.blocks.filter("blocks > 1").select("cluster_id", F.explode(F.array_distinct("label")).alias("label"))
             for r in seen.groupBy("cluster_id").agg(F.sort_array(F.collect_set("label")).alias("c")).collect():
                 self.classes[r["cluster_id"]] = r["c"]
+        rows.unpersist()
 
     def release(self) -> None:
         self.blocks.unpersist()

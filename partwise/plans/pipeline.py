@@ -161,7 +161,7 @@ class Pipeline:
         if c.mutual_info:
             work = cut(work)
             target = work if c.task == "clf" else mi.quantile_label(work)
-            scores = mi.mutual_information(mi.dense_points(target, columns), c.seed)
+            scores = mi.mutual_information(mi.dense_points(target, columns, c.seed))
             chosen = cut(mi.select_features(scores, c.mutual_percent, c.min_features))
             self.tables["feature_stats"] = chosen
             work, columns = self._select(work, ind.as_selection(chosen), columns)

@@ -36,3 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="partwise-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores to all cores.
+
+    Matters for a table stored as a single row group; a scan of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

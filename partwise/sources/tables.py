@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import text_rank
 from ..operators.rows import pack
+from ..session import spread_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def dense_samples(df: DataFrame, row_id, label, features, **extra) -> DataFrame:
     """Samples from a dense ARRAY column; zero entries are left out. ``extra`` columns are kept."""
     more = [c.alias(name) for name, c in extra.items()]
-    wide = df.select(row_id.alias("row_id"), label.cast("double").alias("label"), *more,
+    wide = spread_scan(df).select(row_id.alias("row_id"), label.cast("double").alias("label"), *more,
                      F.transform(features, lambda v: v.cast("double")).alias("all_val"))
     kept = F.filter(F.transform(F.col("all_val"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))),
                     lambda c: c["v"] != 0)
@@ -75,7 +76,7 @@ def token_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = documents.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    tokens = labelled.select(F.col("doc_id").alias("row_id"),
+    tokens = spread_scan(labelled).select(F.col("doc_id").alias("row_id"),
                              F.explode(F.split(F.lower("text"), r"\s+")).alias("token"))
     return tokens.filter(F.col("token") != "").groupBy("row_id", "token").agg(F.count("*").alias("n"))
 
