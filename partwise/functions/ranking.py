@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .hashing import hash_key, hash_uniform
+from .hashing import hash_key
 
 PREFIX = 4           # hex digits: 65,536 buckets per group
 MAX_BOUNDS = 511     # boundaries per group of a value bucketing
@@ -101,13 +101,14 @@ def sort_key(keys: list, seed) -> Column:
 def with_bounds(df: DataFrame, groups: list[str], value: str, per_bucket: int) -> DataFrame:
     """Repeatable range boundaries per group, drawn from the group's own values.
 
-    Groups up to ``per_bucket`` rows get none. The draw is a hash of the row's value, so it
-    is the same however often the plan is evaluated. At most about 512 are kept per group.
+    Groups up to ``per_bucket`` rows get none. The draw is a hash of the value, so it is the
+    same however often the plan is evaluated. At most about 512 are kept per group.
     """
     sizes = df.groupBy(*groups).agg(F.count("*").alias("__n"))
     wanted = F.least(F.col("__n") / F.lit(float(per_bucket)), F.lit(MAX_BOUNDS * 0.8))
-    large = sizes.filter(F.col("__n") > per_bucket)
-    drawn = df.join(large, groups).filter(hash_uniform("bound", *groups, value) < wanted / F.col("__n"))
+    large = sizes.filter(F.col("__n") > per_bucket).select(*groups, (wanted / F.col("__n")).alias("__share"))
+    uniform = F.pmod(F.xxhash64(*groups, value), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = df.join(large, groups).filter(uniform < F.col("__share"))
     return drawn.groupBy(*groups).agg(F.sort_array(F.collect_set(value)).alias("bounds"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.ranking import cumulative_weight
+from ..session import cut, small
 from .rows import once
 
 N_BINS = 5
@@ -86,10 +87,10 @@ def quantile_edges(cells: DataFrame, top: DataFrame, n_bins: int = N_BINS, per_b
 def fit_construction(cells: DataFrame, shape: DataFrame, ratio: float = 0.1, n_bins: int = N_BINS,
                      per_bucket: int = 1_000_000) -> DataFrame:
     """State per cluster: d, mean[], std[], and for binned features feature, inner edges, first column."""
-    stats = column_stats(cells, shape)
+    stats = cut(column_stats(cells, shape))
     moments = stats.groupBy("cluster_id", "n", "d").agg(
         F.sort_array(F.collect_list(F.struct("feature", "mean", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")).alias("std")))).alias("s"))
-    top = range_rank(stats, ratio)
+    top = small(range_rank(stats, ratio))
     edges = top.join(quantile_edges(cells, top, n_bins, per_bucket), ["cluster_id", "feature"])
     inner = F.when(F.size("edges") > 2, F.slice("edges", 2, F.size("edges") - 2)).otherwise(F.array().cast("array<double>"))
     binned = edges.select("cluster_id", F.struct("rank", "feature", inner.alias("inner")).alias("b"))

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.hashing import SEED, hash_uniform
 from ..functions.ranking import bucket_of, with_bounds
+from ..session import cut, small
 
 NEIGHBOURS = 3
 EULER = 0.5772156649015329
@@ -42,32 +43,31 @@ def jittered(points: DataFrame) -> DataFrame:
     return points.join(scale, keys).withColumn("v", F.col("value") / F.col("s") + noise).drop("s", "tiny", "value", "u")
 
 
-def dense_points(rows: DataFrame, shape: DataFrame, seed: int = SEED) -> DataFrame:
-    """(cluster_id, label, u, feature, value) with explicit zeros. ``shape``: cluster_id, d.
-
-    The draw u is made once per row, before the row is opened into its features.
-    """
+def dense_rows(rows: DataFrame, shape: DataFrame, seed: int = SEED) -> DataFrame:
+    """(cluster_id, label, u, x) with zeros written out; u is the row's draw in [0, 1)."""
     lookup = F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda j: F.coalesce(
         F.get("val", F.array_position("idx", j).cast("int") - 1), F.lit(0.0)))
     dense = F.when(F.size("idx") == F.col("d"), F.col("val")).otherwise(lookup)
-    drawn = rows.join(shape.select("cluster_id", "d"), "cluster_id").select(
+    return rows.join(small(shape.select("cluster_id", "d")), "cluster_id").select(
         "cluster_id", "label", hash_uniform(seed, "row_id", "copy").alias("u"), dense.alias("x"))
-    return drawn.select("cluster_id", "label", "u", F.posexplode("x").alias("feature", "value"))
 
 
-def mutual_information(points: DataFrame, per_bucket: int = 200_000) -> DataFrame:
-    """(cluster_id, feature, score).
+def mutual_information(rows: DataFrame, shape: DataFrame, seed: int = SEED, per_bucket: int = 500_000) -> DataFrame:
+    """(cluster_id, feature, score) of rows cluster_id, row_id, copy, label, idx, val.
 
-    Windows run over (cluster, feature) when no cluster exceeds ``per_bucket`` rows. Larger
-    clusters are cut into value ranges: rows keep their neighbours across a cut because each
-    range also receives the nearest three rows of its label from the ranges beside it.
+    ``shape``: cluster_id, d. Windows run over (cluster, feature) when no cluster exceeds
+    ``per_bucket`` rows. Larger clusters are cut into value ranges: rows keep their neighbours
+    across a cut because each range also receives the nearest three rows of its label from the
+    ranges beside it.
     """
-    label_sizes = points.filter("feature = 0").groupBy("cluster_id", "label").agg(F.count("*").alias("n_label"))
-    label_sizes = label_sizes.filter("n_label > 1")
+    dense = cut(dense_rows(rows, shape, seed))
+    label_sizes = small(dense.groupBy("cluster_id", "label").agg(F.count("*").alias("n_label")).filter("n_label > 1"))
     largest = label_sizes.groupBy("cluster_id").agg(F.sum("n_label").alias("n")).agg(F.max("n")).first()[0] or 0
     cut_up = largest > per_bucket
+    points = dense.join(label_sizes, ["cluster_id", "label"]).select(
+        "cluster_id", "label", "n_label", "u", F.posexplode("x").alias("feature", "value"))
     keys = ["cluster_id", "feature"]
-    moved = jittered(points.join(label_sizes, ["cluster_id", "label"]))
+    moved = jittered(points)
     if cut_up:
         bounds = with_bounds(moved, keys, "v", per_bucket)
         moved = moved.join(bounds, keys, "left").withColumn("b", bucket_of(F.col("v"), F.col("bounds"))).drop("bounds")
@@ -176,7 +176,7 @@ def quantile_label(rows: DataFrame, bins: int = 10, per_bucket: int = 1_000_000)
 
     cells = rows.select("cluster_id", F.lit(0).alias("feature"), F.col("label").alias("value"))
     top = rows.groupBy("cluster_id").agg(F.count("*").alias("n")).withColumn("feature", F.lit(0))
-    edges = quantile_edges(cells, top, bins, per_bucket).select("cluster_id", "edges")
+    edges = small(quantile_edges(cells, top, bins, per_bucket).select("cluster_id", "edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     place = F.size(F.filter(inner, lambda e: e <= F.col("label"))).cast("double")
     return rows.join(edges, "cluster_id").withColumn("label", place).drop("edges")

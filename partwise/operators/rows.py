@@ -108,7 +108,10 @@ def selection_map(selection: DataFrame) -> DataFrame:
 
 
 def apply_selection(rows: DataFrame, maps: DataFrame) -> DataFrame:
-    """Replay a per-cluster column choice on sparse rows in place; unknown clusters pass through."""
+    """Replay a per-cluster column choice on sparse rows in place; unknown clusters pass through.
+
+    ``maps`` comes from ``small(selection_map(...))``.
+    """
     met = rows.join(maps, "cluster_id", "left")
     moved = F.transform(F.arrays_zip("idx", "val"), lambda c: F.struct(F.get("out_of", c["idx"]).alias("i"), c["val"].alias("v")))
     kept = met.withColumn("__c", F.when(F.col("out_of").isNotNull(), F.filter(moved, lambda c: c["i"].isNotNull())))

@@ -25,7 +25,7 @@ from ..functions import kernels as kn
 from ..functions.dense import dense_block
 from ..functions.hashing import SEED, hash_int
 from ..functions.ranking import first_by_hash, hash_rank
-from ..session import cut
+from ..session import small
 
 BLOCK_ROWS = 8192
 BLOCK_CELLS = 2_000_000
@@ -50,7 +50,7 @@ def assign_folds(rows: DataFrame, cv: int, task: str, seed: int = SEED) -> DataF
         counts = rows.groupBy("cluster_id").agg(F.count("*").alias("n"))
         folds = counts.select("cluster_id", F.greatest(F.lit(2), F.least(F.lit(cv), F.floor(F.col("n") / 2))).cast("int").alias("n_folds"))
         groups = ["cluster_id"]
-    ranked = hash_rank(rows.join(folds, "cluster_id"), groups, keyed, seed, out="__r")
+    ranked = hash_rank(rows.join(small(folds), "cluster_id"), groups, keyed, seed, out="__r")
     return ranked.withColumn("fold", ((F.col("__r") - 1) % F.col("n_folds")).cast("int")).drop("__r")
 
 
@@ -71,6 +71,7 @@ def pack_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = SEED,
         "cluster_id", F.col("__n").alias("n_cluster"), "d",
         (F.col("__q") / cells - F.pow(F.col("__s") / cells, 2)).alias("variance"),
         F.ceil(F.col("__n") / size).cast("int").alias("blocks"))
+    stats = small(stats)
     keyed = [F.col("row_id")] + ([F.col("copy")] if "copy" in extra else [])
     salted = rows.join(stats, "cluster_id").withColumn("block", (hash_int(seed, F.lit("block"), *keyed) % F.col("blocks")).cast("int"))
     # An explicit number keeps the blocks apart: they are few, but each is work for a task.
@@ -236,7 +237,7 @@ class SvmJob:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         if rows.filter(F.col("label").isNull()).limit(1).count():
             raise ValueError("every row needs a label")
-        self.marks = cut(landmark_table(rows, landmarks, seed))
+        self.marks = small(landmark_table(rows, landmarks, seed))
         packed = pack_blocks(rows, block_rows, seed, with_ids=False).join(self.marks, "cluster_id", "left")
         # Read once per round or trial table; losing a copy only costs packing it again.
         self.blocks = packed.persist(StorageLevel.MEMORY_AND_DISK)
@@ -255,7 +256,7 @@ class SvmJob:
         self.blocks.unpersist()
 
     def _small(self, params: DataFrame, cross: bool, schema: str, per_task: int) -> DataFrame:
-        joined = self.blocks.filter("blocks = 1").join(pack_params(params, per_task), "cluster_id")
+        joined = self.blocks.filter("blocks = 1").join(small(pack_params(params, per_task)), "cluster_id")
         return _spread(joined, "cluster_id", "part").mapInPandas(_local_kernel(self.task, cross, self.max_rounds), schema)
 
     def train(self, params: DataFrame) -> DataFrame:
@@ -438,7 +439,7 @@ def predict(rows: DataFrame, models: DataFrame, params: DataFrame, shape: DataFr
     check_routes(rows, models)
     state = pack_models(models, params, marks).join(shape.select("cluster_id", F.col("d").alias("train_d"), F.col("variance").alias("train_variance")), "cluster_id")
     blocks = pack_blocks(rows.select("cluster_id", "row_id", "label", "idx", "val"), block_rows)
-    met = blocks.join(state, "cluster_id").drop("variance").withColumnRenamed("train_variance", "variance")
+    met = blocks.join(small(state), "cluster_id").drop("variance").withColumnRenamed("train_variance", "variance")
     kind = rows.schema["row_id"].dataType.simpleString()
     out = f"row_id {kind}, cluster_id int, trial int, label double, prediction double"
     return _spread(met, "cluster_id", "block").mapInPandas(_predict_kernel(task, kind), out)
@@ -451,7 +452,8 @@ def train_shape(blocks: DataFrame) -> DataFrame:
 def _score_large(blocks: DataFrame, models: DataFrame, params: DataFrame, task: str) -> DataFrame:
     entry = F.struct("trial", "fold", "class_pos", "class_neg", "weights")
     packed = models.filter(F.col("weights").isNotNull()).groupBy("cluster_id").agg(F.collect_list(entry).alias("models"))
-    met = blocks.join(packed, "cluster_id").join(pack_params(params, 1 << 30).drop("part"), "cluster_id")
+    state = packed.join(pack_params(params, 1 << 30).drop("part"), "cluster_id")
+    met = blocks.join(small(state), "cluster_id")
     sums = [F.sum(c).alias(c) for c in ("n", "hits", "sse", "sum_y", "sum_yy")]
     return met.mapInPandas(_held_out_kernel(task), SCORE).groupBy("cluster_id", "trial", "fold").agg(*sums)
 

@@ -271,7 +271,7 @@ pts AS (SELECT cluster_id, feature, row_id, len(list_filter(e[2:len(e) - 1], lam
 
 
 def _mutual(rows):
-    return mi.mutual_information(mi.dense_points(rows, ct.shapes(rows)))
+    return mi.mutual_information(rows, ct.shapes(rows))
 
 
 @query(f"WITH {EMB_POINTS}, {mutual_sql('pts')} SELECT cluster_id, feature, {rnd('score')} AS score FROM mi")

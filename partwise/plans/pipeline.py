@@ -18,7 +18,7 @@ from ..operators import rows as rw
 from ..operators import svm, tuning, wrapper
 from ..operators.balance import balance
 from ..operators.cascade import CLUSTER_CAP, CascadeClusterer
-from ..session import cut
+from ..session import cut, small
 
 
 @dataclass
@@ -133,7 +133,7 @@ class Pipeline:
 
     def _select(self, work: DataFrame, selection: DataFrame, columns: DataFrame):
         """Record a fitted column choice and apply it. A cluster without any choice keeps its columns."""
-        maps = cut(rw.selection_map(selection))
+        maps = small(rw.selection_map(selection))
         self._replay.append(lambda rows: rw.apply_selection(rows, maps))
         own = selection.groupBy("cluster_id").agg(F.count("*").cast("int").alias("own"))
         widths = columns.join(own, "cluster_id", "left").select("cluster_id", F.coalesce("own", "d").alias("d"))
@@ -155,13 +155,13 @@ class Pipeline:
             self.tables["independence_scores"] = chosen
             work, columns = self._select(work, ind.as_selection(chosen), columns)
         if c.construction:
-            state = cut(ct.fit_construction(cells(), ct.shapes(work, columns), c.discretize_ratio))
+            state = small(ct.fit_construction(cells(), ct.shapes(work, columns), c.discretize_ratio))
             self._replay.append(lambda rows: ct.construct(rows, state))
             work, columns = ct.construct(work, state), cut(ct.constructed_width(state))
         if c.mutual_info:
             work = cut(work)
             target = work if c.task == "clf" else mi.quantile_label(work)
-            scores = mi.mutual_information(mi.dense_points(target, columns, c.seed))
+            scores = mi.mutual_information(target, columns, c.seed)
             chosen = cut(mi.select_features(scores, c.mutual_percent, c.min_features))
             self.tables["feature_stats"] = chosen
             work, columns = self._select(work, ind.as_selection(chosen), columns)

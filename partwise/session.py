@@ -6,6 +6,8 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def local_session(cores: str = "8", name: str = "partwise") -> SparkSession:
@@ -45,3 +47,16 @@ def spread_scan(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def small(state: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A fitted state table for the small side of a join: materialised, measured, and marked
+    for broadcast if it is within ``limit``. Beyond it Spark joins by shuffle and splits skewed keys.
+    """
+    state = cut(state)
+    cells = [F.coalesce(F.size(f.name), F.lit(0)) if isinstance(f.dataType, ArrayType) else F.lit(1) for f in state.schema.fields]
+    total = state.agg(F.sum(sum(cells, F.lit(0)) * 16)).first()[0] or 0
+    return F.broadcast(state) if total <= limit else state
