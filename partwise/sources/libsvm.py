@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index
@@ -19,10 +19,9 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
     return parts.select("line", F.col("p")[0].cast("double").alias("label"), entries.alias("c"))
 
 
-def lowest_index(spark: SparkSession, *paths: str) -> Column:
+def lowest_index(spark: SparkSession, *paths: str) -> int:
     """0 if any of the files uses index 0, else 1. Looked up over all files together."""
-    first = _parsed(spark, list(paths)).agg(F.min(F.array_min("c.i"))).scalar()
-    return F.when(first == 0, F.lit(0)).otherwise(F.lit(1))
+    return 0 if _parsed(spark, list(paths)).agg(F.min(F.array_min("c.i"))).first()[0] == 0 else 1
 
 
 def read_libsvm(spark: SparkSession, path: str, base: int | str = "auto", with_files: tuple[str, ...] = ()) -> DataFrame:
@@ -31,7 +30,7 @@ def read_libsvm(spark: SparkSession, path: str, base: int | str = "auto", with_f
     ``base`` is 0, 1 or "auto"; auto also looks at ``with_files`` so that the train and test
     part of one dataset agree. ``row_id`` follows the line order.
     """
-    shift = lowest_index(spark, path, *with_files) if base == "auto" else F.lit(int(base))
+    shift = lowest_index(spark, path, *with_files) if base == "auto" else int(base)
     nonzero = F.filter("c", lambda e: e["v"] != 0)
     rows = dense_index(_parsed(spark, path), "line", "row_id")
     return rows.select("row_id", "label", nonzero.alias("c")).select(
