@@ -24,14 +24,18 @@ def overall(result, metric):
 def test_full_classification_run(spark, data, tmp_path):
     config = Config("clf", clustering=True, k=2, cascade=True, cap=100, entropy_ratio=0.8, balance=True, independence=True,
                     construction=True, mutual_info=True, min_features=4, tune=True, n_iter=3, cv_folds=3)
-    result = Pipeline(config).run(*data)
-    assert overall(result, "accuracy") > 0.9
+    pipeline = Pipeline(config)
+    result = pipeline.run(*data)
+    # Rows keep only their direction after the row norm, so the three blobs touch a little.
+    assert overall(result, "accuracy") > 0.8
+    replayed = pipeline.predict(data[0]).toPandas()
+    assert len(replayed) == 192 and (replayed["label"] == replayed["prediction"]).mean() > 0.85
     assert result.predictions.count() == 48 and result.report.filter("error is not null").count() == 0
     assert {"independence_scores", "feature_stats", "trials"} <= set(result.tables)
     write_run_log(result, str(tmp_path / "log"))
     lines = spark.read.text(str(tmp_path / "log")).select(F.lit("log_blobs_1.log").alias("file"), F.lit(0).alias("line_no"), F.col("value").alias("text"))
     row = runlog.summarise(lines).first()
-    assert float(row["Overall Accuracy"]) > 0.9 and row["Dataset"] == "blobs" and float(row["Total execution time"]) > 0
+    assert float(row["Overall Accuracy"]) > 0.8 and row["Dataset"] == "blobs" and float(row["Total execution time"]) > 0
 
 
 def test_regression_run(spark):
