@@ -136,9 +136,8 @@ def _emb_rows(spark, sf):
 
 def _line_rows(spark, sf):
     """lineitem rows in three clusters; the flags travel with the digest id."""
-    from pyspark.sql import DataFrame  # noqa: F401
     flag = F.col("l_returnflag")
-    items = tb.table(spark, sf, "lineitem")
+    items = tb.spread_table(spark, sf, "lineitem")
     samples = tb.lineitem_samples_with(items, cluster_id=F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2),
                                        status=F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0))
     return samples.withColumn("copy", F.lit(0))

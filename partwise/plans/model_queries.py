@@ -32,7 +32,7 @@ def _event_rows(spark, sf):
 
 def _line_rows(spark, sf):
     flag = F.col("l_returnflag")
-    return tb.lineitem_samples_with(tb.table(spark, sf, "lineitem"), cluster_id=F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2)).withColumn("copy", F.lit(0))
+    return tb.lineitem_samples_with(tb.spread_table(spark, sf, "lineitem"), cluster_id=F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2)).withColumn("copy", F.lit(0))
 
 
 @query()

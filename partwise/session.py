@@ -44,6 +44,7 @@ def spread_scan(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan with fewer splits than cores to all cores.
 
     Matters for a table stored as a single row group; a scan of many files is left as it is.
+    Meant for a plain scan: counting the splits of a join would start its stages.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

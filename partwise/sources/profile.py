@@ -19,7 +19,12 @@ def dataset_stats(samples: DataFrame, path: str) -> DataFrame:
 
 def profile(samples: DataFrame, name: str = "all") -> DataFrame:
     """Rows, features, mean row sparsity and one line per label."""
-    return profile_by(samples.select(F.lit(name).alias("dataset"), "label", "idx"))
+    n, top, nonzero = samples.agg(F.count("*"), F.max(F.array_max("idx")), F.sum(F.size("idx"))).first()
+    d = (top if top is not None else -1) + 1
+    sparsity = 1 - nonzero / n / d if n and d else None
+    return samples.groupBy("label").agg(F.count("*").alias("label_count")).select(
+        F.lit(name).alias("dataset"), F.lit(n).cast("bigint").alias("n_samples"), F.lit(d).cast("bigint").alias("n_features"),
+        F.lit(sparsity).cast("double").alias("avg_sparsity"), "label", "label_count")
 
 
 def profile_by(samples: DataFrame) -> DataFrame:

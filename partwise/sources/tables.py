@@ -18,10 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows get heavy per-row work next."""
+    return spread_scan(table(spark, sf_dir, name))
+
+
 def dense_samples(df: DataFrame, row_id, label, features, **extra) -> DataFrame:
     """Samples from a dense ARRAY column; zero entries are left out. ``extra`` columns are kept."""
     more = [c.alias(name) for name, c in extra.items()]
-    wide = spread_scan(df).select(row_id.alias("row_id"), label.cast("double").alias("label"), *more,
+    wide = df.select(row_id.alias("row_id"), label.cast("double").alias("label"), *more,
                      F.transform(features, lambda v: v.cast("double")).alias("all_val"))
     kept = F.filter(F.transform(F.col("all_val"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))),
                     lambda c: c["v"] != 0)
@@ -30,11 +35,11 @@ def dense_samples(df: DataFrame, row_id, label, features, **extra) -> DataFrame:
 
 
 def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense_samples(table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("label"), F.col("embedding"))
+    return dense_samples(spread_table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("label"), F.col("embedding"))
 
 
 def lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineitem_samples_with(table(spark, sf_dir, "lineitem"))
+    return lineitem_samples_with(spread_table(spark, sf_dir, "lineitem"))
 
 
 def lineitem_samples_with(items: DataFrame, **extra) -> DataFrame:
@@ -57,8 +62,8 @@ def lineitem_samples_with(items: DataFrame, **extra) -> DataFrame:
 
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-class rows: event type from value, hour, the k property and a user bucket."""
-    events = table(spark, sf_dir, "events")
-    kinds = events.select("event_type").distinct().agg(F.sort_array(F.collect_set("event_type"))).scalar()
+    events = spread_table(spark, sf_dir, "events")
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct().agg(F.sort_array(F.collect_set("event_type"))).scalar()
     features = F.array(
         F.col("value"), F.hour("ts").cast("double"),
         F.get_json_object("props", "$.k").cast("double"), (F.col("user_id") % 16).cast("double"),
@@ -74,9 +79,9 @@ def token_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = documents.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    tokens = spread_scan(labelled).select(F.col("doc_id").alias("row_id"),
+    tokens = labelled.select(F.col("doc_id").alias("row_id"),
                              F.explode(F.split(F.lower("text"), r"\s+")).alias("token"))
     return tokens.filter(F.col("token") != "").groupBy("row_id", "token").agg(F.count("*").alias("n"))
 
