@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import sample_threshold, sort_key
 from ..functions.hashing import SEED
+from ..session import cut
 
 
 def dataset_stats(samples: DataFrame, path: str) -> DataFrame:
@@ -19,10 +20,13 @@ def dataset_stats(samples: DataFrame, path: str) -> DataFrame:
 
 def profile(samples: DataFrame, name: str = "all") -> DataFrame:
     """Rows, features, mean row sparsity and one line per label."""
-    n, top, nonzero = samples.agg(F.count("*"), F.max(F.array_max("idx")), F.sum(F.size("idx"))).first()
+    # One pass over the rows; the totals come from the label table.
+    by_label = cut(samples.groupBy("label").agg(
+        F.count("*").alias("label_count"), F.max(F.array_max("idx")).alias("top"), F.sum(F.size("idx")).alias("nonzero")))
+    n, top, nonzero = by_label.agg(F.sum("label_count"), F.max("top"), F.sum("nonzero")).first()
     d = (top if top is not None else -1) + 1
     sparsity = 1 - nonzero / n / d if n and d else None
-    return samples.groupBy("label").agg(F.count("*").alias("label_count")).select(
+    return by_label.select(
         F.lit(name).alias("dataset"), F.lit(n).cast("bigint").alias("n_samples"), F.lit(d).cast("bigint").alias("n_features"),
         F.lit(sparsity).cast("double").alias("avg_sparsity"), "label", "label_count")
 
