@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as kn
-from ..functions.dense import dense_block
 from ..functions.hashing import SEED, hash_int
 from ..functions.ranking import first_by_hash, hash_rank
 from ..session import small

@@ -1,7 +1,6 @@
 """Small hand-made inputs."""
 
 import numpy as np
-import pandas as pd
 
 
 def sparse_frame(spark, x, label, cluster=None, extra=None):
