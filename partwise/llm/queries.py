@@ -1,4 +1,4 @@
 """Importing this module registers the queries of the subpackage."""
 
-from . import mixing, sharding  # noqa: F401
+from . import counts, encoding, mixing, sharding  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
