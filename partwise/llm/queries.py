@@ -1,4 +1,4 @@
 """Importing this module registers the queries of the subpackage."""
 
-from . import counts, encoding, lines, mixing, near, neighbours, repeats, sharding, toxicity  # noqa: F401
+from . import counts, encoding, jaccard, lines, mixing, near, neighbours, repeats, sharding, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
