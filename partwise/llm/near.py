@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small
 from .common import query, stored, table
 from .graph import components
 from .vectors import cosine, doubles, matrix, unit, usable
@@ -21,7 +22,7 @@ POOL = 48               # nearest vectors among which they are chosen
 STRETCH = 1.2           # a neighbour goes if one already kept is so much nearer to it
 BEAM = 16
 AUDITED = 256           # vectors whose links are counted by brute force
-MARGINS = (6.0, 15.0, 45.0)     # degrees beyond the nearest centre within which a vector joins further shards
+MARGINS = (3.0, 8.0, 45.0)     # degrees beyond the nearest centre within which a vector joins further shards
 RECALL = 0.97
 
 
@@ -89,24 +90,19 @@ def split_shards(rows: DataFrame, sizes: DataFrame, margin: float) -> DataFrame:
 def shard_vectors(rows: DataFrame, margin: float) -> DataFrame:
     """(shard, id, v) rows in overlapping shards, stored. A shard is split until it holds SHARD_ROWS at most, or its
     split would more than triple its rows (a tight ball of vectors, which no centre divides)."""
-    done, todo = [], stored(rows)
+    finished, todo = None, rows
+    parent = F.regexp_replace("shard", "/[0-9]+$", "")
     for _ in range(4):
-        sizes = stored(todo.groupBy("shard").agg(F.count("*").alias("n")))
-        large = sizes.filter(F.col("n") > SHARD_ROWS)
-        if large.isEmpty():
+        sizes = stored(todo.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_ROWS))
+        if sizes.isEmpty():
             break
-        parts = stored(split_shards(todo, large, margin))
-        parent = F.regexp_replace("shard", "/[0-9]+$", "")
+        parts = stored(split_shards(todo, sizes, margin))
         made = parts.groupBy(parent.alias("shard")).agg(F.count("*").alias("m"))
-        divided = stored(large.join(made, "shard").filter("m <= 3 * n").select("shard"))
-        done.append(todo.join(divided, "shard", "left_anti").join(large, "shard", "left_semi"))
-        small_ones = todo.join(large, "shard", "left_anti")
-        done.append(small_ones)
+        divided = small(sizes.join(made, "shard").filter("m <= 3 * n").select("shard"))
+        kept = todo.join(divided, "shard", "left_anti")
+        finished = kept if finished is None else finished.unionByName(kept)
         todo = parts.join(divided.withColumnRenamed("shard", "parent"), parent == F.col("parent"), "left_semi")
-    out = todo
-    for part in done:
-        out = out.unionByName(part)
-    return out
+    return stored(todo if finished is None else finished.unionByName(todo))
 
 
 def with_groups(rows: DataFrame) -> DataFrame:
