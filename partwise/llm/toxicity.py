@@ -15,11 +15,12 @@ from .pieces import portions
 
 BUCKETS = 1 << 18           # hash space of terms
 FEATURES = 4096             # term buckets that tell the classes apart best in the sample
+MIN_GAIN = 16.0             # chi-square that a bucket needs; below it is what chance gives in a small sample
 FACTORS = 8
 SAMPLE = 8000               # labelled documents that a fit looks at, at most
 ROUNDS = 150
 THRESHOLD = 0.3
-PREFIXES = (4, 6)           # a word also counts by its first characters: inflected forms share them
+PREFIXES = (4, 5)           # a word also counts by its first characters: inflected forms share them
 CACHED_WORDS = 500_000
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,15 +62,15 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7):
     n, positive = len(texts), float(labels.sum())
     bias = np.log((positive + 0.5) / (n - positive + 0.5))
     if not 0 < positive < n:
-        return np.empty(0, np.int64), bias, np.empty(0), np.empty((0, FACTORS))
+        return np.empty(0, np.int64), bias if n else -30.0, np.empty(0), np.empty((0, FACTORS))
     sets = [np.array(sorted({b for w in set(SPLIT.findall(t)) for b in term_buckets(w)}), np.int64) for t in texts]
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     flat = np.concatenate(sets)
     seen, hit = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, labels[owner], BUCKETS)
     expected = seen * positive / n
-    gain = np.where(seen >= 3, (hit - expected) ** 2 / np.maximum(expected * (1 - seen / n), 1e-9), 0)
+    gain = np.where(seen >= 3, (hit - expected) ** 2 / np.maximum(expected * (1 - seen / n) * (1 - positive / n), 1e-9), 0)
     buckets = np.argsort(-gain, kind="stable")[:FEATURES]
-    buckets = buckets[gain[buckets] > 0]
+    buckets = buckets[gain[buckets] >= MIN_GAIN]
     column = np.full(BUCKETS, -1)
     column[buckets] = np.arange(len(buckets))
     x = np.zeros((n, len(buckets)), np.float32)
@@ -96,8 +97,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7):
 def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic") -> Machine:
     """Fit on at most SAMPLE labelled documents whose crc32(doc_id as text) mod 4 is not 2, the first in hash order.
 
-    Labels without doc_id or value are left out; a document with both labels counts as labelled 1. Without
-    labelled rows, or with one class only, every text gets the prior. One task trains, as the sample is bounded;
+    Labels without doc_id or value are left out; a document with both labels counts as labelled 1. With one
+    class only every text gets the prior, without labelled rows a score of 0. One task trains, as the sample is bounded;
     FEATURES rows of the result come back.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
@@ -115,6 +116,8 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic") -> Machi
                                          schema=pa.schema([("bucket", pa.int32()), ("w", pa.float64()), ("v", pa.list_(pa.float64()))]))
 
     rows = sorted(sample.mapInArrow(run, "bucket int, w double, v array<double>").collect())
+    if not rows:        # nothing labelled, nothing to suspect
+        return Machine([], -30.0, [], [])
     return Machine([r[0] for r in rows[1:]], rows[0][1], [r[1] for r in rows[1:]], [r[2] for r in rows[1:]])
 
 
