@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import cut
 from .hashing import hash_key
 
 PREFIX = 4           # hex digits: 65,536 buckets per group
@@ -50,13 +51,16 @@ def text_rank(df: DataFrame, column: str, out: str, prefix: int = PREFIX) -> Dat
 
 
 def dense_index(df: DataFrame, key: str, out: str = "position", per_bucket: int = 1_000_000) -> DataFrame:
-    """0-based position in ascending order of an integer key, from even key ranges."""
-    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    if not n:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    buckets = -(-n // per_bucket)
-    width = -(-(high - low + 1) // buckets)
-    bucketed = df.withColumn("__b", F.floor((F.col(key) - low) / width))
+    """0-based position in ascending order of a key of any orderable type.
+
+    Large tables are dealt by ranges that Spark draws from the keys themselves, so an outlying key changes
+    nothing; the dealing is checkpointed, as its bounds come from a sample.
+    """
+    buckets = -(-df.count() // per_bucket)
+    if buckets > 1:
+        bucketed = cut(df.repartitionByRange(buckets, key).withColumn("__b", F.spark_partition_id()))
+    else:
+        bucketed = df.withColumn("__b", F.lit(0))
     ranked = bucket_rank(bucketed, [], "__b", [F.col(key)], out)
     return ranked.withColumn(out, F.col(out).cast("bigint") - 1)
 
@@ -74,7 +78,9 @@ def sample_threshold(df: DataFrame, keys: list, size: int, seed, prefix: int = P
     inside = keyed.join(edge.select("b", (size - (F.col("upto") - F.col("n"))).alias("need")), "b")
     ranked = inside.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("k")))
     found = ranked.filter(F.col("r") == F.col("need")).agg(F.max("k")).first()[0]
-    return F.lit(found or "")       # size 0: the empty string is below every key
+    if found is None:       # no edge: nothing is wanted, or all rows are (every key is below "g", as keys start in hex)
+        found = "g" if size > 0 else ""
+    return F.lit(found)
 
 
 def first_by_hash(df: DataFrame, groups: list[str], keys: list, k: int, seed, out: str = "rank",
@@ -128,6 +134,7 @@ def bucket_of(value: Column, bounds: Column) -> Column:
 def cumulative_weight(df: DataFrame, groups: list[str], value: str, weight: str, below: str, total: str,
                       per_bucket: int = 1_000_000) -> DataFrame:
     """Weight of strictly smaller values, for rows that hold each (group, value) once."""
+    df = cut(df)        # read four times below
     bounds = with_bounds(df, groups, value, per_bucket)
     bucketed = df.join(bounds, groups, "left").withColumn("__b", bucket_of(F.col(value), F.col("bounds")))
     bucketed = bucketed.drop("bounds")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.hashing import SEED
-from .clusterers import ClusterMethod, Clusterer, KMeansClusterer, make_clusterer
+from .clusterers import ClusterMethod, KMeans, Placed, Placer, make_placer
 from .entropy import entropy_select, feature_entropy, keep_subset
 from .kselect import find_k
 from .lloyd import Fit, nearest, run_lloyd
@@ -45,18 +45,21 @@ class CascadeClusterer:
     The cap grows with the data at will: level-1 centres are n / cap in number.
     """
 
-    def __init__(self, method: str = "kmeans", k: int | None = None, cascade: bool = True, entropy_ratio: float | None = None,
+    def __init__(self, method: str | Placer = "kmeans", k: int | None = None, cascade: bool = True, entropy_ratio: float | None = None,
                  k_method: str = "silhouette", k_range: tuple[int, int] = (2, 100), cap: int = CLUSTER_CAP,
-                 seed: int = SEED, n_init: int = 4, max_rounds: int = 20, scan_options: dict | None = None):
-        kind = ClusterMethod(method)
-        if kind is not ClusterMethod.KMEANS and k_method != "silhouette":
+                 seed: int = SEED, n_init: int = 10, max_rounds: int = 300, scan_options: dict | None = None,
+                 fit_ratio: float | None = None):
+        self.own = None if isinstance(method, str) else method
+        kind = ClusterMethod(method) if self.own is None else None
+        if kind not in (None, ClusterMethod.KMEANS) and k_method != "silhouette":
             raise ValueError(f"method {k_method!r} needs kmeans")
-        if kind is not ClusterMethod.KMEANS and k is None:
+        if kind not in (None, ClusterMethod.KMEANS) and k is None:
             raise ValueError(f"{method} needs a fixed k")
         self.method, self.k, self.cascade, self.entropy_ratio = kind, k, cascade, entropy_ratio
         self.k_method, self.k_range, self.cap, self.seed = k_method, k_range, cap, seed
         self.n_init, self.max_rounds, self.scan_options = n_init, max_rounds, scan_options or {}
-        self.level0: Clusterer | None = None
+        self.fit_ratio = fit_ratio
+        self.level0: Placed | None = None
         self.level1: dict[str, Fit] = {}
         self.mapping: DataFrame | None = None
         self.features: DataFrame | None = None
@@ -76,19 +79,19 @@ class CascadeClusterer:
             self.features = spark.createDataFrame([(int(f),) for f in rows], "feature int")
         view = self._view(samples)
         k = self.k
-        if k is None:
-            scanned = fit_sample(view, seed=self.seed)
+        if k is None and self.own is None:
+            scanned = view if self.fit_ratio is None else fit_sample(view, self.fit_ratio, seed=self.seed)
             k, self.k_scores = find_k(scanned, list(range(self.k_range[0], self.k_range[1] + 1)), self.k_method,
                                       self.seed, **self.scan_options)
-        self.level0 = (KMeansClusterer(k, self.seed, self.n_init, self.max_rounds) if self.method is ClusterMethod.KMEANS
-                       else make_clusterer(self.method.value, k, self.seed))
-        placed = self.level0.fit_predict(view).select("row_id", F.col("cluster").alias("level0"))
+        placer = self.own or (KMeans(k, self.seed, self.n_init, self.max_rounds, fit_ratio=self.fit_ratio)
+                              if self.method is ClusterMethod.KMEANS else make_placer(self.method.value, k, self.seed))
+        self.level0 = placer.place(view)
         if self.method is not ClusterMethod.KMEANS:
-            labelled = samples.join(placed, "row_id")
+            labelled = samples.join(self.level0.train.select("row_id", F.col("cluster").alias("level0")), "row_id")
         else:
             labelled = self._level0_in_place(samples)
         sizes = cluster_sizes(labelled, "level0").collect()
-        if self.k is not None and len(sizes) != k:
+        if self.own is None and self.k is not None and len(sizes) != k:
             raise ValueError(f"asked for {k} clusters, {len(sizes)} have rows")
         large = {r["level0"]: -(-r["n"] // self.cap) for r in sizes if r["n"] > self.cap} if self.cascade else {}
         if large:
@@ -108,7 +111,7 @@ class CascadeClusterer:
     def _level0_in_place(self, samples: DataFrame) -> DataFrame:
         view = samples if self.features is None else keep_subset(
             samples.withColumn("__i", F.col("idx")).withColumn("__v", F.col("val")), self.features)
-        placed = self.level0.predict(view).withColumnRenamed("cluster", "level0")
+        placed = self.level0.assign(view).withColumnRenamed("cluster", "level0")
         if self.features is None:
             return placed
         return placed.drop("idx", "val").withColumnRenamed("__i", "idx").withColumnRenamed("__v", "val")
@@ -123,5 +126,5 @@ class CascadeClusterer:
             raise ValueError("fit the cascade before predicting")
         if self.method is ClusterMethod.KMEANS:
             return self._finish(self._level0_in_place(samples))
-        placed = self.level0.predict(samples).withColumnRenamed("cluster", "level0")
+        placed = self.level0.assign(samples).withColumnRenamed("cluster", "level0")
         return self._finish(placed)

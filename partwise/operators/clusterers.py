@@ -1,8 +1,11 @@
-"""Clusterers. Subclass ``Clusterer`` to add another one."""
+"""Clusterers: objects with ``place(samples) -> Placed``. Anything with that method can stand in for them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from enum import Enum
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,85 +22,77 @@ class ClusterMethod(Enum):
     FIFO = "fifo"
 
 
-class Clusterer:
-    """Base class: implement ``fit_predict`` and ``predict``; both add an INT column ``cluster``."""
+@dataclass
+class Placed:
+    """Outcome of a fit: the fitted rows with an INT column ``cluster``, and how to give it to other rows."""
 
-    def __init__(self, n_clusters: int, seed: int = SEED):
-        if n_clusters < 1:
-            raise ValueError("n_clusters must be at least 1")
-        self.n_clusters = n_clusters
-        self.seed = seed
-        self.labels: DataFrame | None = None
+    train: DataFrame
+    assign: Callable[[DataFrame], DataFrame]
+    fit: Fit | None = None
 
-    def fit_predict(self, samples: DataFrame) -> DataFrame:
-        raise NotImplementedError
 
-    def fit(self, samples: DataFrame) -> "Clusterer":
-        self.labels = self.fit_predict(samples)
-        return self
+class Placer(Protocol):
+    def place(self, samples: DataFrame) -> Placed: ...
 
-    def predict(self, samples: DataFrame) -> DataFrame:
-        raise NotImplementedError
 
+@dataclass
+class RandomSlices:
+    """Random slices whose sizes differ by at most one; the first n mod k are the larger ones. Other rows fall anywhere."""
 
-class RandomClusterer(Clusterer):
-    """Random slices whose sizes differ by at most one; the first n mod k are the larger ones."""
+    k: int
+    seed: int = SEED
 
-    def fit_predict(self, samples: DataFrame) -> DataFrame:
-        k = self.n_clusters
+    def place(self, samples: DataFrame) -> Placed:
         ranked = hash_rank(samples, [], ["row_id"], self.seed, out="__r", size_out="__size")
-        at, base, extra = F.col("__r") - 1, F.floor(F.col("__size") / k), F.col("__size") % k
+        at, base, extra = F.col("__r") - 1, F.floor(F.col("__size") / self.k), F.col("__size") % self.k
         large = extra * (base + 1)
         label = F.when(at < large, F.floor(at / (base + 1))).otherwise(extra + F.floor((at - large) / base))
-        return ranked.withColumn("cluster", label.cast("int")).drop("__r", "__size")
+        return Placed(ranked.withColumn("cluster", label.cast("int")).drop("__r", "__size"), self.anywhere)
 
-    def predict(self, samples: DataFrame) -> DataFrame:
-        return samples.withColumn("cluster", (hash_int(self.seed, "row_id") % self.n_clusters).cast("int"))
+    def anywhere(self, samples: DataFrame) -> DataFrame:
+        return samples.withColumn("cluster", (hash_int(self.seed, "row_id") % self.k).cast("int"))
 
 
-class FifoClusterer(Clusterer):
-    """Position modulo k, in ascending row id."""
+@dataclass
+class RoundRobin:
+    """Position modulo k, in ascending row id of any type."""
 
-    def fit_predict(self, samples: DataFrame) -> DataFrame:
-        placed = dense_index(samples, "row_id", "__p")
-        return placed.withColumn("cluster", (F.col("__p") % self.n_clusters).cast("int")).drop("__p")
+    k: int
+    seed: int = SEED
+
+    def place(self, samples: DataFrame) -> Placed:
+        return Placed(self.in_turn(samples), self.in_turn)
 
-    predict = fit_predict
+    def in_turn(self, samples: DataFrame) -> DataFrame:
+        placed = dense_index(samples, "row_id", "__p")
+        return placed.withColumn("cluster", (F.col("__p") % self.k).cast("int")).drop("__p")
 
 
-class KMeansClusterer(Clusterer):
-    """k-means fitted on the (sampled) rows, then applied to all of them."""
+@dataclass
+class KMeans:
+    """k-means fitted on all rows, or on a share of large tables if ``fit_ratio`` says so, then applied to all."""
 
-    def __init__(self, n_clusters: int, seed: int = SEED, n_init: int = 4, max_rounds: int = 20, tol: float = 1e-6,
-                 sampling: bool = True):
-        super().__init__(n_clusters, seed)
-        self.n_init, self.max_rounds, self.tol, self.sampling = n_init, max_rounds, tol, sampling
-        self.fitted: Fit | None = None
+    k: int
+    seed: int = SEED
+    n_init: int = 10
+    max_rounds: int = 300
+    tol: float = 1e-6
+    fit_ratio: float | None = None
 
-    def fit_model(self, samples: DataFrame) -> Fit:
-        rows = fit_sample(samples, seed=self.seed) if self.sampling else samples
+    def place(self, samples: DataFrame) -> Placed:
+        rows = samples if self.fit_ratio is None else fit_sample(samples, self.fit_ratio, seed=self.seed)
         grouped = rows.select(F.lit("all").alias("group"), "row_id", "idx", "val")
         width = int(samples.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1
-        self.fitted = run_lloyd(grouped, [Fit("all", "all", self.n_clusters)], width, self.n_init,
-                                self.max_rounds, self.tol, self.seed)["all"]
-        return self.fitted
-
-    def fit_predict(self, samples: DataFrame) -> DataFrame:
-        self.fit_model(samples)
-        return self.predict(samples)
-
-    def predict(self, samples: DataFrame) -> DataFrame:
-        if self.fitted is None:
-            raise ValueError("fit the clusterer before predicting")
-        label = nearest({"all": self.fitted.centres}, F.lit("all"), F.col("idx"), F.col("val"))
-        return samples.withColumn("cluster", label)
+        fit = run_lloyd(grouped, [Fit("all", "all", self.k)], width, self.n_init, self.max_rounds, self.tol, self.seed)["all"]
+        label = nearest({"all": fit.centres}, F.lit("all"), F.col("idx"), F.col("val"))
+        assign = lambda other: other.withColumn("cluster", label)
+        return Placed(assign(samples), assign, fit)
 
 
 def single_cluster(samples: DataFrame) -> DataFrame:
     return samples.withColumn("cluster", F.lit(0))
 
 
-def make_clusterer(method: str, k: int, seed: int = SEED) -> Clusterer:
-    kinds = {ClusterMethod.KMEANS: KMeansClusterer, ClusterMethod.RANDOM: RandomClusterer,
-             ClusterMethod.FIFO: FifoClusterer}
+def make_placer(method: str, k: int, seed: int = SEED) -> Placer:
+    kinds = {ClusterMethod.KMEANS: KMeans, ClusterMethod.RANDOM: RandomSlices, ClusterMethod.FIFO: RoundRobin}
     return kinds[ClusterMethod(method)](k, seed)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .rows import remap
+from .rows import MAX_LOOKUP_BYTES, remap
 
 BINS = 20
 
@@ -56,8 +56,16 @@ def continuous_features(cells: DataFrame, n_rows: Column, limit: float = 0.1) ->
 
 
 def keep_subset(samples: DataFrame, features: DataFrame) -> DataFrame:
-    """Cut sparse rows to a feature subset without moving them."""
+    """Cut sparse rows to a feature subset: in place by a lookup, or by a join on features where that would be too long."""
+    top = features.agg(F.max("feature")).first()[0]
+    if top is not None and (top + 1) * 4 > MAX_LOOKUP_BYTES:
+        entries = samples.select("row_id", F.explode(F.arrays_zip("idx", "val")).alias("e")).select("row_id", "e.*")
+        kept = entries.join(features.select(F.col("feature").alias("idx")), "idx", "left_semi")
+        packed = kept.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("idx", "val"))).alias("e"))
+        rest = samples.drop("idx", "val").join(packed, "row_id", "left")
+        none = F.array()
+        return rest.select("*", F.coalesce("e.idx", none.cast("array<int>")).alias("idx"), F.coalesce("e.val", none.cast("array<double>")).alias("val")).drop("e")
     chosen = features.select("feature").toPandas()["feature"].to_numpy(dtype=np.int64)
-    lookup = np.full(int(chosen.max()) + 1 if len(chosen) else 1, -1, dtype=np.int32)
+    lookup = np.full(int(top) + 1 if len(chosen) else 1, -1, dtype=np.int32)
     lookup[chosen] = chosen
     return remap(samples, lookup)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dense import dense_block, row_chunks, squared_distances
-from ..functions.hashing import SEED
+from ..functions.hashing import SEED, hash_key
 from ..functions.ranking import first_by_hash
 
 MAX_STATE_BYTES = 512 << 20
@@ -40,19 +40,28 @@ class Fit:
         return float(self.spread.sum())
 
 
-def check_state(n_centres: int, width: int) -> None:
-    """Centres are sent to every task; refuse sizes no executor should be asked to hold."""
-    if n_centres * width * 8 > MAX_STATE_BYTES:
-        raise ValueError(
-            f"{n_centres} centres of {width} features exceed {MAX_STATE_BYTES >> 20} MB; "
-            "raise the cluster size limit or filter features first")
+def turns(fits: list[Fit], width: int, n_init: int):
+    """Fits whose centres, which travel to every task, stay within MAX_STATE_BYTES together; a fit alone may exceed it."""
+    part, size = [], 0
+    for fit in fits:
+        need = n_init * fit.k * width * 8
+        if part and size + need > MAX_STATE_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(fit)
+        size += need
+    if part:
+        yield part
 
 
 def initial_centres(samples: DataFrame, fits: list[Fit], width: int, n_init: int, seed) -> list[Fit]:
-    """The first distinct rows of each group in hash order; restart r takes the r-th run of k."""
-    spare = 4 * n_init * max(f.k for f in fits)
-    check_state(spare * len({f.group for f in fits}), width)
-    drawn = first_by_hash(samples.select("group", "row_id"), ["group"], ["row_id"], spare, seed)
+    """The first distinct rows of each whole group in hash order; restart r takes the r-th run of k, going round
+    where a group has fewer distinct rows. Equal rows count as the one whose hash is first."""
+    spare = n_init * max(f.k for f in fits)
+    digest = samples.select("group", "row_id", F.xxhash64("idx", "val").alias("digest"))
+    first = F.min(F.struct(hash_key(seed, "row_id").alias("h"), "row_id"))
+    distinct = digest.groupBy("group", "digest").agg(first.alias("m")).select("group", "m.row_id")
+    drawn = first_by_hash(distinct, ["group"], ["row_id"], spare, seed)
     rows = samples.join(drawn, ["group", "row_id"]).select("group", "rank", "idx", "val").toPandas()
     out = []
     for group, part in rows.sort_values("rank").groupby("group", sort=False):
@@ -61,11 +70,7 @@ def initial_centres(samples: DataFrame, fits: list[Fit], width: int, n_init: int
         pool = pool[np.sort(first)]
         for fit in (f for f in fits if f.group == group):
             for start in range(n_init):
-                chosen = pool[start * fit.k:(start + 1) * fit.k]
-                if len(chosen) < fit.k:
-                    chosen = pool[:fit.k]
-                    if start:
-                        continue
+                chosen = pool[(start * fit.k + np.arange(min(fit.k, len(pool)))) % len(pool)]
                 out.append(Fit(f"{fit.fit_id}#{start}", fit.group, fit.k, chosen.copy(),
                                tags={**fit.tags, "of": fit.fit_id}))
     return out
@@ -111,14 +116,16 @@ def run_lloyd(samples: DataFrame, fits: list[Fit], width: int, n_init: int = 1,
     # The rows are read once per round; keep them near the executors between rounds.
     samples = samples.select("group", "row_id", "idx", "val").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _rounds(samples, fits, width, n_init, max_rounds, tol, seed)
+        best: dict[str, Fit] = {}
+        for part in turns(fits, width, n_init):
+            best |= _rounds(samples, part, width, n_init, max_rounds, tol, seed)
+        return best
     finally:
         samples.unpersist()
 
 
 def _rounds(samples, fits, width, n_init, max_rounds, tol, seed) -> dict[str, Fit]:
     live = initial_centres(samples, fits, width, n_init, seed)
-    check_state(sum(len(f.centres) for f in live), width)
     narrow = samples.select("group", "idx", "val")
     # The last round only measures: counts and errors belong to the final centres.
     for turn in range(max_rounds + 1):
@@ -156,10 +163,6 @@ def _rounds(samples, fits, width, n_init, max_rounds, tol, seed) -> dict[str, Fi
 
 def nearest(centres_by_group: dict[str, np.ndarray], group: Column, idx: Column, val: Column) -> Column:
     """Index of the closest centre of the row's group, or -1 when the group has none."""
-    total = sum(len(c) for c in centres_by_group.values())
-    width = max((c.shape[1] for c in centres_by_group.values()), default=1)
-    check_state(total, width)
-
     @F.pandas_udf("int")
     def label(group: pd.Series, idx: pd.Series, val: pd.Series) -> pd.Series:
         out = np.full(len(group), -1, dtype=np.int32)

@@ -290,9 +290,12 @@ class SvmJob:
             width = _map_width(p, cluster, marks)
             for f in (range(cluster["n_folds"]) if cross else (-1,)):
                 for a, b in _fit_pairs(classes, self.task):
-                    fits.append((p, f, a, b, kn.NewtonState(width, p["c"])))
-        for part in _turns(fits):
+                    kind = kn.WideState if width > kn.GRAM_COLUMNS else kn.NewtonState
+                    fits.append((p, f, a, b, kind(width, p["c"])))
+        for part in _turns([fit for fit in fits if isinstance(fit[4], kn.NewtonState)], 2):
             lines += self._solve_turn(part)
+        for part in _turns([fit for fit in fits if isinstance(fit[4], kn.WideState)], 1):
+            lines += self._solve_wide(part)
         return spark.createDataFrame(lines, MODEL)
 
     def _solve_turn(self, fits: list) -> list:
@@ -313,6 +316,30 @@ class SvmJob:
             for r in solved.toPandas().itertuples(index=False):
                 fits[r.fit][4].advance(r.loss, r.active, np.asarray(r.solution), self.max_rounds)
                 fits[r.fit][4].n = r.n
+        return self._lines(fits, started)
+
+    def _solve_wide(self, fits: list) -> list:
+        """Newton by conjugate gradients: each job sums one vector per fit, so a fit may be as wide as a row."""
+        started = time.perf_counter()
+        blocks = self.blocks.filter("blocks > 1")
+        while live := [(i, *fit) for i, fit in enumerate(fits) if not fit[4].done]:
+            todo: dict = {}
+            for i, p, f, a, b, s in live:
+                way = s.direction if s.phase == "solve" else None
+                todo.setdefault(p["cluster_id"], {}).setdefault(p["trial"], (p, []))[1].append((i, f, a, b, (s.candidate if way is None else s.w, way)))
+            sums = blocks.mapInPandas(_sum_kernel(todo, self.task, wide=True), "fit int, n bigint, sums array<double>")
+            total = sums.groupBy("fit").agg(
+                F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
+            for r in total.toPandas().itertuples(index=False):
+                state, v = fits[r.fit][4], np.asarray(r.sums)
+                state.n = r.n
+                if state.phase == "solve":
+                    state.solved(v[:-2])
+                else:
+                    state.measured(v[:-2], v[-2], int(round(v[-1])), self.max_rounds)
+        return self._lines(fits, started)
+
+    def _lines(self, fits: list, started: float) -> list:
         seconds = time.perf_counter() - started
         return [(int(p["cluster_id"]), int(p["trial"]), int(f), float(a), float(b), [float(v) for v in s.w], float(s.value),
                  float(s.residual), int(s.rounds), int(s.n), int(s.active), seconds, None) for p, f, a, b, s in fits]
@@ -322,7 +349,7 @@ def _map_width(param: dict, cluster, marks: dict) -> int:
     """Columns of the feature map, found on the landmarks themselves."""
     mask = param["mask"]
     d = int(cluster["d"])
-    if param["kernel"] == "linear" and (d if mask is None else int(np.sum(mask[:d]))) <= kn.MAX_LINEAR:
+    if param["kernel"] == "linear":
         return (d if mask is None else int(np.sum(mask[:d]))) + 1
     mark = marks[param["cluster_id"]]
     points = np.unique(_matrix(mark["l_lengths"], mark["l_idx"], mark["l_val"], d), axis=0)
@@ -330,11 +357,11 @@ def _map_width(param: dict, cluster, marks: dict) -> int:
     return _mapped(points, holder, param, points).shape[1]
 
 
-def _turns(fits: list):
-    """Groups of fits whose Gram matrices fit in one task together."""
+def _turns(fits: list, power: int):
+    """Groups of fits whose sums (Gram matrices, or vectors) fit in one task together."""
     part, size = [], 0
     for fit in fits:
-        need = 8 * len(fit[4].candidate) ** 2
+        need = 8 * len(fit[4].candidate) ** power
         if part and size + need > SUM_BYTES:
             yield part
             part, size = [], 0
@@ -344,8 +371,9 @@ def _turns(fits: list):
         yield part
 
 
-def _sum_kernel(todo: dict, task: str):
-    """Kernel: sums of one task's blocks per fit, as one vector (upper Gram, right side, loss, active)."""
+def _sum_kernel(todo: dict, task: str, wide: bool = False):
+    """Kernel: sums of one task's blocks per fit, as one vector (upper Gram, right side, loss, active); for wide fits
+    (slope or curvature, loss, active)."""
 
     def run(batches):
         totals: dict = {}
@@ -362,8 +390,15 @@ def _sum_kernel(todo: dict, task: str):
                     for i, f, a, b, w in fits:
                         train = np.ones(len(label), dtype=bool) if f < 0 else fold != f
                         here, target = _targets(label[train], a, b, task)
-                        gram, aim, loss, active = kn.newton_sums(phi[train][here], target, w, task, param["epsilon"])
-                        vector = np.concatenate([gram[np.triu_indices(len(aim))], aim, [loss, active]])
+                        rows = phi[train][here]
+                        if not wide:
+                            gram, aim, loss, active = kn.newton_sums(rows, target, w, task, param["epsilon"])
+                            vector = np.concatenate([gram[np.triu_indices(len(aim))], aim, [loss, active]])
+                        elif w[1] is None:
+                            slope, loss, active = kn.slopes(rows, target, w[0], task, param["epsilon"])
+                            vector = np.concatenate([slope, [loss, active]])
+                        else:
+                            vector = np.concatenate([kn.curvature(rows, target, *w, task, param["epsilon"]), [0.0, 0.0]])
                         n, old = totals.get(i, (0, 0.0))
                         totals[i] = (n + int(here.sum()), old + vector)
         for i, (n, vector) in totals.items():

@@ -24,7 +24,7 @@ NEVER = float("-inf")
 @dataclass
 class SwarmOptions:
     bees: int = 20
-    generations: int = 2
+    generations: int = 100
     elite: int = 5
     best: int = 10
     elite_bees: int = 4

@@ -9,7 +9,7 @@ from ..operators import cascade as cs
 from ..operators import entropy as en
 from ..operators import kselect as ks
 from ..operators import lloyd as ll
-from ..operators.clusterers import FifoClusterer, KMeansClusterer, RandomClusterer, single_cluster
+from ..operators.clusterers import KMeans, RandomSlices, RoundRobin, single_cluster
 from ..operators.rows import cells_of
 from ..sources import profile as pf
 from ..sources import tables as tb
@@ -57,7 +57,7 @@ PTS = f"{EMB}, pts AS (SELECT 'all' AS grp, row_id, x FROM emb)"
 
 @query(f"WITH {EV}, r AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS p FROM ev) SELECT row_id, (p % 7)::INT AS cluster FROM r")
 def fifo_clusters(spark, sf):
-    return FifoClusterer(7).fit_predict(tb.event_samples(spark, sf)).select("row_id", "cluster")
+    return RoundRobin(7).place(tb.event_samples(spark, sf)).train.select("row_id", "cluster")
 
 
 @query(f"""WITH {EV}, r AS (SELECT row_id, row_number() OVER (ORDER BY {h('row_id')}, row_id) - 1 AS p, count(*) OVER () AS n FROM ev),
@@ -65,12 +65,12 @@ s AS (SELECT i, sum(size) OVER (ORDER BY i) - size AS lo, sum(size) OVER (ORDER
   SELECT i, n // 7 + CASE WHEN i < n % 7 THEN 1 ELSE 0 END AS size FROM range(7) t(i), (SELECT max(n) AS n FROM r)))
 SELECT row_id, i::INT AS cluster FROM r JOIN s ON p >= lo AND p < hi""")
 def random_clusters(spark, sf):
-    return RandomClusterer(7).fit_predict(tb.event_samples(spark, sf)).select("row_id", "cluster")
+    return RandomSlices(7).place(tb.event_samples(spark, sf)).train.select("row_id", "cluster")
 
 
 @query(f"WITH {EV} SELECT row_id, ({bits('row_id')} % 7)::INT AS cluster FROM ev")
 def random_clusters_predict(spark, sf):
-    return RandomClusterer(7).predict(tb.event_samples(spark, sf)).select("row_id", "cluster")
+    return RandomSlices(7).anywhere(tb.event_samples(spark, sf)).select("row_id", "cluster")
 
 
 @query("SELECT event_id AS row_id, 0 AS cluster FROM events")
@@ -98,7 +98,7 @@ def nearest_centre(spark, sf):
 
 @query(f"WITH {PTS}, fits AS (SELECT 'all' AS fit, 'all' AS grp, 5 AS k), {lloyd_sql('km', 'pts', 'fits')} SELECT row_id, j::INT AS cluster FROM km_a")
 def kmeans_fit(spark, sf):
-    return KMeansClusterer(5, n_init=1, max_rounds=ROUNDS, tol=0).fit_predict(tb.embedding_samples(spark, sf)).select("row_id", "cluster")
+    return KMeans(5, n_init=1, max_rounds=ROUNDS, tol=0).place(tb.embedding_samples(spark, sf)).train.select("row_id", "cluster")
 
 
 def _flag_groups():

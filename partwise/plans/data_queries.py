@@ -9,7 +9,7 @@ from ..operators import rows as rw
 from ..sources import profile as pf
 from ..sources import tables as tb
 from .registry import query
-from .sqlparts import EMB, EV, LINE, TOK, h, rnd
+from .sqlparts import EMB, EV, LABELLED_TOK, LINE, TOK, h, rnd
 
 
 @query(f"""WITH {EMB} SELECT 'embeddings' AS filepath, (SELECT max(feature) + 1 FROM emb_cells)::BIGINT AS n_features,
@@ -24,19 +24,19 @@ GROUP BY ALL"""
 SPARSITY = rnd("1 - nnz / n_samples / n_features")
 
 
-@query(f"WITH {TOK} " + PROFILE.format(avg=SPARSITY, rows="tok_rows", cells="tok_cells"))
+@query(f"WITH {LABELLED_TOK} " + PROFILE.format(avg=SPARSITY, rows="tok_rows", cells="tok_cells"))
 def dataset_profile(spark, sf):
-    return pf.profile(tb.token_samples(spark, sf)).drop("dataset").withColumn("avg_sparsity", F.round("avg_sparsity", 6))
+    return pf.profile(tb.token_samples(spark, sf, labelled=True)).drop("dataset").withColumn("avg_sparsity", F.round("avg_sparsity", 6))
 
 
-@query(f"WITH {EMB}, {TOK}, {EV} SELECT 'clf/embeddings' AS dataset, * FROM (" + PROFILE.format(avg=SPARSITY, rows="emb", cells="emb_cells")
+@query(f"WITH {EMB}, {LABELLED_TOK}, {EV} SELECT 'clf/embeddings' AS dataset, * FROM (" + PROFILE.format(avg=SPARSITY, rows="emb", cells="emb_cells")
        + ") UNION ALL SELECT 'clf/documents', * FROM (" + PROFILE.format(avg=SPARSITY, rows="tok_rows", cells="tok_cells")
        + ") UNION ALL SELECT 'clf/events', * FROM (" + PROFILE.format(avg=SPARSITY, rows="ev", cells="ev_cells") + ")")
 def profile_report(spark, sf):
     report = pf.profile_report({
         "clf/embeddings": tb.embedding_samples(spark, sf),
-        "clf/documents": tb.token_samples(spark, sf),
-        "clf/events": tb.event_samples(spark, sf)})
+        "clf/documents": tb.token_samples(spark, sf, labelled=True),
+        "clf/events": tb.event_samples(spark, sf)}).drop("error")
     return report.withColumn("avg_sparsity", F.round("avg_sparsity", 6))
 
 

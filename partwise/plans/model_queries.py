@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import svm, tuning, wrapper
-from ..operators.clusterers import FifoClusterer
+from ..operators.clusterers import RoundRobin
 from ..operators.rows import cells_of, normalize
 from ..operators import evaluate as ev
 from ..session import cut
@@ -40,7 +40,7 @@ def flagship(spark, sf):
     """Embeddings, L2, four first-in-first-out clusters, one linear model each, test metrics."""
     samples = normalize(tb.embedding_samples(spark, sf))
     train, test = pf.split(samples)
-    place = lambda df: FifoClusterer(4).fit_predict(df).withColumnRenamed("cluster", "cluster_id")
+    place = lambda df: RoundRobin(4).place(df).train.withColumnRenamed("cluster", "cluster_id")
     rows = cut(place(train).withColumn("copy", F.lit(0)))
     params = svm.params_by_cluster(rows.select("cluster_id").distinct()).withColumn("kernel", F.lit("linear"))
     job = svm.SvmJob(rows, "clf")
@@ -298,7 +298,7 @@ def end_to_end_clf(spark, sf):
 
 @query()
 def end_to_end_text(spark, sf):
-    train, test = pf.split(tb.token_samples(spark, sf))
+    train, test = pf.split(tb.token_samples(spark, sf, labelled=True))
     config = Config("clf", clustering=True, k=2, entropy_ratio=0.3, balance=True, mutual_info=True, n_init=1, max_rounds=6,
                     defaults={"kernel": "linear"})
     return Pipeline(config).run(train, test).metrics

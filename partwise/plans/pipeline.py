@@ -131,12 +131,12 @@ class Pipeline:
         self._timed("Feature processing", start)
         return self._fit_models(work, columns, spark)
 
-    def _select(self, work: DataFrame, selection: DataFrame, columns: DataFrame):
-        """Record a fitted column choice and apply it. A cluster without any choice keeps its columns."""
+    def _select(self, work: DataFrame, selection: DataFrame, columns: DataFrame, drop: bool = False):
+        """Record a fitted column choice and apply it. A cluster without any choice keeps its columns, or goes if ``drop``."""
         maps = small(rw.selection_map(selection))
         self._replay.append(lambda rows: rw.apply_selection(rows, maps))
         own = selection.groupBy("cluster_id").agg(F.count("*").cast("int").alias("own"))
-        widths = columns.join(own, "cluster_id", "left").select("cluster_id", F.coalesce("own", "d").alias("d"))
+        widths = columns.join(own, "cluster_id", "inner" if drop else "left").select("cluster_id", F.coalesce("own", "d").alias("d"))
         return rw.apply_selection(work, maps), cut(widths)
 
     def _fit_features(self, work: DataFrame, columns: DataFrame):
@@ -146,8 +146,10 @@ class Pipeline:
             sizes = work.groupBy("cluster_id").agg(F.count("*").alias("n"))
             found = rw.cluster_frequent_features(cells(), sizes, c.nonzero_ratio)
             ranked = ind.independence_select(found.withColumn("score", F.lit(1.0)), 0.5)
-            work, columns = self._select(work, ind.as_selection(ranked), columns)
+            before = columns
+            work, columns = self._select(work, ind.as_selection(ranked), columns, drop=True)
             work = work.join(columns.select("cluster_id"), "cluster_id", "left_semi")
+            self.tables["dropped_clusters"] = before.join(columns, "cluster_id", "left_anti").select("cluster_id")
         if c.independence:
             sizes = work.groupBy("cluster_id").agg(F.count("*").alias("n"))
             scores = ind.independence_scores(ind.nonzero_counts(cells(), sizes, columns.agg(F.max("d")).scalar()), c.independence_smooth)

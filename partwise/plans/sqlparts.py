@@ -27,7 +27,7 @@ emb_cells AS (
   SELECT * FROM (SELECT row_id, label, cluster_id, unnest(range(len(x)))::INT AS feature, unnest(x) AS value FROM emb)
   WHERE value <> 0)"""
 
-TOK = """tok_counts AS (
+LABELLED_TOK = """tok_counts AS (
   SELECT d.doc_id AS row_id, t.token, count(*) AS n
   FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id,
        unnest(regexp_split_to_array(lower(d.text), '\\s+')) AS t(token)
@@ -38,6 +38,10 @@ tok_cells AS (
   SELECT c.row_id, r.label, r.cluster_id, i.feature, c.n::DOUBLE AS value
   FROM tok_counts c JOIN tok_ids i USING (token) JOIN tok_rows r USING (row_id))"""
 
+#: The same over all documents, with a null label where there is none.
+TOK = LABELLED_TOK.replace(" SEMI JOIN labels l ON d.doc_id = l.doc_id", "").replace(
+    "FROM documents d JOIN labels l", "FROM documents d LEFT JOIN labels l")
+
 LINE = """line AS (
   SELECT md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity::DECIMAL(18,2),
              l_extendedprice::DECIMAL(18,2), l_discount::DECIMAL(18,2), l_tax::DECIMAL(18,2),

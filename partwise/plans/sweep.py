@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .pipeline import Config, Pipeline
 
 
+METRICS = "scope string, cluster_id int, n bigint, metric string, value double"
+
+
 def grid(base: Config, entropy_ratios: list[float | None], ks: list[int | None]) -> list[Config]:
     return [replace(base, entropy_ratio=e, k=k) for e in entropy_ratios for k in ks]
 
@@ -19,7 +22,7 @@ def sweep(datasets: dict[str, tuple[DataFrame, DataFrame]], configs: list[Config
     """metrics of every (dataset, configuration) with dataset, run_id, entropy_ratio and k.
 
     A run is itself a set of cluster-wide jobs, so runs follow one another. A run that fails
-    is reported and left out.
+    is a row with its ``error`` and no metric.
     """
     tables = []
     for name, (train, test) in datasets.items():
@@ -27,13 +30,12 @@ def sweep(datasets: dict[str, tuple[DataFrame, DataFrame]], configs: list[Config
             try:
                 metrics = Pipeline(config).run(train, test).metrics
             except ValueError as error:
-                print(f"run {number} on {name} failed: {error}")
-                continue
+                metrics = train.sparkSession.createDataFrame([(None, None, None, None, None, str(error))], METRICS + ", error string")
+            else:
+                metrics = metrics.withColumn("error", F.lit(None).cast("string"))
             tables.append(metrics.select(
                 F.lit(name).alias("dataset"), F.lit(number).alias("run_id"), F.lit(config.entropy_ratio).cast("double").alias("entropy_ratio"),
                 F.lit(config.k).cast("int").alias("k"), "*"))
-    if not tables:
-        raise ValueError("no run succeeded")
     return reduce(DataFrame.unionByName, tables)
 
 

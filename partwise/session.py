@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 
 def local_session(cores: str = "8", name: str = "partwise") -> SparkSession:
@@ -21,6 +21,8 @@ def local_session(cores: str = "8", name: str = "partwise") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("PARTWISE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="partwise-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -53,11 +55,30 @@ def spread_scan(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 64 << 20
 
 
+def value_bytes(value: Column, kind) -> Column:
+    """About how many bytes a value takes, with everything nested in it."""
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (ArrayType, StructType, MapType, StringType, BinaryType)):
+            total = F.aggregate(value, F.lit(0).cast("bigint"), lambda a, v: a + value_bytes(v, inner))
+        else:
+            total = F.size(value) * 8
+    elif isinstance(kind, StructType):
+        total = sum((value_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    elif isinstance(kind, MapType):
+        total = value_bytes(F.map_keys(value), ArrayType(kind.keyType)) + value_bytes(F.map_values(value), ArrayType(kind.valueType))
+    elif isinstance(kind, (StringType, BinaryType)):
+        total = F.octet_length(value)
+    else:
+        total = F.lit(0)
+    return F.coalesce(total, F.lit(0)).cast("bigint") + 16
+
+
 def small(state: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A fitted state table for the small side of a join: materialised, measured, and marked
     for broadcast if it is within ``limit``. Beyond it Spark joins by shuffle and splits skewed keys.
     """
     state = cut(state)
-    cells = [F.coalesce(F.size(f.name), F.lit(0)) if isinstance(f.dataType, ArrayType) else F.lit(1) for f in state.schema.fields]
-    total = state.agg(F.sum(sum(cells, F.lit(0)) * 16)).first()[0] or 0
+    row = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in state.schema.fields), F.lit(0))
+    total = state.agg(F.sum(row)).first()[0] or 0
     return F.broadcast(state) if total <= limit else state

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,16 +49,19 @@ def profile_by(samples: DataFrame) -> DataFrame:
 
 
 def profile_report(datasets: dict[str, DataFrame]) -> DataFrame:
-    """One profile block per named dataset. A dataset that cannot be planned is left out."""
-    tagged = []
+    """One profile block per named dataset. One that cannot be planned is a row with its ``error`` and nothing else."""
+    tagged, failed = [], []
     for name, samples in datasets.items():
         try:
             tagged.append(samples.select(F.lit(name).alias("dataset"), "label", "idx"))
-        except Exception as error:  # unreadable source: report the others
-            print(f"skipped {name}: {error}")
+        except AnalysisException as error:      # unreadable source: report the others
+            failed.append((name, str(error)))
     if not tagged:
-        raise ValueError("no readable dataset")
-    return profile_by(reduce(DataFrame.unionByName, tagged))
+        raise ValueError(f"no readable dataset: {failed}")
+    report = profile_by(reduce(DataFrame.unionByName, tagged)).withColumn("error", F.lit(None).cast("string"))
+    if failed:
+        report = report.unionByName(report.sparkSession.createDataFrame(failed, "dataset string, error string"), allowMissingColumns=True)
+    return report
 
 
 def write_report(report: DataFrame, path: str) -> None:

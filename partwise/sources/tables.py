@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import text_rank
 from ..operators.rows import pack
-from ..session import spread_scan
+from ..session import cut, spread_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,30 +71,32 @@ def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_samples(events, F.col("event_id"), F.array_position(kinds, F.col("event_type")) - 1, features)
 
 
-def token_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of the labelled documents; the feature is the token's dense id in md5 order."""
-    counts = token_counts(spark, sf_dir)
+def token_cells(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame:
+    """Token counts of all documents (or the labelled ones); the feature is the token's dense id in md5 order.
+    Checkpointed, as most callers read it several times."""
+    counts = cut(token_counts(spark, sf_dir, labelled))
     ids = text_rank(counts.select("token").distinct(), "token", "feature")
-    return counts.join(ids, "token").select("row_id", "feature", F.col("n").cast("double").alias("value"))
+    return cut(counts.join(ids, "token").select("row_id", "feature", F.col("n").cast("double").alias("value")))
 
 
-def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_counts(spark: SparkSession, sf_dir: str, labelled: bool) -> DataFrame:
     documents = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = documents.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    tokens = labelled.select(F.col("doc_id").alias("row_id"),
+    if labelled:
+        documents = documents.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    tokens = documents.select(F.col("doc_id").alias("row_id"),
                              F.explode(F.split(F.lower("text"), r"\s+")).alias("token"))
     return tokens.filter(F.col("token") != "").groupBy("row_id", "token").agg(F.count("*").alias("n"))
 
 
-def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_rows(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id")
-    return documents.join(table(spark, sf_dir, "labels"), "doc_id").select(
+    return documents.join(table(spark, sf_dir, "labels"), "doc_id", "inner" if labelled else "left").select(
         F.col("doc_id").alias("row_id"), F.col("quality").cast("double").alias("label"))
 
 
-def token_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(token_cells(spark, sf_dir), ["row_id"])
-    return token_rows(spark, sf_dir).join(packed, "row_id", "left").select(
+def token_samples(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame:
+    packed = pack(token_cells(spark, sf_dir, labelled), ["row_id"])
+    return token_rows(spark, sf_dir, labelled).join(packed, "row_id", "left").select(
         "row_id", "label",
         F.coalesce("idx", F.array().cast("array<int>")).alias("idx"),
         F.coalesce("val", F.array().cast("array<double>")).alias("val"))

@@ -2,10 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import blobs, sparse_frame
+from partwise.functions import ranking
 from partwise.operators import balance as bl
 from partwise.operators import cascade as cs
 from partwise.operators import kselect as ks
-from partwise.operators.clusterers import Clusterer, FifoClusterer, KMeansClusterer, RandomClusterer
+from partwise.operators.cascade import CascadeClusterer
+from partwise.operators.clusterers import KMeans, Placed, RandomSlices, RoundRobin
 
 
 @pytest.fixture(scope="module")
@@ -15,32 +17,47 @@ def points(spark):
 
 
 def test_random_sizes_differ_by_at_most_one(points):
-    sizes = [r["count"] for r in RandomClusterer(7).fit_predict(points).groupBy("cluster").count().orderBy("cluster").collect()]
+    sizes = [r["count"] for r in RandomSlices(7).place(points).train.groupBy("cluster").count().orderBy("cluster").collect()]
     assert len(sizes) == 7 and sum(sizes) == 200 and sizes == sorted(sizes, reverse=True) and max(sizes) - min(sizes) <= 1
 
 
 def test_fifo_goes_round(points):
-    got = [r["cluster"] for r in FifoClusterer(3).fit_predict(points).orderBy("row_id").collect()]
+    got = [r["cluster"] for r in RoundRobin(3).place(points).train.orderBy("row_id").collect()]
     assert got == [i % 3 for i in range(200)]
 
 
 def test_kmeans_finds_the_blobs_and_predicts(points):
-    model = KMeansClusterer(4)
-    got = model.fit_predict(points).toPandas()
+    model = KMeans(4).place(points)
+    got = model.train.toPandas()
     assert got.groupby("label")["cluster"].nunique().max() == 1 and got["cluster"].nunique() == 4
-    assert len(model.fitted.centres) == 4
-    with pytest.raises(ValueError):
-        KMeansClusterer(2).predict(points)
+    assert len(model.fit.centres) == 4
+    assert model.assign(points).toPandas()["cluster"].tolist() == got["cluster"].tolist()
 
 
 def test_own_clusterer_plugs_in(points):
-    class Sign(Clusterer):
-        def fit_predict(self, samples):
-            return samples.withColumn("cluster", (F.col("val")[0] > 3).cast("int"))
+    class Sign:
+        def place(self, samples):
+            mark = lambda df: df.withColumn("cluster", (F.col("val")[0] > 3).cast("int"))
+            return Placed(mark(samples), mark)
 
-        predict = fit_predict
+    cascade = CascadeClusterer(Sign(), cap=30)
+    placed = cascade.fit_predict(points)
+    assert placed.select("level0").distinct().count() == 2 and placed.select("cluster_id").distinct().count() > 2
+    assert cascade.predict(points).filter("cluster_id < 0").count() == 0
 
-    assert Sign(2).fit(points).labels.select("cluster").distinct().count() == 2
+
+def test_round_robin_takes_any_id(spark, points):
+    named = points.withColumn("row_id", F.concat(F.lit("r"), F.lpad(F.col("row_id").cast("string"), 4, "0")))
+    got = [r["cluster"] for r in RoundRobin(3).place(named).train.orderBy("row_id").collect()]
+    assert got == [i % 3 for i in range(200)]
+    spread = ranking.dense_index(points.withColumn("row_id", F.when(F.col("row_id") == 7, F.lit(1 << 60)).otherwise(F.col("row_id"))), "row_id", "p", per_bucket=40)
+    assert sorted(r["p"] for r in spread.collect()) == list(range(200))
+
+
+def test_centres_come_from_all_distinct_rows(spark):
+    rows = [(i, [0], [float(i % 6 if i % 100 == 0 else 1)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_id bigint, idx array<int>, val array<double>")
+    assert len(KMeans(3).place(df).fit.centres) == 3
 
 
 def test_scan_prefers_the_true_number(points):

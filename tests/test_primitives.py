@@ -65,3 +65,18 @@ def test_bucket_of_is_a_right_sided_search(spark):
     df = spark.createDataFrame([(v, bounds) for v in values], "v double, b array<double>")
     got = {r["v"]: r["k"] for r in df.select("v", rk.bucket_of(F.col("v"), F.col("b")).alias("k")).collect()}
     assert [got[v] for v in values] == list(np.searchsorted(bounds, values, side="right"))
+
+
+def test_broadcast_measure_counts_nested_values(spark):
+    flat = spark.range(10).select("id", F.array_repeat(F.lit(1.0), 100).alias("w"))
+    deep = flat.groupBy((F.col("id") % 2).alias("c")).agg(F.collect_list(F.struct("id", "w")).alias("models"))
+    from partwise.session import small
+    assert "hint" in small(deep)._jdf.queryExecution().logical().toString().lower()
+    assert "hint" not in small(deep, limit=6000)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_threshold_beyond_the_rows_keeps_all(spark):
+    from partwise.functions.ranking import sample_threshold, sort_key
+    rows = spark.range(5).withColumnRenamed("id", "row_id")
+    for size, kept in ((0, 0), (3, 3), (5, 5), (9, 5)):
+        assert rows.filter(sort_key(["row_id"], 1) <= sample_threshold(rows, ["row_id"], size, 1)).count() == kept

@@ -88,3 +88,41 @@ def test_cross_validation_counts_every_row_once_per_trial(spark, block_rows):
     scores = job.cross_validate(params(spark, [0], [{"c": 1.0}, {"kernel": "rbf"}])).toPandas()
     assert list(scores.groupby("trial")["n"].sum()) == [160, 160]
     assert (scores.groupby("trial")["hits"].sum() > 130).all()
+
+
+@pytest.mark.parametrize("d", [500, 520])
+def test_wide_linear_fits_are_exact(spark, d):
+    rng = np.random.default_rng(d)
+    x = rng.standard_normal((1500, d))
+    label = (x[:, 0] + x[:, 1] > 0).astype(float)
+    rows = sparse_frame(spark, x, label)
+    job = svm.SvmJob(rows, "clf")
+    one = job.train(params(spark, [0], [{"c": 1.0}])).toPandas()
+    assert len(one["weights"][0]) == d + 1
+    guess = x @ np.asarray(one["weights"][0])[:-1] + one["weights"][0][-1] > 0
+    first = float(one["class_pos"][0])
+    assert ((guess == (first == 1.0)) == (label == 1.0)).mean() == 1.0
+
+
+def test_matrix_free_and_gram_fits_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 12)) + 0.5
+    label = (x[:, 0] + 0.5 * rng.standard_normal(300) > 0.5).astype(float)
+    rows = sparse_frame(spark, x, label)
+    for task in ("clf", "reg"):
+        found = []
+        for most in (2048, 4):
+            monkeypatch.setattr(kn, "GRAM_COLUMNS", most)
+            job = svm.SvmJob(rows, task, block_rows=64)
+            found.append(job.train(params(spark, [0], [{"c": 0.5}])).toPandas())
+        assert np.allclose(found[0]["weights"][0], found[1]["weights"][0], atol=1e-5)
+        assert found[0]["objective"][0] == pytest.approx(found[1]["objective"][0], rel=1e-8)
+
+
+def test_more_columns_than_rows(spark):
+    rng = np.random.default_rng(5)
+    phi = np.hstack([rng.standard_normal((40, 90)), np.ones((40, 1))])
+    target = np.sign(rng.standard_normal(40))
+    state = kn.solve_rows(phi, target, 0.1, "clf", 0.0, 50)
+    slope = np.append(state.w[:-1], 0.0) + 0.2 * kn.slopes(phi, target, state.w, "clf", 0.0)[0]
+    assert np.abs(slope).max() < 1e-6
