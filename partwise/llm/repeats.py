@@ -13,9 +13,8 @@ from .pieces import portions, ragged
 
 WIDTH = 200             # bytes of a string that counts as repeated
 GRAM = 64               # bytes of the first digit
-STEP = 16               # neighbouring suffixes that share the second digit
+STEPS = (32, 8, 1)      # neighbouring suffixes that share each further digit; the last is the whole string
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-EXTRA = STEP - 1
 
 
 class Hashes:
@@ -60,14 +59,13 @@ def least_grams(grams: np.ndarray, window: int) -> np.ndarray:
     return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def anchors_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+def anchors_of(one: Hashes, two: Hashes, starts: np.ndarray, lengths: np.ndarray):
     """Runs of neighbouring suffixes with one first digit: (document, first, last, anchor, digit, whole).
 
     The first digit of a suffix is the least-hashed GRAM-byte string within its first WIDTH bytes, with its place
     there. It depends on those bytes alone, so equal suffixes share it, and about 70 neighbours share one anchor
     and are one row. ``whole`` hashes all bytes that the run's suffixes cover.
     """
-    one, two = Hashes(data, 0), Hashes(data, 1)
     grams = mixed(one.grams(GRAM))
     least = least_grams(grams, WIDTH - GRAM + 1)
     fit = np.maximum(lengths - WIDTH + 1, 0)
@@ -81,24 +79,18 @@ def anchors_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     return doc, low - starts[doc], high - starts[doc], anchor - starts[doc], grams[anchor], whole
 
 
-def segments_of(data: np.ndarray, doc_start: np.ndarray, doc_stop: np.ndarray, low, high, anchor, digit):
-    """Second digits of the suffixes of some runs: STEP neighbouring places of the anchor share the 185 bytes that
-    are common to their suffixes. Returns (run, base, from, to, two hashes, bytes before, bytes after)."""
-    one, two = Hashes(data, 0), Hashes(data, 1)
-    s0, s1 = (anchor - high) // STEP, (anchor - low) // STEP
+def segments_of(one: Hashes, two: Hashes, doc_start, low, high, anchor, step: int):
+    """The next digits of the suffixes low..high of some runs: ``step`` neighbouring places of the anchor share the
+    bytes that all their suffixes have in common. Returns (run, from, to, core, full): the run's row, the places of
+    the anchor, the hash of the common bytes and of all bytes covered."""
+    s0, s1 = (anchor - high) // step, (anchor - low) // step
     run = np.repeat(np.arange(len(low)), s1 - s0 + 1)
     s = ragged(s0, s1 - s0 + 1)
-    base = anchor[run] - STEP * s
-    lo = np.maximum(anchor[run] - high[run] - STEP * s, 0)
-    hi = np.minimum(anchor[run] - low[run] - STEP * s, EXTRA)
-    start, stop = base + doc_start[run], base + doc_start[run] + WIDTH - EXTRA
-    h1, h2 = mixed(one.of(start, stop), digit[run], s), mixed(two.of(start, stop), digit[run], s)
-    padded = np.concatenate([np.zeros(EXTRA, np.uint8), data, np.zeros(EXTRA, np.uint8)])
-    steps = np.arange(EXTRA)
-    before, after = padded[start[:, None] + steps], padded[stop[:, None] + EXTRA + steps]
-    before[start[:, None] - EXTRA + steps < doc_start[run][:, None]] = 0
-    after[stop[:, None] + steps >= doc_stop[run][:, None]] = 0
-    return run, base, lo, hi, h1, h2, before, after
+    lo, hi = np.maximum((anchor - high)[run], step * s), np.minimum((anchor - low)[run], step * s + step - 1)
+    at = anchor[run] + doc_start[run]
+    core = mixed(one.of(at - step * s, at - step * s + WIDTH - step + 1), s + 1000 * step)
+    full = mixed(two.of(at - hi, at - lo + WIDTH), lo, hi)
+    return run, lo, hi, core, full
 
 
 def signed(x: np.ndarray):
@@ -112,10 +104,19 @@ def buffers(column):
     return np.frombuffer(b"".join(values), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
-ANCHOR = "k_id long, k_sum int, low int, high int, anchor int, digit long, whole long"
+SEGMENTS = "array<struct<core: long, full: long, lo: int, hi: int>>"
+RUN = f"k_id long, k_sum int, anchor int, lo int, hi int, core long, full long, parts {SEGMENTS}"
+SEGMENT = "k_id long, k_sum int, anchor int, lo int, hi int, core long, full long"
 
 
-def find_anchors(batches):
+def narrow(x):
+    import pyarrow as pa
+
+    return pa.array(x.astype(np.int32))
+
+
+def find_runs(batches):
+    """Every run of a text with its first digit (core), its whole (full) and its segments of STEPS[0] suffixes."""
     import pyarrow as pa
 
     for batch in batches:
@@ -123,36 +124,35 @@ def find_anchors(batches):
             data, starts, lengths = buffers(part.column(2))
             if len(data) < WIDTH:
                 continue
-            doc, low, high, anchor, digit, whole = anchors_of(data, starts, lengths)
-            key = part.take(pa.array(doc))
+            one, two = Hashes(data, 0), Hashes(data, 1)
+            doc, low, high, anchor, digit, whole = anchors_of(one, two, starts, lengths)
+            run, lo, hi, core, full = segments_of(one, two, starts[doc], low, high, anchor, STEPS[0])
+            fields = pa.StructArray.from_arrays([pa.array(signed(core)), pa.array(signed(full)), narrow(lo), narrow(hi)], names=["core", "full", "lo", "hi"])
+            ends = np.r_[0, np.cumsum(np.bincount(run, minlength=len(doc)))]
+            key = part.select(["k_id", "k_sum"]).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays(
-                [key.column(0), key.column(1), *(pa.array(x.astype(np.int32)) for x in (low, high, anchor)), pa.array(signed(digit)), pa.array(signed(whole))],
-                names=["k_id", "k_sum", "low", "high", "anchor", "digit", "whole"])
+                [key.column(0), key.column(1), narrow(anchor), narrow(anchor - high), narrow(anchor - low), pa.array(signed(digit)), pa.array(signed(whole)),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)], names=["k_id", "k_sum", "anchor", "lo", "hi", "core", "full", "parts"])
 
 
-SEGMENT = "k_id long, k_sum int, base int, lo int, hi int, core1 long, core2 long, before binary, after binary"
+def find_segments(step: int):
+    def run(batches):
+        """Segments of ``step`` suffixes of the runs listed with each text."""
+        import pyarrow as pa
 
+        for batch in batches:
+            for part in portions(batch, 2, 1 << 20):
+                data, starts, _ = buffers(part.column(2))
+                listed = part.column(3)
+                doc = np.repeat(np.arange(len(starts)), np.diff(listed.offsets.to_numpy()))
+                flat = listed.flatten()
+                anchor, lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                found, lo, hi, core, full = segments_of(Hashes(data, 0), Hashes(data, 1), starts[doc], anchor - hi, anchor - lo, anchor, step)
+                key = part.select(["k_id", "k_sum"]).take(pa.array(doc[found]))
+                yield pa.RecordBatch.from_arrays([key.column(0), key.column(1), narrow(anchor[found]), narrow(lo), narrow(hi), pa.array(signed(core)), pa.array(signed(full))],
+                                                 names=["k_id", "k_sum", "anchor", "lo", "hi", "core", "full"])
 
-def find_segments(batches):
-    import pyarrow as pa
-
-    def fixed(rows):
-        return pa.array([r.tobytes() for r in rows], pa.binary())
-
-    for batch in batches:
-        for part in portions(batch, 2, 1 << 20):
-            data, starts, lengths = buffers(part.column(2))
-            runs = part.column(3)
-            many = np.diff(runs.offsets.to_numpy())
-            flat = runs.flatten()
-            low, high, anchor, digit = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            doc = np.repeat(np.arange(len(starts)), many)
-            found = segments_of(data, starts[doc], (starts + lengths)[doc], *(x.astype(np.int64) for x in (low, high, anchor)), digit.view(np.uint64))
-            run, base, lo, hi, h1, h2, before, after = found
-            key = part.take(pa.array(doc[run]))
-            yield pa.RecordBatch.from_arrays(
-                [key.column(0), key.column(1), *(pa.array(x.astype(np.int32)) for x in (base, lo, hi)), pa.array(signed(h1)), pa.array(signed(h2)), fixed(before), fixed(after)],
-                names=["k_id", "k_sum", "base", "lo", "hi", "core1", "core2", "before", "after"])
+    return run
 
 
 def keyed_bytes(documents: DataFrame, *keep) -> DataFrame:
@@ -161,42 +161,48 @@ def keyed_bytes(documents: DataFrame, *keep) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), (F.crc32(data) - F.lit(1 << 31)).cast("int").alias("k_sum"), data.alias("bytes"), *keep)
 
 
+def common_cores(rows: DataFrame) -> DataFrame:
+    """The digits that more than one row has, and whether all their rows are equal as a whole."""
+    found = rows.groupBy("core").agg(F.count("*").alias("n"), F.min("full").alias("a"), F.max("full").alias("b"))
+    return small(found.filter("n > 1").select("core", (F.col("a") == F.col("b")).alias("one")))
+
+
+def covered(rows: DataFrame) -> DataFrame:
+    """The byte range of each row's suffixes."""
+    span = F.struct((F.col("anchor") - F.col("hi")).alias("start"), (F.col("anchor") - F.col("lo") + WIDTH).alias("stop"))
+    return rows.select("k_id", "k_sum", span.alias("span"))
+
+
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """(k_id, k_sum, spans): byte ranges covered by repeated strings, one row per document that has any.
 
-    Suffixes are sorted only through WIDTH bytes and only as far as needed, one digit a pass; whatever is alone
-    with its digits leaves, and the groups that are equal at the end are the repeated strings.
-    Pass 1, the first digit (an anchor string and its place): counted map-side, runs alone with theirs leave.
-    Pass 2, the whole run: equal runs are repeats outright; of each class of equal runs one stays for comparison.
-    Pass 3, the bytes that STEP neighbours share. Pass 4, the rest of the string.
+    Suffixes are sorted only through WIDTH bytes and only as far as needed, one digit a pass, and neighbours that
+    share a digit are one row. Rows alone with their digit leave. Rows whose digit says that all of them are equal
+    as a whole are repeats outright. The others are told apart by the next digit, of fewer neighbours and more
+    bytes: the anchor string and its place first, then what 32, 8 and 1 neighbours have in common. Digits are
+    counted map-side; of each class of equal rows one goes on to the next pass for comparison.
     """
     docs = keyed_bytes(documents).filter(F.octet_length("bytes") >= WIDTH)
-    runs = stored(docs.mapInArrow(find_anchors, ANCHOR))
-    digits = runs.groupBy("digit").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-    digits = small(digits.filter("n > 1").select("digit", (F.col("a") == F.col("b")).alias("one")))
-    common = stored(runs.join(digits, "digit"))
-    covered = F.struct(F.col("low").alias("start"), (F.col("high") + WIDTH).alias("stop"))
-    spans = common.filter("one").select("k_id", "k_sum", covered.alias("span"))
-
-    several = common.filter(~F.col("one"))
-    one_of = F.min(F.struct("k_id", "k_sum", "low", "high", "anchor"))
-    classes = stored(several.groupBy("digit", "whole").agg(F.count("*").alias("n"), one_of.alias("r")))
-    equal = several.join(classes.filter("n > 1").select("digit", "whole"), ["digit", "whole"], "left_semi")
-    spans = spans.union(equal.select("k_id", "k_sum", covered))
-
-    members = classes.select("r.k_id", "r.k_sum", F.struct("r.low", "r.high", "r.anchor", "digit").alias("run"))
-    wanted = stored(members.groupBy("k_id", "k_sum").agg(F.collect_list("run").alias("runs")))
-    keys = small(wanted.select("k_id", "k_sum"))
-    texts = docs.join(keys, ["k_id", "k_sum"], "left_semi").join(wanted, ["k_id", "k_sum"])
-    segments = stored(texts.select("k_id", "k_sum", "bytes", "runs").mapInArrow(find_segments, SEGMENT).distinct())
-    cores = segments.groupBy("core1", "core2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = segments.join(cores, ["core1", "core2"], "left_semi")
-    near = near.withColumn("r", F.explode(F.sequence("lo", "hi")))
-    rest = F.concat(F.substring("before", EXTRA + 1 - F.col("r"), F.col("r")), F.substring("after", F.lit(1), EXTRA - F.col("r")))
-    windows = near.select("core1", "core2", "r", F.when(F.col("r") == 0, F.substring("after", 1, EXTRA)).otherwise(rest).alias("rest"), "k_id", "k_sum", (F.col("base") - F.col("r")).alias("start"))
-    same = windows.groupBy("core1", "core2", "r", "rest").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    last = windows.join(same, ["core1", "core2", "r", "rest"], "left_semi")
-    spans = spans.union(last.select("k_id", "k_sum", F.struct("start", (F.col("start") + WIDTH).alias("stop"))))
+    runs = docs.mapInArrow(find_runs, RUN)
+    hit = runs.join(common_cores(runs.drop("parts")), "core")
+    once = F.struct("core", "full", "lo", "hi")
+    rows = F.when(F.col("one"), F.array(once)).otherwise(F.col("parts"))
+    hit = stored(hit.select("k_id", "k_sum", "anchor", "one", F.explode(rows).alias("p")).select("k_id", "k_sum", "anchor", "one", "p.*"))
+    spans = covered(hit.filter("one"))
+    open_rows = hit.filter(~F.col("one")).drop("one")
+    for step in [*STEPS[1:], 0]:
+        hit = stored(open_rows.join(common_cores(open_rows), "core"))
+        spans = spans.union(covered(hit.filter("one")))
+        if not step:
+            break           # the last digit is the whole string
+        several = hit.filter(~F.col("one"))
+        one_of = F.min(F.struct("k_id", "k_sum", "anchor", "lo", "hi")).alias("r")
+        classes = stored(several.groupBy("core", "full").agg(F.count("*").alias("n"), one_of))
+        spans = spans.union(covered(several.join(classes.filter("n > 1").select("core", "full"), ["core", "full"], "left_semi")))
+        members = classes.select("r.*").groupBy("k_id", "k_sum").agg(F.collect_set(F.struct("anchor", "lo", "hi")).alias("runs"))
+        keys = small(classes.select("r.k_id", "r.k_sum").distinct())
+        texts = docs.join(keys, ["k_id", "k_sum"], "left_semi").join(members, ["k_id", "k_sum"]).dropDuplicates(["k_id", "k_sum"])
+        open_rows = stored(texts.select("k_id", "k_sum", "bytes", "runs").mapInArrow(find_segments(step), SEGMENT))
     return spans.groupBy("k_id", "k_sum").agg(F.collect_list("span").alias("spans"))
 
 
@@ -219,7 +225,10 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """
     kept = [c for c in documents.columns if c not in ("bytes", "removed", "kept")]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
-    joined = keyed_bytes(documents, row).join(repeated_spans(documents), ["k_id", "k_sum"], "left")
+    spans = stored(repeated_spans(documents))
+    texts, keys = keyed_bytes(documents, row), small(spans.select("k_id", "k_sum"))
+    joined = texts.join(keys, ["k_id", "k_sum"], "left_semi").join(spans, ["k_id", "k_sum"])
+    joined = joined.unionByName(texts.join(keys, ["k_id", "k_sum"], "left_anti"), allowMissingColumns=True)      # most texts need no shuffle
 
     def cut(batches):
         import pyarrow as pa
