@@ -39,9 +39,3 @@ def labels(spark):
 @pytest.fixture(scope="session")
 def nothing(edge):
     return edge.limit(0).cache()
-
-
-def words_of(text):
-    import re
-
-    return re.findall(r"[^\x20\x09-\x0D]+", text or "")

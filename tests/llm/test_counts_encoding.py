@@ -5,7 +5,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from conftest_texts import TEXTS
+from texts import TEXTS
 from partwise.llm import encoding
 from partwise.llm.counts import count_one, count_tokens, trie_counts
 from partwise.llm.encoding import Decoder, Matcher, encode_documents, encode_words

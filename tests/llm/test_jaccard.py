@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
-from conftest import words_of
+from texts import words_of
 
 from partwise.llm import jaccard
 from partwise.llm.jaccard import Rule, join_sets, link_documents, one_of_each

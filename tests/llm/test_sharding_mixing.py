@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 import xxhash
-from conftest import words_of
+from texts import words_of
 from pyspark.sql import functions as F
 
 from partwise.llm import mixing, sharding

@@ -1,9 +1,14 @@
-"""Texts for the piece models."""
+"""Texts for the piece models, and the words of a text."""
 
 import random
+import re
 
 rng = random.Random(3)
 WORDS = ["the", "Hello", "world", "naïve", "Straße", "entzündlich", "$$$", "&&&", "12345", "don't", "señor", "日本", "über", "x;", "foo.bar", "###"]
 TEXTS = [" ".join(rng.choice(WORDS) + rng.choice(["", "s", ",", "ing"]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
 TEXTS += ["", " ", "  a  b\n\n c\t日本語 𝄞 𝄞é\x00z", "a" * 100 + " " + "日" * 60, "x" * 4000, "\n", "\r\n x;\r", "ab" * 50 + "the" * 40, "▁ ▁x"]
 TEXTS += [" " * i + "He llo" + " " * (40 - i) for i in range(40)]
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
