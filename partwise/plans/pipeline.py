@@ -25,7 +25,7 @@ from ..session import cut, small
 class Config:
     task: str
     clustering: bool = False
-    method: str = "kmeans"
+    method: object = "kmeans"
     k: int | None = None
     k_method: str = "silhouette"
     k_range: tuple[int, int] = (2, 100)
@@ -51,8 +51,9 @@ class Config:
     cv_folds: int = 5
     defaults: dict = field(default_factory=dict)      # overrides of the untuned parameters
     max_zero_share: float = 0.98
-    n_init: int = 4
-    max_rounds: int = 20
+    n_init: int = 10
+    max_rounds: int = 300
+    fit_ratio: float | None = None      # share of a large table that centres and k are fitted on; None: all rows
     landmarks: int = svm.LANDMARKS
     scan_options: dict = field(default_factory=dict)
     seed: int = SEED
@@ -62,7 +63,7 @@ class Config:
             raise ValueError(f"task must be clf or reg, not {self.task!r}")
         if self.method != "kmeans" and self.k_method != "silhouette":
             raise ValueError(f"k method {self.k_method!r} needs kmeans")
-        if self.clustering and self.method != "kmeans" and self.k is None:
+        if self.clustering and isinstance(self.method, str) and self.method != "kmeans" and self.k is None:
             raise ValueError(f"{self.method} needs a fixed k")
         if self.optimizer not in tuning.OPTIMIZERS:
             raise ValueError(f"optimizer must be one of {tuning.OPTIMIZERS}")
@@ -105,7 +106,7 @@ class Pipeline:
         start = time.perf_counter()
         if c.clustering:
             self.clusterer = CascadeClusterer(c.method, c.k, c.cascade, c.entropy_ratio, c.k_method, c.k_range, c.cap,
-                                              c.seed, c.n_init, c.max_rounds, c.scan_options)
+                                              c.seed, c.n_init, c.max_rounds, c.scan_options, c.fit_ratio)
             placed = self.clusterer.fit_predict(rows).drop("level0", "level1")
             if self.clusterer.k_scores is not None:
                 self.tables["k_scores"] = self.clusterer.k_scores

@@ -115,3 +115,31 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_cluster_without_frequent_features_is_dropped_and_own_clusterers_run(spark):
+    class Halves:
+        def place(self, samples):
+            from partwise.operators.clusterers import Placed
+            mark = lambda df: df.withColumn("cluster", (F.col("row_id") >= 40).cast("int"))
+            return Placed(mark(samples), mark)
+
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0.5, 1.0, (80, 4))
+    x[40:] *= np.arange(4)[None, :] == np.arange(40)[:, None] % 4       # in the second half each feature stands at a quarter
+    train = sparse_frame(spark, x, np.arange(80) % 2).drop("cluster_id", "copy")
+    pipeline = Pipeline(Config("clf", clustering=True, method=Halves(), nonzero_ratio=0.5, defaults={"kernel": "linear"})).fit(train)
+    assert [r["cluster_id"] for r in pipeline.tables["dropped_clusters"].collect()] == [1]
+    assert [r["cluster_id"] for r in pipeline.models.select("cluster_id").distinct().collect()] == [0]
+    with pytest.raises(ValueError, match="no model"):
+        pipeline.predict(train)
+
+
+def test_unreadable_dataset_and_failed_run_are_rows(spark, data):
+    report = pf.profile_report({"good": data[0], "bad": spark.range(3)})
+    assert report.filter("dataset = 'bad' and error is not null").count() == 1 and report.filter("dataset = 'good' and error is null").count() == 3
+    one_class = tuple(part.withColumn("label", F.lit(1.0)) for part in data)
+    configs = [Config("clf", clustering=True, method="fifo", k=2, defaults={"kernel": "linear"})]
+    runs = sweep.sweep({"good": data, "bad": one_class}, configs)
+    assert runs.filter("error is not null").select("dataset").distinct().collect()[0][0] == "bad"
+    assert sweep.best_runs(runs, "accuracy").count() == 1
