@@ -16,20 +16,19 @@ def components(links: DataFrame) -> DataFrame:
     map-side, so a node with many links is no large group. Nothing returns to the driver but whether links remain.
     """
     links = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    placed, turn = None, 0
-    while placed is None or not links.isEmpty():
-        turn += 1
+    turns = []
+    while not turns or not links.isEmpty():
         both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
-        least = F.min(F.struct(F.xxhash64("other", F.lit(turn)).alias("h"), F.col("other").alias("to")))
-        own = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("to"))
+        salt = F.lit(len(turns))
+        least = F.min(F.struct(F.xxhash64("other", salt).alias("h"), F.col("other").alias("to")))
+        own = F.struct(F.xxhash64("node", salt).alias("h"), F.col("node").alias("to"))
         moves = stored(both.groupBy("node").agg(least.alias("m")).select("node", F.least(own, "m")["to"].alias("to")))
-        if placed is None:
-            placed = moves.select("node", F.col("to").alias("at"))
-        else:
-            placed = placed.join(moves.withColumnRenamed("node", "at"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
-        placed = stored(placed)
-        a, b = moves.toDF("a", "ta"), moves.toDF("b", "tb")
-        moved = links.join(a, "a").join(b, "b").filter("ta <> tb")
+        turns.append(moves)
+        moved = links.join(moves.toDF("a", "ta"), "a").join(moves.toDF("b", "tb"), "b").filter("ta <> tb")
         links = stored(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    placed = turns[0].toDF("node", "at")
+    for moves in turns[1:]:
+        placed = placed.join(moves.toDF("at", "to"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
+    placed = stored(placed)
     names = placed.groupBy("at").agg(F.min("node").alias("component"))
     return placed.join(names, "at").select("node", "component")

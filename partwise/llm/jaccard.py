@@ -29,10 +29,10 @@ from .graph import components
 from .pieces import portions
 from .repeats import Hashes, buffers, keyed_bytes, mixed, signed
 
-ALLOWANCE = 32
-GROUPS = 16
+ALLOWANCE = 16
+GROUPS = 8
 FREQUENT = 8        # sets that share a rare token, at most: all their pairs are counted
-LISTED = 32         # members of an index list whose pairs are compared outright; larger ones are compared with one member first
+LISTED = 64         # members of an index list whose pairs are compared outright; larger ones are compared with one member first
 LEVELS = 6          # of comparing with one member; what is still open is then compared in pairs
 
 
@@ -94,7 +94,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, word
     return key[new], np.bincount(owner[new], minlength=len(starts))
 
 
-SET = "k_id long, k_sum int, doc_id long, node long, check long, n long, region array<long>"
+SET = "k_id long, k_sum int, doc_id long, node long, n long, region array<long>"
 
 
 def read_sets(rule: Rule):
@@ -105,15 +105,14 @@ def read_sets(rule: Rule):
             for part in portions(batch, 2, 1 << 20):
                 tokens, n = shingle_sets(*buffers(part.column(2)), rule.words)
                 ends = np.cumsum(n)
-                sums = np.zeros(len(tokens) + 1, np.uint64), np.zeros(len(tokens) + 1, np.uint64)
-                np.cumsum(mixed(tokens.view(np.uint64), np.full(len(tokens), 1)), out=sums[0][1:])
-                np.cumsum(mixed(tokens.view(np.uint64), np.full(len(tokens), 2)), out=sums[1][1:])
-                node, check = (mixed(s[ends] - s[ends - n], n) for s in sums)
+                sums = np.zeros(len(tokens) + 1, np.uint64)
+                np.cumsum(mixed(tokens.view(np.uint64), np.full(len(tokens), 1)), out=sums[1:])
+                node = mixed(sums[ends] - sums[ends - n], n)
                 size = np.minimum(n, rule.slack(n) + 1 + ALLOWANCE)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()),
                                                  pa.array(tokens[np.repeat(ends - n - (np.cumsum(size) - size), size) + np.arange(size.sum())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(signed(node)), pa.array(signed(check)), pa.array(n), lists],
-                                                 names=["k_id", "k_sum", "doc_id", "node", "check", "n", "region"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(signed(node)), pa.array(n), lists],
+                                                 names=["k_id", "k_sum", "doc_id", "node", "n", "region"])
 
     return run
 
@@ -158,21 +157,29 @@ def index_keys(rule: Rule):
     return run
 
 
-def comparable(rule: Rule, n: str, m: str):
+def comparable(rule: Rule, n, m):
     return rule.scale * F.least(n, m) >= rule.percent * F.greatest(n, m)
 
 
 def pairs_of(lists: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b) of every list's members whose sizes allow a link; lists hold ``members`` (node, n)."""
+    """(a, b) of every list's members whose sizes allow a link and which are not in one class yet; lists hold
+    ``members`` (node, n, class)."""
     both = lists.select(F.col("members").alias("m"), F.posexplode("members").alias("i", "x"))
-    both = both.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    both = both.filter((F.col("x.node") != F.col("y.node")) & comparable(rule, "x.n", "y.n"))
+    x = F.col("x")
+    apart = lambda y: (x["class"] != y["class"]) & comparable(rule, x["n"], y["n"])
+    both = both.select("x", F.explode(F.filter(F.slice("m", F.col("i") + 2, F.size("m")), apart)).alias("y"))
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+def compared(pairs: DataFrame, sets: DataFrame, short: bool = False) -> DataFrame:
+    """Pairs (a, b) with both sets: ``short`` ones hold only the upper half of each token."""
+    tokens = F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int")) if short else F.col("tokens")
+
+    def side(end: str, name: str) -> DataFrame:
+        wanted = small(pairs.select(F.col(end).alias("node")).distinct())      # few of the sets take part after the first level
+        return sets.join(wanted, "node", "left_semi").select(F.col("node").alias(end), tokens.alias(name))
+
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
 
 
 def ragged_rows(column):
@@ -182,9 +189,30 @@ def ragged_rows(column):
     return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+SURE = 2        # shared tokens above the least number needed that no chance match of upper halves makes up
+
+
+def shared_upper(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens of x whose upper half occurs in y: at least as many as are shared."""
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+
+
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that link, by their whole sets."""
-    def run(batches):
+    """The pairs that link. Upper halves of the tokens settle all pairs but those within SURE tokens of the
+    bound, at half the size; these are settled by whole tokens."""
+    def rough(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = list(zip(ragged_rows(batch.column("x")), ragged_rows(batch.column("y")), strict=True))
+            both = [min(shared_upper(x, y), shared_upper(y, x)) for x, y in rows]
+            at_least = [rule.linked(k, len(x), len(y)) for k, (x, y) in zip(both, rows, strict=True)]
+            surely = [rule.linked(k - SURE, len(x), len(y)) for k, (x, y) in zip(both, rows, strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(surely, pa.bool_())], names=["a", "b", "sure"])
+            yield out.filter(pa.array(at_least, pa.bool_()))
+
+    def exact(batches):
         import pyarrow as pa
 
         for batch in batches:
@@ -192,28 +220,47 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                     for x, y in zip(ragged_rows(batch.column("x")), ragged_rows(batch.column("y")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return compared(pairs, sets).mapInArrow(run, "a long, b long")
+    likely = stored(compared(pairs, sets, short=True).mapInArrow(rough, "a long, b long, sure boolean"))
+    sure, close = likely.filter("sure").select("a", "b"), likely.filter(~F.col("sure")).select("a", "b")
+    return sure if close.isEmpty() else sure.union(compared(close, sets).mapInArrow(exact, "a long, b long"))
+
+
+def consensus(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, tokens): the tokens that more than half of a's members hold. Copies differ from it by their own edits only."""
+    members = stars.select("a", F.col("b").alias("node")).union(stars.select("a", "a")).distinct()
+    sizes = members.groupBy("a").agg(F.count("*").alias("size"))
+    held = members.join(sets, "node").select("a", F.explode("tokens").alias("token")).groupBy("a", "token").agg(F.count("*").alias("held"))
+    most = held.join(sizes, "a").filter(F.col("held") * 2 > F.col("size"))
+    return most.groupBy("a").agg(F.sort_array(F.collect_list("token")).alias("x"))
 
 
 def differences(stars: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Index keys (key, node, n) of each b against its centre a: tokens by which they differ.
+    """Rows (a, key, node, n, gap) for each member (b) of a's group and some tokens in which it differs from the group's consensus M.
 
-    Linked sets b, c differ in at most spread(b) tokens, and so do their differences from a. Of the first
-    spread + 1 tokens of a difference one is therefore shared, or the difference is shorter and given whole.
-    (Two short ones that share nothing can only link if they also link with a.)
+    Linked sets x, y differ in at most spread(x) tokens, and so do their differences from M. If these share a
+    token, one is among the first spread + 1 of either. If they share none, |x - M| + |y - M| is at most
+    c (|x| + |y|) with c = (1 - t) / (1 + t). Then the member with the least |z - M| - c |z| (the least ``gap``)
+    links with x and with y, so comparing all members with that one is enough.
     """
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keys, nodes, sizes = [], [], []
+            out = []
             for a, b, x, y in zip(batch.column("a").to_numpy(), batch.column("b").to_numpy(), ragged_rows(batch.column("x")), ragged_rows(batch.column("y")), strict=True):
-                t = np.setxor1d(x, y, assume_unique=True)[: rule.spread(len(y)) + 1]
-                keys.append(mixed(t.view(np.uint64), np.full(len(t), a).view(np.uint64))), nodes.append(np.full(len(t), b)), sizes.append(np.full(len(t), len(y)))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["key", "node", "n"])
+                t = np.setxor1d(x, y, assume_unique=True)
+                gap = len(t) * (rule.scale + rule.percent) - len(y) * (rule.scale - rule.percent)
+                t = t[: rule.spread(len(y)) + 1] if len(t) else np.zeros(1, np.int64)
+                key = signed(mixed(t.view(np.uint64), np.full(len(t), a).view(np.uint64)))
+                out.append((np.full(len(t), a), key, np.full(len(t), b), np.full(len(t), len(y)), np.full(len(t), gap)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "key", "node", "n", "gap"])
 
-    return compared(stars, sets).mapInArrow(run, "key long, node long, n long").distinct()
+    middle = consensus(stars, sets)
+    members = stars.select("a", "b").union(stars.select("a", "a")).distinct()
+    wanted = small(members.select(F.col("b").alias("node")).distinct())
+    own = sets.join(wanted, "node", "left_semi").select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    return members.join(own, "b").join(middle, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, key long, node long, n long, gap long")
 
 
 def classes_of(members: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -238,13 +285,13 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
     many rare tokens as the regions' ends leave room for. Pairs are verified with the whole sets, each node's
     smallest partner first, the others only if their ends are still apart. An index list of more than LISTED
     members (a large group of near copies) is compared with one member; members that do not end up in one
-    component are indexed again by what they differ in, so no list is ever paired out while it is large.
+    component are indexed again by what they differ in from what most of them share, so no list is ever paired out while it is large.
     """
-    sets = stored(keyed_bytes(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(read_sets(rule), SET))
-    rep = F.min(F.struct("k_id", "k_sum"))
+    read = keyed_bytes(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(read_sets(rule), SET)
+    sets = stored(read.withColumn("row", F.monotonically_increasing_id()))        # numbers are fixed once written
     open_sizes = (F.col("n") > 0) & (rule.scale * F.col("n") >= rule.percent * (F.col("n") + 1))
-    nodes = sets.filter(open_sizes).groupBy("node").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("region").alias("region"))
-    nodes = stored(nodes)
+    reps = small(sets.filter(open_sizes).groupBy("node").agg(F.min("row").alias("row")).select("row"))
+    nodes = sets.join(reps, "row", "left_semi")
     held = nodes.select("node", "n", F.posexplode("region").alias("at", "token"))
     counts = held.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
     shared = held.join(counts.select("token", (F.col("held") > FREQUENT).alias("hot")), "token")
@@ -264,42 +311,53 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
     room = F.least(region_room(rule, "n"), region_room(rule, "m")) - F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0)))
     pairs = counted.filter(F.col("c") >= room).select("a", "b")
 
-    tokens, links, classes, lists, stars = None, None, None, index, None
+    tokens, links, classes, lists, centred = None, None, None, index, None
     for level in range(LEVELS + 1):
-        sizes = lists.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1")
-        sized = stored(lists.join(sizes, "key"))
+        lists = classes_of(lists, classes)
+        sizes = lists.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre"), F.min("class").alias("x"), F.max("class").alias("y"))
+        sized = stored(lists.join(sizes.filter("x <> y").select("key", "size", "centre"), "key"))
         few = sized.filter(F.col("size") <= LISTED) if level < LEVELS else sized
-        grouped = few.groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("members"))
-        found = pairs_of(grouped, rule)
+        found = pairs_of(few.groupBy("key").agg(F.collect_list(F.struct("node", "n", "class")).alias("members")), rule)
         many = sized.filter(F.col("size") > LISTED) if level < LEVELS else sized.limit(0)
         stars = many.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "key")
-        centred = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = (pairs.union(found) if level == 0 else found).union(centred).distinct()
-        pairs = stored(across(pairs, classes) if classes is not None else pairs)
+        found = found.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        found = found if centred is None else found.union(centred)
+        pairs = stored(near_regions(pairs.union(found).distinct(), nodes, rule) if level == 0 else across(found, classes).distinct())
         if tokens is None:
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            chosen = small(nodes.join(wanted, "node", "left_semi").select("node", "rep.k_id", "rep.k_sum"))
-            texts = keyed_bytes(documents).join(chosen, ["k_id", "k_sum"]).select("node", "bytes")
-            tokens = stored(texts.mapInArrow(full_sets(rule), "node long, tokens array<long>").dropDuplicates(["node"]))
+            chosen = small(nodes.join(wanted, "node", "left_semi").select("node", "k_id", "k_sum"))
+            texts = keyed_bytes(documents).join(chosen, ["k_id", "k_sum"]).select("node", "bytes").dropDuplicates(["node"])
+            tokens = stored(texts.mapInArrow(full_sets(rule), "node long, tokens array<long>"))
         nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         first = stored(verify(nearest, tokens, rule))
-        links = first if links is None else links.union(first)
+        met = first.select(F.col("b").alias("node"), F.col("a").alias("component"))
+        rest = across(pairs.join(nearest, ["a", "b"], "left_anti"), met)
+        found = first.union(verify(rest, tokens, rule))
+        links = stored(found if links is None else links.union(found))
         classes = components(links)
-        second = stored(verify(across(pairs, classes), tokens, rule))
-        if not second.isEmpty():
-            links = stored(links.union(second))
-            classes = components(links)
         if many.isEmpty():
             break
-        placed = classes_of(many, classes)
-        apart = placed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
+        apart = classes_of(many.drop("class"), classes).groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
         again = stars.join(apart, "key", "left_semi").select("a", "b").distinct()
-        lists = stored(differences(again, tokens, rule))
-        if lists.isEmpty():
-            break
+        parted = stored(differences(again, tokens, rule))
+        nearest = parted.groupBy("a").agg(F.min(F.struct("gap", "node"))["node"].alias("m"))
+        centred = parted.select("a", "node").distinct().join(nearest, "a").filter("node <> m").select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"))
+        lists = parted.select("key", "node", "n")
     return classes_of(sets.select("k_id", "k_sum", "doc_id", F.col("n").alias("n_shingles"), "node"), classes)
 
 
+def near_regions(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose regions share as many tokens as a link needs: all that one region's slack leaves in the other."""
+    def side(end: str, n: str, name: str) -> DataFrame:
+        wanted = small(pairs.select(F.col(end).alias("node")).distinct())
+        return nodes.join(wanted, "node", "left_semi").select(F.col("node").alias(end), F.col("n").alias(n), F.col("region").alias(name))
+
+    pairs = stored(pairs)
+    joined = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    room = F.least(region_room(rule, "n"), region_room(rule, "m"))
+    return joined.filter(F.size(F.array_intersect("x", "y")) >= room).select("a", "b")
+
+
 def pairs_of_sized(lists: DataFrame, rule: Rule) -> DataFrame:
     both = lists.select(F.col("members").alias("m"), F.posexplode("members").alias("i", "x"))
     both = both.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y")).filter(comparable(rule, "x.n", "y.n"))
