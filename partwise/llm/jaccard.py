@@ -29,9 +29,9 @@ from .graph import components
 from .pieces import portions
 from .repeats import Hashes, buffers, keyed_bytes, mixed, signed
 
-ALLOWANCE = 16
-GROUPS = 8
-FREQUENT = 8        # sets that share a rare token, at most: all their pairs are counted
+ALLOWANCE = 40
+GROUPS = 32
+FREQUENT = 16        # sets that share a rare token, at most: all their pairs are counted
 LISTED = 64         # members of an index list whose pairs are compared outright; larger ones are compared with one member first
 LEVELS = 6          # of comparing with one member; what is still open is then compared in pairs
 
