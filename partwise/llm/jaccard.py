@@ -226,7 +226,7 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def consensus(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, tokens): the tokens that more than half of a's members hold. Copies differ from it by their own edits only."""
+    """(a, x): the tokens that more than half of a's members hold; no row if there are none. Copies differ from it by their own edits only."""
     members = stars.select("a", F.col("b").alias("node")).union(stars.select("a", "a")).distinct()
     sizes = members.groupBy("a").agg(F.count("*").alias("size"))
     held = members.join(sets, "node").select("a", F.explode("tokens").alias("token")).groupBy("a", "token").agg(F.count("*").alias("held"))
@@ -260,7 +260,8 @@ def differences(stars: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     members = stars.select("a", "b").union(stars.select("a", "a")).distinct()
     wanted = small(members.select(F.col("b").alias("node")).distinct())
     own = sets.join(wanted, "node", "left_semi").select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return members.join(own, "b").join(middle, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, key long, node long, n long, gap long")
+    common = F.coalesce("x", F.array().cast("array<long>")).alias("x")
+    return members.join(own, "b").join(middle, "a", "left").select("a", "b", common, "y").mapInArrow(run, "a long, key long, node long, n long, gap long")
 
 
 def classes_of(members: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -277,6 +278,18 @@ def across(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def whole_sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """(node, tokens) of the wanted nodes, stored."""
+    chosen = small(nodes.join(wanted, "node", "left_semi").select("node", "k_id", "k_sum"))
+    texts = keyed_bytes(documents).join(chosen, ["k_id", "k_sum"]).select("node", "bytes").dropDuplicates(["node"])
+    return stored(texts.mapInArrow(full_sets(rule), "node long, tokens array<long>"))
+
+
 def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
     """(k_id, k_sum, doc_id, n_shingles, node, class): the set size and link component of every document.
 
@@ -285,7 +298,7 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
     many rare tokens as the regions' ends leave room for. Pairs are verified with the whole sets, each node's
     smallest partner first, the others only if their ends are still apart. An index list of more than LISTED
     members (a large group of near copies) is compared with one member; members that do not end up in one
-    component are indexed again by what they differ in from what most of them share, so no list is ever paired out while it is large.
+    component are all indexed again, with or without a link to that one, by what they differ in from what most of them share, so no list is ever paired out while it is large.
     """
     read = keyed_bytes(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(read_sets(rule), SET)
     sets = stored(read.withColumn("row", F.monotonically_increasing_id()))        # numbers are fixed once written
@@ -324,10 +337,7 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
         found = found if centred is None else found.union(centred)
         pairs = stored(near_regions(pairs.union(found).distinct(), nodes, rule) if level == 0 else across(found, classes).distinct())
         if tokens is None:
-            wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            chosen = small(nodes.join(wanted, "node", "left_semi").select("node", "k_id", "k_sum"))
-            texts = keyed_bytes(documents).join(chosen, ["k_id", "k_sum"]).select("node", "bytes").dropDuplicates(["node"])
-            tokens = stored(texts.mapInArrow(full_sets(rule), "node long, tokens array<long>"))
+            tokens = whole_sets(documents, nodes, ends_of(pairs), rule)
         nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         first = stored(verify(nearest, tokens, rule))
         met = first.select(F.col("b").alias("node"), F.col("a").alias("component"))
@@ -338,7 +348,10 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
         if many.isEmpty():
             break
         apart = classes_of(many.drop("class"), classes).groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
-        again = stars.join(apart, "key", "left_semi").select("a", "b").distinct()
+        again = stored(stars.join(apart, "key", "left_semi").select("a", "b").distinct())
+        if level == 0:      # members of open lists that no pair with their centre named
+            absent = ends_of(again).join(small(tokens.select("node")), "node", "left_anti")
+            tokens = tokens.union(whole_sets(documents, nodes, absent, rule))
         parted = stored(differences(again, tokens, rule))
         nearest = parted.groupBy("a").agg(F.min(F.struct("gap", "node"))["node"].alias("m"))
         centred = parted.select("a", "node").distinct().join(nearest, "a").filter("node <> m").select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"))

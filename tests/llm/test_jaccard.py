@@ -79,6 +79,18 @@ def test_large_groups_of_near_copies(spark, rule, listed, levels, monkeypatch):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rule)
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_edits_far_from_the_centre_of_their_list(spark, with_base):
+    rng = random.Random(50)
+    base = [f"w{i}" for i in range(50)]
+    texts = [" ".join(base)] if with_base else []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(50)] = f"e{i}"
+        texts.append(" ".join(w))
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Rule(5, 80))
+
+
 def test_edges(edge, nothing):
     check(edge, Rule(3, 90))
     kept = one_of_each(edge, Rule(3, 90))
