@@ -94,7 +94,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, word
     return key[new], np.bincount(owner[new], minlength=len(starts))
 
 
-SET = "k_id long, k_sum int, doc_id long, node long, n long, region array<long>"
+SET = "k_id long, k_sum long, doc_id long, node long, n long, region array<long>"
 
 
 def read_sets(rule: Rule):
@@ -400,7 +400,7 @@ def link_documents(documents: DataFrame, rule: Rule) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, rule: Rule) -> DataFrame:
-    """The documents without near copies: of every component the one with the smallest (id, text checksum), null
+    """The documents without near copies: of every component the one with the smallest (id, text hash), null
     ids last. All columns are kept, and documents without words all stay. Rows that repeat id and text stay together.
     """
     joined = stored(join_sets(documents, rule))

@@ -105,8 +105,8 @@ def buffers(column):
 
 
 SEGMENTS = "array<struct<core: long, full: long, lo: int, hi: int>>"
-RUN = f"k_id long, k_sum int, anchor int, lo int, hi int, core long, full long, parts {SEGMENTS}"
-SEGMENT = "k_id long, k_sum int, anchor int, lo int, hi int, core long, full long"
+RUN = f"k_id long, k_sum long, anchor int, lo int, hi int, core long, full long, parts {SEGMENTS}"
+SEGMENT = "k_id long, k_sum long, anchor int, lo int, hi int, core long, full long"
 
 
 def narrow(x):
@@ -156,9 +156,9 @@ def find_segments(step: int):
 
 
 def keyed_bytes(documents: DataFrame, *keep) -> DataFrame:
-    """k_id, k_sum, bytes (+ kept columns). Rows that repeat doc_id and text are occurrences of their own but share their fate."""
+    """k_id, k_sum (64-bit hash of the text), bytes (+ kept columns). Rows that repeat doc_id and text are occurrences of their own but share their fate."""
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), (F.crc32(data) - F.lit(1 << 31)).cast("int").alias("k_sum"), data.alias("bytes"), *keep)
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64(data).alias("k_sum"), data.alias("bytes"), *keep)
 
 
 def common_cores(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
-from texts import words_of
+from texts import equal_checksums, words_of
 
 from partwise.llm import jaccard
 from partwise.llm.jaccard import Rule, join_sets, link_documents, one_of_each
@@ -91,6 +91,14 @@ def test_edits_far_from_the_centre_of_their_list(spark, with_base):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Rule(5, 80))
 
 
+def test_texts_of_one_checksum_and_no_id(spark):
+    one, two = equal_checksums()
+    rows = [(None, one), (None, two), (7, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = one_of_each(df, Rule(3, 90)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(rows[1:], key=str)
+
+
 def test_edges(edge, nothing):
     check(edge, Rule(3, 90))
     kept = one_of_each(edge, Rule(3, 90))

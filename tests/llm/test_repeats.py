@@ -1,7 +1,10 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
+from texts import equal_checksums
+
 from partwise.llm import repeats
 from partwise.llm.repeats import remove_repeats
 
@@ -48,6 +51,16 @@ def test_many_edited_copies(spark):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_texts_of_one_checksum_and_no_id(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcd e") for _ in range(n))
+    one, two = equal_checksums()
+    before, after = noise(150), noise(150)
+    rows = [(None, before + one + after), (None, before + two + after), (3, noise(50) + before + one + after[:90])]
+    assert zlib.crc32(rows[0][1].encode()) == zlib.crc32(rows[1][1].encode())
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_edges(edge, nothing):
     check(edge)
     out = remove_repeats(edge)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 rng = random.Random(3)
 WORDS = ["the", "Hello", "world", "naïve", "Straße", "entzündlich", "$$$", "&&&", "12345", "don't", "señor", "日本", "über", "x;", "foo.bar", "###"]
@@ -12,3 +13,13 @@ TEXTS += [" " * i + "He llo" + " " * (40 - i) for i in range(40)]
 
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def equal_checksums():
+    """Two words of one length and one crc32; texts that differ in nothing else have one crc32 as well."""
+    rng, met = random.Random(32), {}
+    while True:
+        word = "".join(rng.choice("abcdefghijklmnop") for _ in range(12))
+        other = met.setdefault(zlib.crc32(word.encode()), word)
+        if other != word:
+            return other, word
