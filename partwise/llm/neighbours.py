@@ -15,6 +15,8 @@ from .vectors import cosine, doubles, matrix, unit, usable
 SHARD_ROWS = 4096       # vectors of a tree, about
 BLOCK_ROWS = 1024       # queries searched together, about
 LEAF_ROWS = 64
+NOISE = 1e-10           # of a cosine from a matrix product, at most; what lies closer is told apart by the exact cosine
+SLACK = 1e-6            # of a distance: the root of such noise near 0 (copies come out up to about 2e-8 apart)
 
 
 class VantageTree:
@@ -22,7 +24,8 @@ class VantageTree:
 
     A node keeps its vantage point and the range of distances from it to either half of its points. A half is
     left out for a query if its nearest possible point is further than the query's k-th best so far, divided by
-    ``factor``: 1 never loses a neighbour, more cuts more.
+    ``factor``: 1 never loses a neighbour, more cuts more. Points are ranked by ``cosine`` and then by id, whatever
+    the noise of their distances.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, root=None):
@@ -55,15 +58,22 @@ class VantageTree:
     def search(self, query_ids, queries, k, factor):
         """Rows of the best k points of each query, its own id left out; -1 where there are fewer."""
         points = unit(queries)
-        best = np.full((len(queries), k), np.inf)
+        best = np.full((len(queries), k), -np.inf)
         found = np.full((len(queries), k), -1, np.int64)
+        home = np.full(len(queries), -1, np.int64)          # the leaf a query was led to first, by its first row
 
         def look(rows, q):
-            d = np.round(self.distances(points[q], rows), 12)           # equal distances: the smaller id, which has the smaller row
-            d[self.ids[rows][None, :] == query_ids[q][:, None]] = np.inf
-            both = np.concatenate([best[q], d], axis=1)
-            at = np.concatenate([found[q], np.broadcast_to(rows, d.shape)], axis=1)
-            order = np.lexsort((at, both), axis=1)[:, :k]
+            rough = 1 - self.distances(points[q], rows) ** 2 / 2
+            rough[self.ids[rows][None, :] == query_ids[q][:, None]] = -np.inf
+            floor = best[q, -1]
+            if len(rows) >= k:
+                floor = np.maximum(floor, np.partition(rough, len(rows) - k, axis=1)[:, len(rows) - k])
+            at_q, at_row = np.nonzero(np.isfinite(rough) & (rough >= floor[:, None] - NOISE))
+            score = np.full(rough.shape, -np.inf)
+            score[at_q, at_row] = cosine(queries[q[at_q]], self.vectors[rows[at_row]])
+            both = np.concatenate([best[q], score], axis=1)
+            at = np.concatenate([found[q], np.broadcast_to(rows, score.shape)], axis=1)
+            order = np.lexsort((at, -both), axis=1)[:, :k]           # equal scores: the smaller id, which has the smaller row
             best[q], found[q] = np.take_along_axis(both, order, 1), np.take_along_axis(at, order, 1)
 
         def descend(node, q):
@@ -71,6 +81,7 @@ class VantageTree:
             if not len(q):
                 return
             if isinstance(node, np.ndarray):
+                home[q] = node[0]
                 look(node, q)
                 return
             vantage, spans, near, far = node
@@ -78,26 +89,25 @@ class VantageTree:
             descend(near, q[inner])
             descend(far, q[~inner])
 
-        def visit(node, q, own):
-            """``own`` marks the queries that came down this way before."""
-            if not len(q):
-                return
+        def visit(node, q):
             if isinstance(node, np.ndarray):
-                if (~own).any():
-                    look(node, q[~own])
+                q = q[home[q] != node[0]]
+                if len(q):
+                    look(node, q)
+                return
+            if not len(q):
                 return
             vantage, (a, b, c, d), near, far = node
             r = self.distances(points[q], np.array([vantage]))[:, 0]
-            inner = r <= b
-            for child, low, high, mine in ((near, a, b, inner), (far, c, d, ~inner)):
+            for child, low, high in ((near, a, b), (far, c, d)):
                 gap = np.maximum(low - r, r - high)
-                go = (gap <= best[q, -1] / factor + 1e-9) | (own & mine)
-                visit(child, q[go], (own & mine)[go])
+                reach = np.sqrt(np.maximum(0, 2 - 2 * best[q, -1]))
+                visit(child, q[gap <= reach / factor + SLACK])
 
         every = np.arange(len(queries))
         if len(self.ids):
             descend(self.root, every)
-            visit(self.root, every, np.ones(len(every), bool))
+            visit(self.root, every)
         found[~np.isfinite(best)] = -1
         return found
 

@@ -56,6 +56,19 @@ def test_few_rows_and_none(spark):
     assert search_index(index, shards, df, "vec_id", "embedding", 5).count() == 0
 
 
+def test_many_copies_come_by_id():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 24))
+    x[rng.choice(3000, 900, replace=False)] = x[17]
+    same = np.flatnonzero((x == x[17]).all(axis=1))
+    order = rng.permutation(3000)
+    tree = VantageTree(order, x[order])
+    for count in (1, 3, 50, 700):
+        mine = rng.choice(same, count, replace=False)
+        found = tree.ids[tree.search(mine, x[mine], 5, 1.0)]
+        assert all(f.tolist() == same[same != i][:5].tolist() for i, f in zip(mine, found, strict=True))
+
+
 def test_factor_trades_recall_for_work():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 6)) + 4 * rng.standard_normal((30, 6))[rng.integers(30, size=3000)]
