@@ -21,9 +21,11 @@ DEGREE = 16             # neighbours that a vector keeps in a shard's graph
 POOL = 48               # nearest vectors among which they are chosen
 STRETCH = 1.2           # a neighbour goes if one already kept is so much nearer to it
 BEAM = 16
-AUDITED = 256           # vectors whose links are counted by brute force
-MARGINS = (3.0, 8.0, 45.0)     # degrees beyond the nearest centre within which a vector joins further shards
+AUDITED = (256, 4096)   # vectors drawn for the audit, the second number if the first draw has too few with links
+VOTERS = 64             # distinct vectors with links to others than their copies that an audit needs
+MARGINS = (3.0, 8.0)    # degrees beyond the nearest centre within which a vector joins further shards; then all that a link can need
 RECALL = 0.97
+ALIKE = 1 - 1e-9        # links with a higher cosine are to copies
 
 
 def fit_centres(points: np.ndarray, count: int, seed: int = 3) -> np.ndarray:
@@ -39,9 +41,11 @@ def fit_centres(points: np.ndarray, count: int, seed: int = 3) -> np.ndarray:
     return centres
 
 
-def split_shards(rows: DataFrame, sizes: DataFrame, margin: float) -> DataFrame:
+def split_shards(rows: DataFrame, sizes: DataFrame, threshold: float, margin: float | None) -> DataFrame:
     """One split of the large shards: each row goes to the part of its nearest centre and to those whose angle
-    is at most ``margin`` degrees more. ``sizes`` (shard, n) names the shards to split.
+    is at most ``margin`` degrees more. Without a margin it goes to every part that may hold a partner: the plane
+    between two centres is no further from it than the angle of a link, so each link's ends meet in the part of either.
+    ``sizes`` (shard, n) names the shards to split.
 
     A shard's rows are dealt to salted groups; its centres travel to each of them as one row ahead of the others.
     """
@@ -64,6 +68,8 @@ def split_shards(rows: DataFrame, sizes: DataFrame, margin: float) -> DataFrame:
                           F.lit(None).cast("binary").alias("centres"), "id", "v")
     dealt = ahead.unionByName(behind).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "tag")
 
+    reach = math.sqrt(1 - threshold * threshold) if 0 < threshold < 1 else float(threshold <= 0)        # sine of the angle of a link
+
     def assign(batches):
         import pyarrow as pa
 
@@ -78,8 +84,14 @@ def split_shards(rows: DataFrame, sizes: DataFrame, margin: float) -> DataFrame:
                     centres, part = pickle.loads(part.column("centres")[0].as_py()), part.slice(1)
                 if not part.num_rows:
                     continue
-                angles = np.degrees(np.arccos(np.clip(unit(matrix(part.column("v"))) @ centres.T, -1, 1)))
-                row, c = np.nonzero(angles <= angles.min(axis=1, keepdims=True) + margin)
+                near = unit(matrix(part.column("v"))) @ centres.T
+                if margin is None:
+                    own = np.argmax(near, axis=1)
+                    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+                    row, c = np.nonzero(near.max(axis=1, keepdims=True) - near <= reach * apart[own] + 1e-9)
+                else:
+                    angles = np.degrees(np.arccos(np.clip(near, -1, 1)))
+                    row, c = np.nonzero(angles <= angles.min(axis=1, keepdims=True) + margin)
                 shard = part.column("shard")[0].as_py()
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array([f"{shard}/{k}" for k in c.tolist()], pa.string()), taken.column("id"), taken.column("v")], names=["shard", "id", "v"])
@@ -87,7 +99,7 @@ def split_shards(rows: DataFrame, sizes: DataFrame, margin: float) -> DataFrame:
     return dealt.mapInArrow(assign, "shard string, id long, v array<double>")
 
 
-def shard_vectors(rows: DataFrame, margin: float) -> DataFrame:
+def shard_vectors(rows: DataFrame, threshold: float, margin: float | None) -> DataFrame:
     """(shard, id, v) rows in overlapping shards, stored. A shard is split until it holds SHARD_ROWS at most, or its
     split would more than triple its rows (a tight ball of vectors, which no centre divides)."""
     finished, todo = None, rows
@@ -96,7 +108,7 @@ def shard_vectors(rows: DataFrame, margin: float) -> DataFrame:
         sizes = stored(todo.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_ROWS))
         if sizes.isEmpty():
             break
-        parts = stored(split_shards(todo, sizes, margin))
+        parts = stored(split_shards(todo, sizes, threshold, margin))
         made = parts.groupBy(parent.alias("shard")).agg(F.count("*").alias("m"))
         divided = small(sizes.join(made, "shard").filter("m <= 3 * n").select("shard"))
         kept = todo.join(divided, "shard", "left_anti")
@@ -240,13 +252,14 @@ def build(group):
     return pa.table({"id": ids, "near": pa.array([ids[g[g >= 0]].tolist() for g in graph], pa.list_(pa.int64()))})
 
 
-def searcher(threshold: float):
-    def search(group):
-        """Links of one work group: (id, links counted here, smallest id of its class here)."""
-        import pyarrow as pa
+def all_in_range(points: np.ndarray, threshold: float, chunk: int = 512) -> np.ndarray:
+    """found[q, x] for every pair of points."""
+    return np.concatenate([points[a:a + chunk] @ points.T >= threshold for a in range(0, len(points), chunk)])
 
-        group = group.sort_by("id")
-        ids, vectors = group.column("id").to_numpy(), matrix(group.column("v"))
+
+def searcher(threshold: float, whole: bool = False):
+    """Search of a work group along its graph, or (``whole``) of all its pairs."""
+    def graph_of(group, ids):
         n = len(ids)
         lists = group.column("near").to_pylist()
         flat = np.array([x for near in lists for x in near], np.int64)
@@ -257,7 +270,17 @@ def searcher(threshold: float):
         rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
         graph = np.full((n, int(rank.max()) + 1 if len(rank) else 1), -1, np.int64)
         graph[owner, rank] = at
-        found = search_ranges(unit(vectors), graph, threshold - 1e-9)
+        return graph
+
+    def search(group):
+        """Links of one work group: (id, links counted here, smallest id of its class here)."""
+        import pyarrow as pa
+
+        group = group.sort_by("id")
+        ids, vectors = group.column("id").to_numpy(), matrix(group.column("v"))
+        n = len(ids)
+        points = unit(vectors)
+        found = all_in_range(points, threshold - 1e-9) if whole else search_ranges(points, graph_of(group, ids), threshold - 1e-9)
         np.fill_diagonal(found, False)
         a, b = np.nonzero(np.triu(found))
         exact = np.concatenate([cosine(vectors[a[i:i + 65536]], vectors[b[i:i + 65536]]) >= threshold for i in range(0, len(a), 65536)] or [np.empty(0, bool)])
@@ -283,27 +306,41 @@ def searcher(threshold: float):
     return search
 
 
-def audit(rows: DataFrame, counted: DataFrame, threshold: float) -> float:
-    """Share of the true links of AUDITED vectors that were found; each is held against every vector of its label."""
-    sample = rows.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(AUDITED)
-    blocks = sample.groupBy("shard").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-
-    def brute(batches):
-        import pyarrow as pa
+def voters_of(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, true, alike) of drawn distinct vectors that link with others than their copies: all their links and those
+    to copies, each vector held against every vector of its label. More are drawn while VOTERS are not met."""
+    spark = rows.sparkSession
+    for drawn in AUDITED:
+        sample = rows.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(drawn).groupBy("shard", "v").agg(F.min("id").alias("id"))
+        blocks = sample.groupBy("shard").agg(F.collect_list(F.struct("id", "v")).alias("r"))
+        held = {b["shard"]: (np.array([r["id"] for r in b["r"]]), unit(np.array([r["v"] for r in b["r"]]))) for b in blocks.collect()}
+        shared = spark.sparkContext.broadcast(held)
+
+        def brute(batches, shared=shared):
+            import pyarrow as pa
+
+            for batch in batches:
+                shards = np.array(batch.column("shard").to_pylist())
+                points, ids = unit(matrix(batch.column("v"))), batch.column("id").to_numpy()
+                for shard in set(shards.tolist()):
+                    at = np.flatnonzero(shards == shard)
+                    mine, v = shared.value.get(shard, (np.empty(0, np.int64), None))
+                    for a in range(0, len(mine), 512):
+                        near = np.where(mine[a:a + 512, None] == ids[at][None, :], -2, v[a:a + 512] @ points[at].T)
+                        true, alike = (near >= threshold).sum(axis=1), (near >= max(threshold, ALIKE)).sum(axis=1)
+                        yield pa.RecordBatch.from_pydict({"id": mine[a:a + 512], "true": true.astype(np.int64), "alike": alike.astype(np.int64)})
+
+        linked = rows.mapInArrow(brute, "id long, true long, alike long").groupBy("id").agg(F.sum("true").alias("true"), F.sum("alike").alias("alike"))
+        voters = stored(linked.filter(F.col("true") > F.col("alike")))
+        if voters.count() >= VOTERS:
+            break
+    return voters
 
-        for batch in batches:
-            shards = batch.column("shard").to_pylist()
-            points, ids = unit(matrix(batch.column("v"))), batch.column("id").to_numpy()
-            for shard, (mine, v) in shared.value.items():
-                at = np.flatnonzero([s == shard for s in shards])
-                close = (v @ points[at].T >= threshold) & (mine[:, None] != ids[at][None, :])
-                yield pa.RecordBatch.from_pydict({"id": mine, "true": close.sum(axis=1).astype(np.int64)})
 
-    held = {r["shard"]: (np.array(r["ids"]), unit(np.array(r["vs"]))) for r in blocks.collect()}
-    shared = rows.sparkSession.sparkContext.broadcast(held)
-    true = rows.mapInArrow(brute, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    total, found = true.join(counted, "id", "left").agg(F.sum("true"), F.sum(F.coalesce("n", F.lit(0)))).first()
-    return 1.0 if not total else found / total
+def audit(voters: DataFrame, counted: DataFrame) -> float:
+    """Mean share of a voter's true links that were found, links to copies left out (taken as found)."""
+    share = (F.coalesce("n", F.lit(0)) - F.col("alike")) / (F.col("true") - F.col("alike"))
+    return voters.join(counted, "id", "left").agg(F.avg(F.greatest(share, F.lit(0.0)))).first()[0]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, threshold: float) -> DataFrame:
@@ -312,21 +349,24 @@ def near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, label_col:
 
     Unusable vectors, null labels and null ids link with nothing (component: their own id). Rows that repeat an id
     are one vector, the one with the least (label, vector hash) among the usable. Found links are verified in double precision, so none
-    is below the threshold; the audit widens the overlap of shards until RECALL of the links of a sample is found.
+    is below the threshold. Graphs over wider shards are searched until an audit finds RECALL of the links of a sample;
+    where they miss it, or the sample has too few vectors with links to say, all pairs that can link are compared.
     """
     good = usable(F.col(vector_col)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("shard"), F.col(vector_col).alias("v"), good.alias("good"))
     first = F.min_by(F.struct("shard", "v"), F.struct("shard", F.xxhash64("v")))
     rows = named.filter("good").groupBy("id").agg(first.alias("r")).select(F.regexp_replace("r.shard", "[/|]", "_").alias("shard"), "id", F.col("r.v").alias("v"))
     rows = stored(doubles(rows, "v"))
-    for margin in MARGINS:
-        work = stored(with_groups(shard_vectors(rows, margin)))
-        near = work.groupBy("work").applyInArrow(build, "id long, near array<long>")
-        near = near.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        searched = stored(work.join(near, "id").groupBy("work").applyInArrow(searcher(threshold), "id long, n long, least long"))
+    voters = voters_of(rows, threshold)
+    for margin in [*MARGINS, None] if voters.count() >= VOTERS else [None]:
+        work = stored(with_groups(shard_vectors(rows, threshold, margin)))
+        if margin is not None:
+            near = work.groupBy("work").applyInArrow(build, "id long, near array<long>")
+            near = near.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+            work = work.join(near, "id")
+        searched = stored(work.groupBy("work").applyInArrow(searcher(threshold, margin is None), "id long, n long, least long"))
         counted = stored(searched.groupBy("id").agg(F.sum("n").alias("n")))
-        recall = audit(rows, counted, threshold)
-        if recall >= RECALL:
+        if margin is None or audit(voters, counted) >= RECALL:
             break
     classes = components(searched.select(F.col("id").alias("a"), F.col("least").alias("b")))
     ids = named.filter("id is not null").select("id").distinct().join(counted, "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left")

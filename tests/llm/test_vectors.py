@@ -132,6 +132,22 @@ def test_near_vectors(spark, shard, monkeypatch):
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in out)
 
 
+@pytest.mark.parametrize("pairs", [20, 120])
+def test_wide_pairs_beside_many_copies(spark, pairs, monkeypatch):
+    monkeypatch.setattr(near, "SHARD_ROWS", 60)
+    rng = np.random.default_rng(11)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    one = unit(rng.standard_normal((pairs, 8)))
+    side = rng.standard_normal((pairs, 8))
+    side = unit(side - (side * one).sum(axis=1, keepdims=True) * one)
+    turn = np.radians(rng.uniform(15, 21, (pairs, 1)))
+    ends = np.concatenate([one, np.cos(turn) * one + np.sin(turn) * side, rng.standard_normal((150, 8))])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(ends)] + [(1000 + i, ends[-1].tolist(), 0) for i in range(len(ends) // 2)]
+    want = links(rows, 0.93)
+    got = {r.vec_id: r.n_links for r in near_duplicates(frame(spark, rows), "vec_id", "embedding", "label", 0.93).collect()}
+    assert np.mean([got[i] == want[i][0] for i in range(2 * pairs)]) >= 0.97
+
+
 def test_near_vectors_of_nothing(spark):
     assert near_duplicates(frame(spark, odd_rows()).limit(0), "vec_id", "embedding", "label", 0.93).count() == 0
 
