@@ -295,7 +295,7 @@ over AS (SELECT lang, phrase, max(f) AS f FROM parts GROUP BY ALL),
 c AS (SELECT f.* FROM f LEFT JOIN over o ON o.lang = f.lang AND o.phrase = f.phrase WHERE f.size > 1 AND (o.f IS NULL OR 100 * o.f < 100 * f.f)),
 cuts AS (SELECT lang, phrase, gram, size, f AS a, unnest(range(1, size)) AS k FROM c),
 s AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
-      FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(gram[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(gram[k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+      FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.gram[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.gram[k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
 best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best
 QUALIFY rank <= 2000""")
