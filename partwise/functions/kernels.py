@@ -156,16 +156,20 @@ class NewtonState:
         self.done = self.done or self.rounds >= max_rounds
 
 
-def solve_rows(phi: np.ndarray, target: np.ndarray, c: float, task: str, epsilon: float, max_rounds: int) -> NewtonState:
-    """The whole iteration on rows held by one task. With more columns than rows it runs in the space the rows
-    span, where the minimum lies, and is turned back at the end."""
+def solve_rows(phi: np.ndarray, target: np.ndarray, c: float, task: str, epsilon: float, max_rounds: int,
+               start: np.ndarray | None = None) -> NewtonState:
+    """The whole iteration on rows held by one task, from ``start`` (any point leads to the same minimum). With more
+    columns than rows it runs in the space the rows span, where the minimum lies, and is turned back at the end."""
     if phi.shape[1] - 1 > len(phi) > 0:
         _, s, vt = np.linalg.svd(phi[:, :-1], full_matrices=False)
         basis = vt[s > 1e-12 * max(s.max(), 1e-300)]
-        state = solve_rows(np.hstack([phi[:, :-1] @ basis.T, phi[:, -1:]]), target, c, task, epsilon, max_rounds)
+        inner = None if start is None else np.append(basis @ start[:-1], start[-1])
+        state = solve_rows(np.hstack([phi[:, :-1] @ basis.T, phi[:, -1:]]), target, c, task, epsilon, max_rounds, inner)
         state.w = np.append(state.w[:-1] @ basis, state.w[-1])
         return state
     state = NewtonState(phi.shape[1], c)
+    if start is not None:
+        state.candidate = start
     while not state.done:
         gram, aim, loss, active = newton_sums(phi, target, state.candidate, task, epsilon)
         state.advance(loss, active, newton_solution(gram, aim, c), max_rounds)

@@ -10,8 +10,9 @@ from ..functions.hashing import SEED
 from .clusterers import ClusterMethod, KMeans, Placed, Placer, make_placer
 from .entropy import entropy_select, feature_entropy, keep_subset
 from .kselect import find_k
-from .lloyd import Fit, nearest, run_lloyd
+from .lloyd import Centres, assign, run_lloyd
 from .rows import cells_of
+from ..session import cut, small
 from ..sources.profile import fit_sample
 
 CLUSTER_CAP = 10_000
@@ -31,7 +32,10 @@ def oversize(sizes: DataFrame, column: str = "cluster", cap: int = CLUSTER_CAP)
 def flat_labels(pairs: DataFrame) -> DataFrame:
     """(level0, level1, cluster_id) of the pairs that occur, numbered in ascending order."""
     distinct = pairs.select("level0", "level1").distinct()
-    return distinct.withColumn("cluster_id", (F.row_number().over(W.orderBy("level0", "level1")) - 1).cast("int"))
+    counts = distinct.groupBy("level0").agg(F.count("*").alias("n"))
+    before = counts.select("level0", (F.sum("n").over(W.orderBy("level0")) - F.col("n")).alias("before"))      # level-0 clusters only
+    inner = F.row_number().over(W.partitionBy("level0").orderBy("level1"))
+    return distinct.join(before, "level0").select("level0", "level1", (F.col("before") + inner - 1).cast("int").alias("cluster_id"))
 
 
 def apply_flat_labels(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -60,7 +64,7 @@ class CascadeClusterer:
         self.n_init, self.max_rounds, self.scan_options = n_init, max_rounds, scan_options or {}
         self.fit_ratio = fit_ratio
         self.level0: Placed | None = None
-        self.level1: dict[str, Fit] = {}
+        self.level1: Centres | None = None
         self.mapping: DataFrame | None = None
         self.features: DataFrame | None = None
         self.k_scores: DataFrame | None = None
@@ -70,13 +74,11 @@ class CascadeClusterer:
 
     def fit_predict(self, samples: DataFrame) -> DataFrame:
         """Samples plus level0, level1 and cluster_id. Call it on a persisted frame."""
-        spark = samples.sparkSession
         if self.entropy_ratio is not None:
             cells = cells_of(samples)
             n = samples.agg(F.count("*")).scalar()
             chosen = entropy_select(feature_entropy(cells, n, cells.agg(F.max("feature") + 1).scalar()), self.entropy_ratio)
-            rows = [r["feature"] for r in chosen.select("feature").collect()]
-            self.features = spark.createDataFrame([(int(f),) for f in rows], "feature int")
+            self.features = cut(chosen.select(F.col("feature").cast("int").alias("feature")))
         view = self._view(samples)
         k = self.k
         if k is None and self.own is None:
@@ -90,22 +92,22 @@ class CascadeClusterer:
             labelled = samples.join(self.level0.train.select("row_id", F.col("cluster").alias("level0")), "row_id")
         else:
             labelled = self._level0_in_place(samples)
-        sizes = cluster_sizes(labelled, "level0").collect()
-        if self.own is None and self.k is not None and len(sizes) != k:
-            raise ValueError(f"asked for {k} clusters, {len(sizes)} have rows")
-        large = {r["level0"]: -(-r["n"] // self.cap) for r in sizes if r["n"] > self.cap} if self.cascade else {}
-        if large:
-            inside = labelled.filter(F.col("level0").isin(list(large))).select(
+        sizes = cut(cluster_sizes(labelled, "level0"))
+        if self.own is None and self.k is not None and (found := sizes.count()) != k:
+            raise ValueError(f"asked for {k} clusters, {found} have rows")
+        large = cut(oversize(sizes, "level0", self.cap).withColumn("fit_id", F.col("level0").cast("string")))
+        pairs = sizes.select(F.col("level0").cast("int").alias("level0"))
+        if self.cascade and not large.isEmpty():
+            inside = labelled.join(small(large.select("level0")), "level0", "left_semi").select(
                 F.col("level0").cast("string").alias("group"), "row_id", "idx", "val")
             width = int(samples.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1
-            fits = [Fit(str(g), str(g), k1) for g, k1 in large.items()]
+            fits = large.select("fit_id", F.col("fit_id").alias("group"), F.col("k1").alias("k"))
             self.level1 = run_lloyd(inside, fits, width, self.n_init, self.max_rounds, seed=self.seed)
-        pairs = []
-        for r in sorted(sizes, key=lambda r: r["level0"]):
-            fit = self.level1.get(str(r["level0"]))
-            subs = [j for j, n in enumerate(fit.sizes) if n > 0] if fit is not None else [-1]
-            pairs += [(int(r["level0"]), int(j)) for j in subs]
-        self.mapping = flat_labels(spark.createDataFrame(pairs, "level0 int, level1 int"))
+            parts = self.level1.table.filter("n > 0").select(F.col("group").cast("int").alias("level0"), F.col("centre").alias("level1"))
+            pairs = pairs.join(parts, "level0", "left").select("level0", F.coalesce("level1", F.lit(-1)).alias("level1"))
+        else:
+            pairs = pairs.withColumn("level1", F.lit(-1))
+        self.mapping = cut(flat_labels(pairs))
         return self._finish(labelled)
 
     def _level0_in_place(self, samples: DataFrame) -> DataFrame:
@@ -117,14 +119,17 @@ class CascadeClusterer:
         return placed.drop("idx", "val").withColumnRenamed("__i", "idx").withColumnRenamed("__v", "val")
 
     def _finish(self, labelled: DataFrame) -> DataFrame:
-        centres = {name: fit.centres for name, fit in self.level1.items()}
-        level1 = nearest(centres, F.col("level0").cast("string"), F.col("idx"), F.col("val")) if centres else F.lit(-1)
-        return apply_flat_labels(labelled.withColumn("level1", level1), self.mapping)
+        if self.level1 is None:
+            split = labelled.withColumn("level1", F.lit(-1))
+        else:
+            split = assign(labelled, self.level1, F.col("level0"), "level1")
+        return apply_flat_labels(split, small(self.mapping))
 
     def predict(self, samples: DataFrame) -> DataFrame:
+        """Every clusterer sees the features that it was fitted on; level 1 sees all."""
         if self.level0 is None:
             raise ValueError("fit the cascade before predicting")
-        if self.method is ClusterMethod.KMEANS:
+        if self.method is ClusterMethod.KMEANS or self.features is None:
             return self._finish(self._level0_in_place(samples))
-        placed = self.level0.assign(samples).withColumnRenamed("cluster", "level0")
-        return self._finish(placed)
+        placed = self.level0.assign(self._view(samples)).select("row_id", F.col("cluster").alias("level0"))
+        return self._finish(samples.join(placed, "row_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import SEED, hash_int
 from ..functions.ranking import dense_index, hash_rank
 from ..sources.profile import fit_sample
-from .lloyd import Fit, nearest, run_lloyd
+from .lloyd import Centres, Fit, assign, fit_table, run_lloyd
 
 
 class ClusterMethod(Enum):
@@ -28,7 +28,7 @@ class Placed:
 
     train: DataFrame
     assign: Callable[[DataFrame], DataFrame]
-    fit: Fit | None = None
+    fit: Centres | None = None
 
 
 class Placer(Protocol):
@@ -83,10 +83,10 @@ class KMeans:
         rows = samples if self.fit_ratio is None else fit_sample(samples, self.fit_ratio, seed=self.seed)
         grouped = rows.select(F.lit("all").alias("group"), "row_id", "idx", "val")
         width = int(samples.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1
-        fit = run_lloyd(grouped, [Fit("all", "all", self.k)], width, self.n_init, self.max_rounds, self.tol, self.seed)["all"]
-        label = nearest({"all": fit.centres}, F.lit("all"), F.col("idx"), F.col("val"))
-        assign = lambda other: other.withColumn("cluster", label)
-        return Placed(assign(samples), assign, fit)
+        fits = fit_table(samples.sparkSession, [Fit("all", "all", self.k)])
+        fit = run_lloyd(grouped, fits, width, self.n_init, self.max_rounds, self.tol, self.seed)
+        place = lambda other: assign(other, fit, F.lit("all"))
+        return Placed(place(samples), place, fit)
 
 
 def single_cluster(samples: DataFrame) -> DataFrame:

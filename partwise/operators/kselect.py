@@ -3,115 +3,163 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.dense import dense_block
 from ..functions.hashing import SEED, hash_uniform
 from ..functions.ranking import sample_threshold, sort_key
-from .lloyd import Fit, nearest, run_lloyd
+from ..session import cut
+from .lloyd import Centres, Fit, assign, fit_table, run_lloyd
 
-SILHOUETTE_ROWS = 10_000     # size of the scored sample, part of the operator's definition
+BLOCK_ROWS = 2048
 COLUMN_CHUNK = 1024
+SUM_BYTES = 64 << 20        # of distance sums that a task holds before it hands them on
 
 
-def silhouette_sample(samples: DataFrame, size: int = SILHOUETTE_ROWS, seed: int = SEED) -> DataFrame:
-    if samples.count() <= size:
-        return samples
+def silhouette_sample(samples: DataFrame, size: int, seed: int = SEED) -> DataFrame:
+    """Exactly ``size`` rows in hash order, or all if there are no more."""
     limit = sample_threshold(samples, ["row_id"], size, seed)
     return samples.filter(sort_key(["row_id"], seed) <= limit)
 
 
-def _row_scores(idx, val, codes: np.ndarray, width: int):
-    """Kernel: silhouette value of every row of a batch against the whole bounded sample."""
-    n, n_fits = codes.shape
-    groups = [codes[:, f].max() + 1 for f in range(n_fits)]
-    member = [np.eye(g)[codes[:, f]] for f, g in enumerate(groups)]
-    counts = [m.sum(0) for m in member]
-
-    def distances(rows_idx, rows_val):
-        product = np.zeros((len(rows_idx), n))
-        for start in range(0, width, COLUMN_CHUNK):
-            stop = min(width, start + COLUMN_CHUNK)
-            part = _columns(rows_idx, rows_val, start, stop)
-            product += part @ _columns(idx, val, start, stop).T
-        own = np.array([float(np.dot(v, v)) for v in rows_val])
-        other = np.array([float(np.dot(v, v)) for v in val])
-        return np.sqrt(np.maximum(own[:, None] + other[None, :] - 2 * product, 0.0))
-
-    def run(batches):
-        for pdf in batches:
-            for start in range(0, len(pdf), 256):
-                part = pdf.iloc[start:start + 256]
-                at = part["position"].to_numpy()
-                away = distances(part["idx"].to_list(), part["val"].to_list())
-                away[np.arange(len(at)), at] = 0.0
-                for f in range(n_fits):
-                    own = codes[at, f]
-                    sums = away @ member[f]
-                    size = counts[f][own]
-                    a = sums[np.arange(len(at)), own] / np.maximum(size - 1, 1)
-                    other = sums / counts[f][None, :]
-                    other[np.arange(len(at)), own] = np.inf
-                    b = other.min(1)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        s = np.where(size > 1, (b - a) / np.maximum(a, b), 0.0)
-                    s = np.nan_to_num(s)
-                    yield pd.DataFrame({"fit": [f], "n": [len(at)], "total": [float(s.sum())]})
-
-    return run
-
-
-def _columns(idx, val, start: int, stop: int) -> np.ndarray:
-    low = [np.searchsorted(i, start) for i in idx]
-    high = [np.searchsorted(i, stop) for i in idx]
-    return dense_block([np.asarray(i[a:b]) - start for i, a, b in zip(idx, low, high)],
-                       [v[a:b] for v, a, b in zip(val, low, high)], stop - start)
-
-
-def silhouette(sample: DataFrame, fits: list[str]) -> DataFrame:
-    """Mean Euclidean silhouette per labelling of a bounded sample.
-
-    ``sample``: row_id, idx, val, labels ARRAY<INT> (one entry per name in ``fits``), at most
-    SILHOUETTE_ROWS rows. One label everywhere scores -1.
+def _sparse(idx, val):
+    """(rows, columns, values, order by column) of two Arrow lists of lists."""
+    rows = np.repeat(np.arange(len(idx)), np.asarray(idx.value_lengths().fill_null(0)))
+    columns, values = np.asarray(idx.flatten()).astype(np.int64), np.asarray(val.flatten()).astype(float)
+    order = np.argsort(columns, kind="stable")
+    return len(idx), rows[order], columns[order], values[order]
+
+
+def _distances(a, b) -> np.ndarray:
+    """Euclidean distances of all rows of one block to all of another, some columns at a time."""
+    product = np.zeros((a[0], b[0]))
+    shared = np.intersect1d(a[2], b[2])
+    for start in range(0, len(shared), COLUMN_CHUNK):
+        some = shared[start:start + COLUMN_CHUNK]
+        sides = []
+        for n, rows, columns, values in (a, b):
+            low, high = np.searchsorted(columns, some[0]), np.searchsorted(columns, some[-1], "right")
+            at = np.minimum(np.searchsorted(some, columns[low:high]), len(some) - 1)
+            hit = some[at] == columns[low:high]
+            dense = np.zeros((n, len(some)))
+            dense[rows[low:high][hit], at[hit]] = values[low:high][hit]
+            sides.append(dense)
+        product += sides[0] @ sides[1].T
+    own, other = (np.bincount(x[1], x[3] ** 2, minlength=x[0]) for x in (a, b))
+    return np.sqrt(np.maximum(own[:, None] + other[None, :] - 2 * product, 0.0))
+
+
+def _codes(labels, domain):
+    """Column of each row in the table of all (fit, label), by fit; and where each fit's columns begin."""
+    flat = np.asarray(labels.flatten()).reshape(len(labels), -1)
+    known = [np.array([e["label"] for e in d["e"]]) for d in domain]
+    starts = np.cumsum([0] + [len(k) for k in known])
+    return np.stack([starts[f] + np.searchsorted(k, flat[:, f]) for f, k in enumerate(known)], axis=1), starts
+
+
+def _pair_sums(batches):
+    """Kernel: for each pair of blocks the rows' distances to the other block, summed by (fit, label)."""
+    held: dict = {}
+
+    def out():
+        keys = list(held)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([held[k] for k in keys], pa.list_(pa.float64()))], names=["block", "sums"])
+
+    for batch in batches:
+        small_ones = batch.select(["a", "b", "domain"]).to_pylist()
+        for i, row in enumerate(small_ones):
+            sides = [[batch.column(f"{s}_{c}")[i].values for c in ("idx", "val", "labels")] for s in "ab"]
+            member = []
+            for _, _, labels in sides:
+                codes, starts = _codes(labels, row["domain"])
+                one = np.zeros((len(labels), starts[-1]))
+                one[np.arange(len(labels))[:, None], codes] = 1.0
+                member.append(one)
+            away = _distances(_sparse(*sides[0][:2]), _sparse(*sides[1][:2]))
+            same = row["a"] == row["b"]
+            if same:
+                np.fill_diagonal(away, 0.0)
+            for key, sums in [(row["a"], away @ member[1])] + ([] if same else [(row["b"], away.T @ member[0])]):
+                held[key] = held[key] + sums.ravel() if key in held else sums.ravel()
+            if sum(v.nbytes for v in held.values()) > SUM_BYTES:
+                yield out()
+                held.clear()
+    if held:
+        yield out()
+
+
+def _row_scores(batches):
+    """Kernel: blocks with their rows' distance sums to the total silhouette of each fit."""
+    for batch in batches:
+        for i, row in enumerate(batch.select(["domain", "sums"]).to_pylist()):
+            codes, starts = _codes(batch.column("labels")[i].values, row["domain"])
+            sums = np.array(row["sums"]).reshape(len(codes), -1)
+            at = np.arange(len(codes))
+            for f, d in enumerate(row["domain"]):
+                counts = np.array([e["n"] for e in d["e"]], float)
+                own = codes[:, f] - starts[f]
+                mine = sums[:, starts[f]:starts[f + 1]]
+                size = counts[own]
+                a = mine[at, own] / np.maximum(size - 1, 1)
+                other = mine / counts
+                other[at, own] = np.inf
+                b = other.min(1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = np.where(size > 1, (b - a) / np.maximum(a, b), 0.0)
+                yield pa.RecordBatch.from_pydict({"fit": pa.array([f], pa.int32()), "n": pa.array([len(at)], pa.int64()), "total": pa.array([float(np.nan_to_num(s).sum())])})
+
+
+def silhouette(labelled: DataFrame, names: list[str]) -> DataFrame:
+    """(name, score): mean Euclidean silhouette of all rows under each labelling. One label everywhere scores -1.
+
+    ``labelled``: row_id, idx, val, labels ARRAY<INT> (one entry per name). The rows are dealt into blocks, every
+    pair of blocks meets once, and for each row the distances to the rows of each cluster are added by shuffles.
+    Nothing is collected; the work grows with the square of the rows, so draw a ``silhouette_sample`` of large tables.
     """
-    spark = sample.sparkSession
-    local = sample.select("row_id", "idx", "val", "labels").toPandas()
-    if len(local) > SILHOUETTE_ROWS:
-        raise ValueError(f"draw at most {SILHOUETTE_ROWS} rows first")
-    local = local.sort_values("row_id").reset_index(drop=True)
-    labels = np.stack(local["labels"].to_list())
-    codes = np.stack([np.unique(labels[:, f], return_inverse=True)[1] for f in range(len(fits))], axis=1)
-    single = [codes[:, f].max() == 0 for f in range(len(fits))]
-    idx, val = local["idx"].to_list(), local["val"].to_list()
-    width = max((int(i[-1]) + 1 for i in idx if len(i)), default=1)
-    kernel = _row_scores(idx, val, codes, width)
-    positions = spark.createDataFrame(pd.DataFrame({"row_id": local["row_id"], "position": range(len(local))}))
-    # The rows are few but each costs a pass over the sample: spread them over all cores.
-    tasks = min(spark.sparkContext.defaultParallelism, max(1, len(local) // 64))
-    spread = sample.select("row_id", "idx", "val").join(positions, "row_id").repartition(tasks, "position")
-    scored = spread.mapInPandas(kernel, "fit int, n bigint, total double").groupBy("fit").agg(
-        (F.sum("total") / F.sum("n")).alias("score"))
-    names = spark.createDataFrame([(i, name, bool(single[i])) for i, name in enumerate(fits)],
-                                  "fit int, name string, single boolean")
-    return names.join(scored, "fit").select("name", F.when(F.col("single"), -1.0).otherwise(F.col("score")).alias("score"))
-
-
-def fit_many(samples: DataFrame, ks: list[int], n_init: int, max_rounds: int, seed: int, tol: float = 1e-6) -> dict[str, Fit]:
+    spark = labelled.sparkSession
+    labelled = labelled.select("row_id", "idx", "val", "labels")
+    n = labelled.count()
+    count = max(1, -(-n // BLOCK_ROWS), min(spark.sparkContext.defaultParallelism // 2, n // 128))
+    dealt = labelled.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(count)).cast("int")).groupBy("block")
+    dealt = dealt.agg(F.collect_list(F.struct("idx", "val", "labels")).alias("e"))
+    blocks = cut(dealt.select("block", "e.idx", "e.val", "e.labels"))       # rows must keep their places
+    each = blocks.select(F.explode("labels").alias("l")).select(F.posexplode("l").alias("fit", "label"))
+    domain = each.groupBy("fit", "label").agg(F.count("*").alias("n")).groupBy("fit").agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("e"))
+    domain = cut(domain.agg(F.sort_array(F.collect_list(F.struct("fit", "e"))).alias("domain")).withColumn("one", F.lit(0)))    # a row of all labels
+
+    def side(name):
+        return blocks.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("idx", "val", "labels")])
+
+    pairs = side("a").withColumn("b", F.explode(F.sequence("a", F.lit(count - 1))))
+    pairs = pairs.join(side("b"), "b").withColumn("one", F.lit(0)).join(F.broadcast(domain), "one")
+    pairs = pairs.repartition(max(spark.sparkContext.defaultParallelism, count), "a", "b")
+    sums = pairs.drop("one").mapInArrow(_pair_sums, "block int, sums array<double>")
+    sums = sums.groupBy("block").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
+    met = blocks.select("block", "labels").join(sums, "block").withColumn("one", F.lit(0)).join(F.broadcast(domain), "one")
+    scored = met.select("domain", "labels", "sums").mapInArrow(_row_scores, "fit int, n bigint, total double")
+    scored = scored.groupBy("fit").agg((F.sum("total") / F.sum("n")).alias("score"))
+    labels = domain.select(F.explode("domain").alias("d")).select("d.fit", F.size("d.e").alias("labels"))
+    named = spark.createDataFrame(list(enumerate(names)), "fit int, name string")
+    return named.join(scored, "fit").join(labels, "fit").select("name", F.when(F.col("labels") == 1, -1.0).otherwise(F.col("score")).alias("score"))
+
+
+def fit_many(samples: DataFrame, ks: list[int], n_init: int, max_rounds: int, seed: int, tol: float = 1e-6) -> Centres:
     width = int(samples.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1
     grouped = samples.select(F.lit("all").alias("group"), "row_id", "idx", "val")
-    return run_lloyd(grouped, [Fit(str(k), "all", k) for k in ks], width, n_init, max_rounds, tol, seed=seed)
+    return run_lloyd(grouped, fit_table(samples.sparkSession, [Fit(str(k), "all", k) for k in ks]), width, n_init, max_rounds, tol, seed=seed)
 
 
-def silhouette_scan(samples: DataFrame, ks: list[int], n_init: int = 4, max_rounds: int = 20, seed: int = SEED,
-                    size: int = SILHOUETTE_ROWS) -> tuple[DataFrame, dict[str, Fit]]:
-    """k_scores(k, score) for all k at once, and the fits."""
+def silhouette_scan(samples: DataFrame, ks: list[int], n_init: int = 10, max_rounds: int = 300, seed: int = SEED,
+                    size: int | None = None) -> tuple[DataFrame, Centres]:
+    """k_scores(k, score) for all k at once, and the fits. ``size`` scores a sample of so many rows."""
     fits = fit_many(samples, ks, n_init, max_rounds, seed)
-    sample = silhouette_sample(samples, size, seed)
-    labels = F.array(*[nearest({"all": fits[str(k)].centres}, F.lit("all"), F.col("idx"), F.col("val")) for k in ks])
-    scores = silhouette(sample.withColumn("labels", labels), [str(k) for k in ks])
+    scored = samples if size is None else silhouette_sample(samples, size, seed)
+    labelled = assign(scored, fits, F.lit("all"), "labels", [str(k) for k in ks])
+    scores = silhouette(labelled, [str(k) for k in ks])
     return scores.select(F.col("name").cast("int").alias("k"), "score"), fits
 
 
@@ -154,7 +202,7 @@ def reference_rows(samples: DataFrame, width: int, n_refs: int, seed: int = SEED
     return refs.select("ref", "row_id", place.alias("idx"), value.alias("val"))
 
 
-def gap_scan(samples: DataFrame, ks: list[int], n_refs: int = 10, n_init: int = 2, max_rounds: int = 20,
+def gap_scan(samples: DataFrame, ks: list[int], n_refs: int = 10, n_init: int = 10, max_rounds: int = 300,
              seed: int = SEED) -> DataFrame:
     """k_gap(k, gap, sk): every (k, reference) and (k, data) fit runs in one loop."""
     width = int(samples.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1
@@ -162,9 +210,11 @@ def gap_scan(samples: DataFrame, ks: list[int], n_refs: int = 10, n_init: int =
     rows = samples.select(F.lit("data").alias("group"), F.col("row_id").cast("string").alias("row_id"), "idx", "val").unionByName(
         refs.select(F.concat(F.lit("ref"), "ref").alias("group"), F.col("row_id").cast("string").alias("row_id"), "idx", "val"))
     groups = ["data"] + [f"ref{b}" for b in range(n_refs)]
-    fits = run_lloyd(rows, [Fit(f"{g}/{k}", g, k) for g in groups for k in ks], width, n_init, max_rounds, seed=seed)
-    within = [(f.group, f.k, float(f.spread[f.sizes > 1].sum())) for f in fits.values()]
-    return gap_table(samples.sparkSession.createDataFrame(within, "source string, k int, within double"), n_refs)
+    planned = fit_table(samples.sparkSession, [Fit(f"{g}/{k}", g, k) for g in groups for k in ks])
+    fits = run_lloyd(rows, planned, width, n_init, max_rounds, seed=seed)
+    number = F.element_at(F.split("fit_id", "/"), -1).cast("int")
+    within = fits.table.filter("n > 1").groupBy(F.col("group").alias("source"), number.alias("k")).agg(F.sum("error").alias("within"))
+    return gap_table(within, n_refs)
 
 
 def gap_table(within: DataFrame, n_refs: int) -> DataFrame:

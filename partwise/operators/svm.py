@@ -1,9 +1,11 @@
 """One support-vector model per cluster, all clusters in the same jobs.
 
 Rows are packed into blocks of one cluster each (bounded in rows and cells). A cluster that
-fits one block is solved inside its task. A cluster of many blocks is solved by rounds: every
-block adds the Gram matrix of its rows with non-zero loss, the shuffle sums them, and only the
-weights come back to the driver. Both ways reach the same unique minimum.
+fits one block is solved inside its task. A cluster of many blocks is solved by rounds over a
+table of fits: the point at which a fit is measured joins its cluster's blocks, every task adds
+the Gram matrices of its rows with non-zero loss, the shuffle sums them, and each fit's next
+point is computed from its own sums. Only whether any fit is left comes back to the driver.
+Both ways reach the same unique minimum.
 
 The losses are squared (hinge, epsilon-insensitive), so each round solves a linear system.
 Kernels are explicit feature maps over per-cluster landmarks.
@@ -11,6 +13,7 @@ Kernels are explicit feature maps over per-cluster landmarks.
 
 from __future__ import annotations
 
+import pickle
 import time
 
 import numpy as np
@@ -24,17 +27,20 @@ from pyspark.sql import functions as F
 from ..functions import kernels as kn
 from ..functions.hashing import SEED, hash_int
 from ..functions.ranking import first_by_hash, hash_rank
-from ..session import small
+from ..session import BROADCAST_BYTES, cut, small
 
 BLOCK_ROWS = 8192
 BLOCK_CELLS = 2_000_000
 LANDMARKS = 64
-SUM_BYTES = 256 << 20       # Gram matrices one task may hold; more fits run in turns
+SUM_BYTES = 256 << 20       # Gram matrices that a task holds before it hands them on
+TURN_BYTES = BROADCAST_BYTES // 2    # of points that are broadcast at once
 
 DEFAULTS = {"kernel": "rbf", "c": 1.0, "gamma": None, "epsilon": 0.1}     # gamma None = 1/(d Var X)
 PARAM = "trial int, kernel string, c double, gamma double, epsilon double, mask array<boolean>"
 MODEL = ("cluster_id int, trial int, fold int, class_pos double, class_neg double, weights array<double>, "
          "objective double, residual double, rounds int, n_train bigint, n_support bigint, seconds double, error string")
+FIT = ("fit string, cluster_id int, trial int, fold int, class_pos double, class_neg double, kernel string, c double, gamma double, "
+       "epsilon double, mask array<boolean>, at array<double>, way array<double>, state binary, n bigint, done boolean, seconds double, error string")
 SCORE = "cluster_id int, trial int, fold int, n bigint, hits bigint, sse double, sum_y double, sum_yy double"
 
 
@@ -150,15 +156,18 @@ def _local_kernel(task: str, cross: bool, max_rounds: int):
                 label = np.asarray(row.label, dtype=float)
                 fold = np.asarray(row.fold) if cross else None
                 marks = _landmarks(row, int(row.d))
-                out = []
-                for param in row.params:
+                out, maps, paths = [], {}, {}
+                # along a path of C all sets of one kernel and gamma share the map, and each fit starts from the last
+                for param in sorted(row.params, key=lambda p: (p["kernel"], p["gamma"] or 0.0, p["c"], p["trial"])):
                     started = time.perf_counter()
                     try:
                         if task == "clf" and len(np.unique(label)) < 2:
                             raise ValueError("one class")
-                        phi = _mapped(x, row, param, marks)
+                        same = _map_key(param)
+                        if same not in maps:
+                            maps, paths = {same: _mapped(x, row, param, marks)}, {}
                         for f in _folds(row, cross):
-                            out.append(_one_fold(row, param, phi, label, fold, f, task, max_rounds, started))
+                            out.append(_one_fold(row, param, maps[same], label, fold, f, task, max_rounds, started, paths))
                     except Exception as error:      # the other clusters go on
                         out.append((param["trial"], -1, None, str(error)))
                 yield _score_frame(row, out) if cross else _model_frame(row, out)
@@ -166,12 +175,21 @@ def _local_kernel(task: str, cross: bool, max_rounds: int):
     return run
 
 
-def _one_fold(row, param, phi, label, fold, f, task, max_rounds, started):
+def _map_key(param):
+    """What a feature map depends on: linear ones on the mask alone."""
+    gamma = None if param["kernel"] == "linear" else param["gamma"]
+    mask = param["mask"]
+    return param["kernel"], None if gamma is None or np.isnan(gamma) else gamma, None if mask is None else tuple(mask)
+
+
+def _one_fold(row, param, phi, label, fold, f, task, max_rounds, started, paths):
     train = np.ones(len(label), dtype=bool) if f < 0 else fold != f
     states = []
     for a, b in _fit_pairs(np.unique(label[train]), task):
         here, target = _targets(label[train], a, b, task)
-        state = kn.solve_rows(phi[train][here], target, param["c"], task, param["epsilon"], max_rounds)
+        path = (f, a, b) if task == "clf" else (f, param["epsilon"])
+        state = kn.solve_rows(phi[train][here], target, param["c"], task, param["epsilon"], max_rounds, paths.get(path))
+        paths[path] = state.w
         states.append((a, b, state, int(here.sum())))
     if f < 0:
         return param["trial"], f, (states, time.perf_counter() - started), None
@@ -207,11 +225,18 @@ def _score_frame(row, out) -> pd.DataFrame:
 
 
 def pack_params(params: DataFrame, per_task: int = 4) -> DataFrame:
-    """Parameter sets of a cluster in short lists, so that few clusters still use many tasks."""
-    with_mask = params if "mask" in params.columns else params.withColumn("mask", F.lit(None).cast("array<boolean>"))
+    """Parameter sets of a cluster in short lists, so that few clusters still use many tasks; sets that share a
+    feature map (kernel and gamma) stand in one list."""
+    with_mask = with_masks(params)
     entry = F.struct(F.col("trial").cast("int").alias("trial"), "kernel", F.col("c").cast("double").alias("c"),
                      F.col("gamma").cast("double").alias("gamma"), F.col("epsilon").cast("double").alias("epsilon"), "mask")
-    return with_mask.groupBy("cluster_id", F.floor(F.col("trial") / per_task).alias("part")).agg(
+    if per_task >= 1 << 30:
+        part = F.lit(0).cast("bigint")
+    else:
+        gamma = F.when(F.col("kernel") == "linear", F.lit(0.0)).otherwise(F.coalesce(F.col("gamma").cast("double"), F.lit(-1.0)))
+        masked = F.when(F.col("mask").isNotNull(), F.floor(F.col("trial") / per_task)).otherwise(F.lit(-1))
+        part = F.xxhash64("kernel", gamma, masked)
+    return with_mask.groupBy("cluster_id", part.alias("part")).agg(
         F.sort_array(F.collect_list(entry)).alias("params"))
 
 
@@ -240,15 +265,7 @@ class SvmJob:
         packed = pack_blocks(rows, block_rows, seed, with_ids=False).join(self.marks, "cluster_id", "left")
         # Read once per round or trial table; losing a copy only costs packing it again.
         self.blocks = packed.persist(StorageLevel.MEMORY_AND_DISK)
-        large = self.blocks.filter("blocks > 1").groupBy("cluster_id").agg(
-            F.max("d").alias("d"), F.max("variance").alias("variance"),
-            F.max(F.col("n_folds")[0]).alias("n_folds") if "n_folds" in self.blocks.columns else F.lit(0).alias("n_folds"))
-        self.large = {r["cluster_id"]: r for r in large.collect()}
-        self.classes: dict = {}
-        if self.large and task == "clf":
-            seen = self.blocks.filter("blocks > 1").select("cluster_id", F.explode(F.array_distinct("label")).alias("label"))
-            for r in seen.groupBy("cluster_id").agg(F.sort_array(F.collect_set("label")).alias("c")).collect():
-                self.classes[r["cluster_id"]] = r["c"]
+        self.many = not self.blocks.filter("blocks > 1").isEmpty()
         rows.unpersist()
 
     def release(self) -> None:
@@ -261,12 +278,12 @@ class SvmJob:
     def train(self, params: DataFrame) -> DataFrame:
         """Models (one row per cluster, trial and class pair) fitted on all rows of the cluster."""
         small = self._small(params, False, MODEL, 4)
-        return small.unionByName(self._rounds(params, False)) if self.large else small
+        return small.unionByName(self._rounds(params, False)) if self.many else small
 
     def cross_validate(self, params: DataFrame, per_task: int = 4) -> DataFrame:
         """Sums per (cluster, trial, fold) on the held-out rows."""
         small = self._small(params, True, SCORE, per_task)
-        if not self.large:
+        if not self.many:
             return small
         models = self._rounds(params, True)
         scored = _score_large(self.blocks.filter("blocks > 1"), models, params, self.task)
@@ -274,153 +291,184 @@ class SvmJob:
 
     # -- clusters of many blocks ---------------------------------------------------------------
 
+    def _fits(self, params: DataFrame, cross: bool) -> DataFrame:
+        """One row per fit of a large cluster, at its starting point."""
+        many = self.blocks.filter("blocks > 1")
+        folds = F.max(F.col("n_folds")[0]) if cross else F.lit(0)
+        wanted = with_masks(params).join(many.groupBy("cluster_id").agg(F.max("d").alias("d"), F.max("variance").alias("variance"), folds.alias("n_folds")), "cluster_id")
+        none = F.lit(float("nan"))
+        if self.task == "clf":
+            labels = many.select("cluster_id", F.explode(F.array_distinct("label")).alias("label")).groupBy("cluster_id")
+            wanted = wanted.join(labels.agg(F.sort_array(F.collect_set("label")).alias("k")), "cluster_id")
+            later = lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+            pairs = F.when(F.size("k") > 1, F.flatten(F.transform("k", later))).otherwise(F.array(F.struct(none.alias("a"), none.alias("b"))))
+            failed = F.when(F.size("k") < 2, F.lit("one class"))
+        else:
+            pairs, failed = F.array(F.struct(none.alias("a"), none.alias("b"))), F.lit(None).cast("string")
+        wanted = wanted.withColumn("error", failed).withColumn("pair", F.explode(pairs))
+        fold = F.explode(F.sequence(F.lit(0), F.col("n_folds") - 1)) if cross else F.lit(-1)
+        wanted = (wanted.filter("error is null") if cross else wanted).withColumn("fold", fold)
+        named = wanted.withColumn("fit", F.concat_ws("/", "cluster_id", "trial", "fold", "pair.a", "pair.b"))
+        met = named.join(self.marks, "cluster_id", "left").select(
+            "fit", F.col("cluster_id").cast("int").alias("cluster_id"), F.col("trial").cast("int").alias("trial"), F.col("fold").cast("int").alias("fold"),
+            F.col("pair.a").alias("class_pos"), F.col("pair.b").alias("class_neg"), "kernel", F.col("c").cast("double").alias("c"),
+            F.col("gamma").cast("double").alias("gamma"), F.col("epsilon").cast("double").alias("epsilon"), "mask", "error", "d", "variance", "l_lengths", "l_idx", "l_val")
+        return cut(met.mapInPandas(_start_fits, FIT))
+
     def _rounds(self, params: DataFrame, cross: bool) -> DataFrame:
-        spark = params.sparkSession
-        ids = spark.createDataFrame([(int(c),) for c in self.large], "cluster_id int")
-        with_mask = params if "mask" in params.columns else params.withColumn("mask", F.lit(None).cast("array<boolean>"))
-        wanted = with_mask.join(ids, "cluster_id").toPandas()
-        marks = {r["cluster_id"]: r for r in self.marks.join(ids, "cluster_id").toPandas().to_dict("records")}
-        fits, lines = [], []
-        for p in wanted.to_dict("records"):
-            cluster = self.large[p["cluster_id"]]
-            classes = self.classes.get(p["cluster_id"], [])
-            if self.task == "clf" and len(classes) < 2:
-                lines.append((p["cluster_id"], p["trial"], -1, None, None, None, None, None, None, None, None, None, "one class"))
-                continue
-            width = _map_width(p, cluster, marks)
-            for f in (range(cluster["n_folds"]) if cross else (-1,)):
-                for a, b in _fit_pairs(classes, self.task):
-                    kind = kn.WideState if width > kn.GRAM_COLUMNS else kn.NewtonState
-                    fits.append((p, f, a, b, kind(width, p["c"])))
-        for part in _turns([fit for fit in fits if isinstance(fit[4], kn.NewtonState)], 2):
-            lines += self._solve_turn(part)
-        for part in _turns([fit for fit in fits if isinstance(fit[4], kn.WideState)], 1):
-            lines += self._solve_wide(part)
-        return spark.createDataFrame(lines, MODEL)
-
-    def _solve_turn(self, fits: list) -> list:
-        started = time.perf_counter()
+        """Models of the large clusters. Points of live fits join their clusters' blocks, TURN_BYTES at a time."""
+        state = self._fits(params, cross)
         blocks = self.blocks.filter("blocks > 1")
         while True:
-            live = [(i, *fit) for i, fit in enumerate(fits) if not fit[4].done]
-            if not live:
+            live = state.filter(~F.col("done"))
+            fits, size = live.agg(F.count("*"), F.sum(F.size("at") + F.when(F.col("way").isNull(), 0).otherwise(F.size("way")))).first()
+            if not fits:
                 break
-            todo: dict = {}
-            for i, p, f, a, b, state in live:
-                todo.setdefault(p["cluster_id"], {}).setdefault(p["trial"], (p, []))[1].append((i, f, a, b, state.candidate))
-            sums = blocks.mapInPandas(_sum_kernel(todo, self.task), "fit int, n bigint, sums array<double>")
-            total = sums.groupBy("fit").agg(
-                F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
-            solved = total.mapInPandas(_solve_kernel({i: (len(s.candidate), s.c) for i, *_, s in live}),
-                                       "fit int, n bigint, loss double, active bigint, solution array<double>")
-            for r in solved.toPandas().itertuples(index=False):
-                fits[r.fit][4].advance(r.loss, r.active, np.asarray(r.solution), self.max_rounds)
-                fits[r.fit][4].n = r.n
-        return self._lines(fits, started)
-
-    def _solve_wide(self, fits: list) -> list:
-        """Newton by conjugate gradients: each job sums one vector per fit, so a fit may be as wide as a row."""
-        started = time.perf_counter()
-        blocks = self.blocks.filter("blocks > 1")
-        while live := [(i, *fit) for i, fit in enumerate(fits) if not fit[4].done]:
-            todo: dict = {}
-            for i, p, f, a, b, s in live:
-                way = s.direction if s.phase == "solve" else None
-                todo.setdefault(p["cluster_id"], {}).setdefault(p["trial"], (p, []))[1].append((i, f, a, b, (s.candidate if way is None else s.w, way)))
-            sums = blocks.mapInPandas(_sum_kernel(todo, self.task, wide=True), "fit int, n bigint, sums array<double>")
+            turns = max(1, -(-8 * size // TURN_BYTES))
+            entry = F.struct("fit", "trial", "fold", "class_pos", "class_neg", "kernel", "c", "gamma", "epsilon", "mask", "at", "way")
+            points = live.withColumn("turn", F.pmod(F.xxhash64("cluster_id", "trial"), F.lit(turns)))
+            points = points.groupBy("cluster_id", "turn").agg(F.collect_list(entry).alias("fits"))
+            sums = None
+            for turn in range(turns):
+                met = blocks.join(F.broadcast(points.filter(F.col("turn") == turn).drop("turn")), "cluster_id")
+                found = met.mapInPandas(_sum_kernel(self.task), "fit string, rows bigint, sums array<double>")
+                sums = found if sums is None else sums.unionByName(found)
             total = sums.groupBy("fit").agg(
-                F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
-            for r in total.toPandas().itertuples(index=False):
-                state, v = fits[r.fit][4], np.asarray(r.sums)
-                state.n = r.n
-                if state.phase == "solve":
-                    state.solved(v[:-2])
-                else:
-                    state.measured(v[:-2], v[-2], int(round(v[-1])), self.max_rounds)
-        return self._lines(fits, started)
-
-    def _lines(self, fits: list, started: float) -> list:
-        seconds = time.perf_counter() - started
-        return [(int(p["cluster_id"]), int(p["trial"]), int(f), float(a), float(b), [float(v) for v in s.w], float(s.value),
-                 float(s.residual), int(s.rounds), int(s.n), int(s.active), seconds, None) for p, f, a, b, s in fits]
-
-
-def _map_width(param: dict, cluster, marks: dict) -> int:
+                F.sum("rows").alias("rows"), vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
+            state = cut(state.join(total, "fit", "left").mapInPandas(_advance(self.max_rounds), FIT))
+        return state.mapInPandas(_as_models, MODEL)
+
+
+def with_masks(params: DataFrame) -> DataFrame:
+    return params if "mask" in params.columns else params.withColumn("mask", F.lit(None).cast("array<boolean>"))
+
+
+FIT_NAMES = [c.split()[0] for c in FIT.split(", ")]
+
+
+def _start_fits(batches):
+    """Kernel: the starting state of each fit, as wide as its feature map."""
+    for pdf in batches:
+        lines = []
+        for row in pdf.itertuples(index=False):
+            values = row._asdict()
+            point = state = None
+            if row.error is None:
+                try:
+                    width = _map_width(row)
+                    kind = kn.WideState if width > kn.GRAM_COLUMNS else kn.NewtonState
+                    state = kind(width, row.c)
+                    point = state.candidate
+                except Exception as error:      # the other fits go on
+                    values["error"] = str(error)
+            held = None if state is None else pickle.dumps((kind.__name__, vars(state)))
+            lines.append([values.get(c) for c in FIT_NAMES[:-7]] + [point, None, held, 0, held is None, 0.0, values["error"]])
+        yield pd.DataFrame(lines, columns=FIT_NAMES)
+
+
+def _restored(data: bytes):
+    name, held = pickle.loads(data)
+    state = object.__new__(getattr(kn, name))
+    vars(state).update(held)
+    return state
+
+
+def _advance(max_rounds: int):
+    """Kernel: each live fit takes in its sums (upper Gram, right side, loss, active rows; for wide fits slope or
+    curvature, loss, active rows) and names the point where it wants the next ones."""
+    def run(batches):
+        for pdf in batches:
+            lines = []
+            for row in pdf.itertuples(index=False):
+                values = {c: getattr(row, c) for c in FIT_NAMES}
+                if not row.done:
+                    started = time.perf_counter()
+                    state, v = _restored(row.state), np.asarray(row.sums)
+                    if isinstance(state, kn.NewtonState):
+                        m = len(state.candidate)
+                        tri = m * (m + 1) // 2
+                        gram = np.zeros((m, m))
+                        gram[np.triu_indices(m)] = v[:tri]
+                        gram = gram + np.triu(gram, 1).T
+                        state.advance(v[-2], int(round(v[-1])), kn.newton_solution(gram, v[tri:tri + m], state.c), max_rounds)
+                    elif state.phase == "solve":
+                        state.solved(v[:-2])
+                    else:
+                        state.measured(v[:-2], v[-2], int(round(v[-1])), max_rounds)
+                    solving = isinstance(state, kn.WideState) and state.phase == "solve"
+                    values |= {"at": state.w if solving else state.candidate, "way": state.direction if solving else None, "n": row.rows,
+                               "state": pickle.dumps((type(state).__name__, vars(state))), "done": state.done, "seconds": row.seconds + time.perf_counter() - started}
+                lines.append([values[c] for c in FIT_NAMES])
+            yield pd.DataFrame(lines, columns=FIT_NAMES)
+
+    return run
+
+
+def _as_models(batches):
+    names = [c.split()[0] for c in MODEL.split(", ")]
+    for pdf in batches:
+        lines = []
+        for row in pdf.itertuples(index=False):
+            if row.state is None:
+                lines.append((row.cluster_id, row.trial, row.fold, *[None] * 9, row.error))
+                continue
+            s = _restored(row.state)
+            lines.append((row.cluster_id, row.trial, row.fold, row.class_pos, row.class_neg, s.w, float(s.value), float(s.residual),
+                          int(s.rounds), int(row.n), int(s.active), row.seconds, None))
+        yield pd.DataFrame(lines, columns=names)
+
+
+def _map_width(row) -> int:
     """Columns of the feature map, found on the landmarks themselves."""
-    mask = param["mask"]
-    d = int(cluster["d"])
-    if param["kernel"] == "linear":
-        return (d if mask is None else int(np.sum(mask[:d]))) + 1
-    mark = marks[param["cluster_id"]]
-    points = np.unique(_matrix(mark["l_lengths"], mark["l_idx"], mark["l_val"], d), axis=0)
-    holder = pd.Series({"variance": cluster["variance"]})
-    return _mapped(points, holder, param, points).shape[1]
-
-
-def _turns(fits: list, power: int):
-    """Groups of fits whose sums (Gram matrices, or vectors) fit in one task together."""
-    part, size = [], 0
-    for fit in fits:
-        need = 8 * len(fit[4].candidate) ** power
-        if part and size + need > SUM_BYTES:
-            yield part
-            part, size = [], 0
-        part.append(fit)
-        size += need
-    if part:
-        yield part
-
-
-def _sum_kernel(todo: dict, task: str, wide: bool = False):
-    """Kernel: sums of one task's blocks per fit, as one vector (upper Gram, right side, loss, active); for wide fits
-    (slope or curvature, loss, active)."""
+    d = int(row.d)
+    if row.kernel == "linear":
+        return (d if row.mask is None else int(np.sum(row.mask[:d]))) + 1
+    points = np.unique(_matrix(row.l_lengths, row.l_idx, row.l_val, d), axis=0)
+    return _mapped(points, row, {"mask": row.mask, "gamma": row.gamma, "kernel": row.kernel}, points).shape[1]
+
+
+def _sum_kernel(task: str):
+    """Kernel: sums of a task's blocks per fit, as one vector."""
 
     def run(batches):
         totals: dict = {}
+        held = 0
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                if row.cluster_id not in todo:
-                    continue
                 x = _matrix(row.lengths, row.idx, row.val, int(row.d))
                 label = np.asarray(row.label, dtype=float)
                 fold = np.asarray(row.fold) if hasattr(row, "fold") else None
                 marks = _landmarks(row, int(row.d))
-                for param, fits in todo[row.cluster_id].values():
-                    phi = _mapped(x, row, param, marks)
-                    for i, f, a, b, w in fits:
-                        train = np.ones(len(label), dtype=bool) if f < 0 else fold != f
-                        here, target = _targets(label[train], a, b, task)
-                        rows = phi[train][here]
-                        if not wide:
-                            gram, aim, loss, active = kn.newton_sums(rows, target, w, task, param["epsilon"])
-                            vector = np.concatenate([gram[np.triu_indices(len(aim))], aim, [loss, active]])
-                        elif w[1] is None:
-                            slope, loss, active = kn.slopes(rows, target, w[0], task, param["epsilon"])
-                            vector = np.concatenate([slope, [loss, active]])
-                        else:
-                            vector = np.concatenate([kn.curvature(rows, target, *w, task, param["epsilon"]), [0.0, 0.0]])
-                        n, old = totals.get(i, (0, 0.0))
-                        totals[i] = (n + int(here.sum()), old + vector)
-        for i, (n, vector) in totals.items():
-            yield pd.DataFrame({"fit": [i], "n": [n], "sums": [vector]})
+                same = phi = None
+                for fit in sorted(row.fits, key=lambda f: (f["kernel"], f["gamma"] or 0.0, f["trial"])):
+                    if same != _map_key(fit):
+                        same, phi = _map_key(fit), _mapped(x, row, fit, marks)
+                    train = np.ones(len(label), dtype=bool) if fit["fold"] < 0 else fold != fit["fold"]
+                    here, target = _targets(label[train], fit["class_pos"], fit["class_neg"], task)
+                    rows, at = phi[train][here], np.asarray(fit["at"])
+                    if fit["way"] is not None:
+                        vector = np.concatenate([kn.curvature(rows, target, at, np.asarray(fit["way"]), task, fit["epsilon"]), [0.0, 0.0]])
+                    elif len(at) > kn.GRAM_COLUMNS:
+                        slope, loss, active = kn.slopes(rows, target, at, task, fit["epsilon"])
+                        vector = np.concatenate([slope, [loss, active]])
+                    else:
+                        gram, aim, loss, active = kn.newton_sums(rows, target, at, task, fit["epsilon"])
+                        vector = np.concatenate([gram[np.triu_indices(len(aim))], aim, [loss, active]])
+                    if fit["fit"] not in totals:
+                        held += vector.nbytes
+                    n, old = totals.get(fit["fit"], (0, 0.0))
+                    totals[fit["fit"]] = (n + int(here.sum()), old + vector)
+                    if held > SUM_BYTES:
+                        yield _handed_on(totals)
+                        totals, held = {}, 0
+        if totals:
+            yield _handed_on(totals)
 
     return run
 
 
-def _solve_kernel(shape: dict):
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                m, c = shape[row.fit]
-                v = np.asarray(row.sums)
-                tri = m * (m + 1) // 2
-                gram = np.zeros((m, m))
-                gram[np.triu_indices(m)] = v[:tri]
-                gram = gram + np.triu(gram, 1).T
-                solution = kn.newton_solution(gram, v[tri:tri + m], c)
-                yield pd.DataFrame({"fit": [row.fit], "n": [row.n], "loss": [v[-2]], "active": [int(round(v[-1]))], "solution": [solution]})
-
-    return run
+def _handed_on(totals: dict) -> pd.DataFrame:
+    return pd.DataFrame({"fit": list(totals), "rows": [n for n, _ in totals.values()], "sums": [v for _, v in totals.values()]})
 
 
 def pack_models(models: DataFrame, params: DataFrame, marks: DataFrame | None) -> DataFrame:

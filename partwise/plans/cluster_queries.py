@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dense import dense_block
 from ..operators import cascade as cs
 from ..operators import entropy as en
 from ..operators import kselect as ks
@@ -88,12 +87,12 @@ def _label_centres(spark, sf):
 
 @query(f"WITH {EMB}, {LABEL_CENTRES} SELECT row_id, arg_min(cen.label::INT, list_distance(x, c)) AS cluster FROM emb, cen GROUP BY row_id")
 def nearest_centre(spark, sf):
-    centres = _label_centres(spark, sf).groupBy("label").agg(
-        F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("c")).orderBy("label")
-    local = [([e["feature"] for e in r["c"]], [e["value"] for e in r["c"]]) for r in centres.collect()]
-    table = dense_block([i for i, _ in local], [v for _, v in local], 1 + max(i[-1] for i, _ in local))
     samples = tb.embedding_samples(spark, sf)
-    return samples.select("row_id", ll.nearest({"all": table}, F.lit("all"), F.col("idx"), F.col("val")).alias("cluster"))
+    width = int(samples.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1
+    entries = _label_centres(spark, sf).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("e"))
+    state = entries.select(F.lit("all").alias("fit_id"), F.lit("all").alias("group"), F.lit("0").alias("part"), F.lit(0).alias("turn"),
+                           F.col("label").cast("int").alias("centre"), F.col("e.value").alias("c"))
+    return ll.assign(samples, ll.Centres(state, width, 1, True), F.lit("all")).select("row_id", "cluster")
 
 
 @query(f"WITH {PTS}, fits AS (SELECT 'all' AS fit, 'all' AS grp, 5 AS k), {lloyd_sql('km', 'pts', 'fits')} SELECT row_id, j::INT AS cluster FROM km_a")
@@ -131,7 +130,7 @@ FIXED = "fixed AS (SELECT k AS fit, row_id, row_id % k AS j FROM emb, range(2, 6
 def _fixed_silhouette(spark, sf):
     samples = tb.embedding_samples(spark, sf)
     labels = F.array(*[(F.col("row_id") % k).cast("int") for k in range(2, 6)])
-    scores = ks.silhouette(ks.silhouette_sample(samples).withColumn("labels", labels), [str(k) for k in range(2, 6)])
+    scores = ks.silhouette(samples.withColumn("labels", labels), [str(k) for k in range(2, 6)])
     return scores.select(F.col("name").cast("int").alias("k"), "score")
 
 

@@ -30,7 +30,7 @@ def test_kmeans_finds_the_blobs_and_predicts(points):
     model = KMeans(4).place(points)
     got = model.train.toPandas()
     assert got.groupby("label")["cluster"].nunique().max() == 1 and got["cluster"].nunique() == 4
-    assert len(model.fit.centres) == 4
+    assert model.fit.table.count() == 4
     assert model.assign(points).toPandas()["cluster"].tolist() == got["cluster"].tolist()
 
 
@@ -57,7 +57,7 @@ def test_round_robin_takes_any_id(spark, points):
 def test_centres_come_from_all_distinct_rows(spark):
     rows = [(i, [0], [float(i % 6 if i % 100 == 0 else 1)]) for i in range(2000)]
     df = spark.createDataFrame(rows, "row_id bigint, idx array<int>, val array<double>")
-    assert len(KMeans(3).place(df).fit.centres) == 3
+    assert KMeans(3).place(df).fit.table.count() == 3
 
 
 def test_scan_prefers_the_true_number(points):
