@@ -13,7 +13,7 @@ from .pieces import ragged
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-PORTION_BYTES = 8 << 20     # text of a task that is worked on at once, about (one text at least)
+PORTION_BYTES = 3 << 20     # text of a task that is worked on at once, about (one text at least)
 BLOCK = 1 << 20             # bytes that are hashed at once
 BITMAP_BITS = 1 << 27       # of a filter of frequent words or pairs, at most: 16 MB
 FIRST_BASE, SECOND_BASE = 0x100000001B3, 0x9E3779B97F4A7C15 | 1
