@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import rows as rw
+from ..session import shared_folder
+from ..sources import libsvm as lv
 from ..sources import profile as pf
 from ..sources import tables as tb
 from .registry import query
@@ -26,7 +28,8 @@ SPARSITY = rnd("1 - nnz / n_samples / n_features")
 
 @query(f"WITH {LABELLED_TOK} " + PROFILE.format(avg=SPARSITY, rows="tok_rows", cells="tok_cells"))
 def dataset_profile(spark, sf):
-    return pf.profile(tb.token_samples(spark, sf, labelled=True)).drop("dataset").withColumn("avg_sparsity", F.round("avg_sparsity", 6))
+    found = pf.profile_bags(tb.token_rows(spark, sf, labelled=True), tb.token_counts(spark, sf, True))
+    return found.drop("dataset").withColumn("avg_sparsity", F.round("avg_sparsity", 6))
 
 
 @query(f"WITH {EMB}, {LABELLED_TOK}, {EV} SELECT 'clf/embeddings' AS dataset, * FROM (" + PROFILE.format(avg=SPARSITY, rows="emb", cells="emb_cells")
@@ -72,9 +75,8 @@ HAVING 1 - count(*) / (SELECT count(*) FROM tok_rows) < 0.98),
 m AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS new_feature FROM k)
 SELECT row_id, new_feature::INT AS feature, value FROM tok_cells JOIN m USING (feature)""")
 def drop_sparse_features(spark, sf):
-    cells = tb.token_cells(spark, sf)
     n = tb.token_rows(spark, sf).agg(F.count("*")).scalar()
-    return rw.keep_features(cells, rw.frequent_features(cells, n)).select("row_id", "feature", "value")
+    return tb.frequent_token_cells(spark, sf, n).select("row_id", F.col("feature").cast("int").alias("feature"), "value")
 
 
 @query(f"""WITH {TOK}, s AS (SELECT cluster_id, count(*) AS n FROM tok_rows GROUP BY 1)
@@ -198,3 +200,13 @@ def target_range(spark, sf):
 def prediction_merge(spark, sf):
     p = _emb_predictions(spark, sf)
     return ev.merge_predictions(p.select("row_id", "cluster_id", "prediction"), p.select("row_id", "label"))
+
+
+@query(f"""WITH {EMB} SELECT label, feature, count(*) AS n, min(value) AS lo, max(value) AS hi, {rnd('sum(value)')} AS total FROM emb_cells GROUP BY ALL""")
+def libsvm_round_trip(spark, sf):
+    """All embeddings written as LIBSVM files and read back, summed up per label and feature."""
+    folder = shared_folder(spark)
+    lv.write_libsvm(tb.embedding_samples(spark, sf), folder)
+    cells = rw.cells_of(lv.read_libsvm(spark, folder, base=1), "label")
+    return cells.groupBy("label", "feature").agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.sum("value"), 6).alias("total"))

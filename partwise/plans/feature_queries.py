@@ -8,7 +8,9 @@ from ..operators import balance as bl
 from ..operators import construct as ct
 from ..operators import independence as ind
 from ..operators import mutual as mi
-from ..operators.rows import cells_of
+from ..operators.rows import apply_selection, cells_of, selection_map
+from ..session import small
+from ..sources import profile as pf
 from ..sources import tables as tb
 from .registry import query
 from .sqlparts import EMB, LINE, TOK, bits, h, rnd
@@ -89,20 +91,19 @@ def _token_clusters(spark, sf):
     return rows, tb.token_cells(spark, sf).select("row_id", "feature", "value", cluster)
 
 
-def _counts(spark, sf):
+def _independence(spark, sf):
     rows, cells = _token_clusters(spark, sf)
-    d = cells.agg((F.max("feature") + 1).cast("int")).scalar()
-    return ind.nonzero_counts(cells, rows.groupBy("cluster_id").agg(F.count("*").alias("n")), d)
+    return ind.Independence(cells, rows.groupBy("cluster_id").agg(F.count("*").alias("n")), cells.agg(F.max("feature") + 1).first()[0] or 0)
 
 
 @query(f"WITH {TOK}, {COUNTS} SELECT cluster_id, feature::INT AS feature, nonzero, zero FROM cnt")
 def independence_counts(spark, sf):
-    return _counts(spark, sf)
+    return _independence(spark, sf).counts().select("cluster_id", F.col("feature").cast("int").alias("feature"), "nonzero", (F.col("n") - F.col("nonzero")).alias("zero"))
 
 
 @query(f"WITH {TOK}, {COUNTS}, {SCORES} SELECT cluster_id, feature::INT AS feature, {rnd('score', 9)} AS score FROM sc")
 def independence_scores(spark, sf):
-    return ind.independence_scores(_counts(spark, sf)).withColumn("score", F.round("score", 9))
+    return _independence(spark, sf).scores().select("cluster_id", F.col("feature").cast("int").alias("feature"), F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {TOK}, {COUNTS}, {SCORES}, hit AS (SELECT *, score >= 0.01 AS hit FROM sc),
@@ -110,7 +111,8 @@ sel AS (SELECT *, hit OR NOT bool_or(hit) OVER (PARTITION BY cluster_id) AS sele
 SELECT cluster_id, feature::INT AS feature, {rnd('score', 9)} AS score, selected,
 CASE WHEN selected THEN sum(selected::INT) OVER (PARTITION BY cluster_id ORDER BY feature) - 1 END::INT AS out_feature FROM sel""")
 def independence_select(spark, sf):
-    return ind.independence_select(ind.independence_scores(_counts(spark, sf)), 0.01).withColumn("score", F.round("score", 9))
+    chosen = _independence(spark, sf).select(0.01)
+    return chosen.select("cluster_id", F.col("feature").cast("int").alias("feature"), F.round("score", 9).alias("score"), "selected", "out_feature")
 
 
 @query(f"""WITH {TOK}, {COUNTS}, {SCORES}, hit AS (SELECT *, score >= 0.01 AS hit FROM sc),
@@ -120,8 +122,7 @@ SELECT c.cluster_id, c.row_id, num.o::INT AS feature, c.value FROM tok_cells c J
 def independence_replay(spark, sf):
     from ..operators.rows import project_selected
     _, cells = _token_clusters(spark, sf)
-    chosen = ind.independence_select(ind.independence_scores(_counts(spark, sf)), 0.01)
-    return project_selected(cells, ind.as_selection(chosen)).select("cluster_id", "row_id", F.col("feature").cast("int").alias("feature"), "value")
+    return project_selected(cells, _independence(spark, sf).selection(0.01)).select("cluster_id", "row_id", F.col("feature").cast("int").alias("feature"), "value")
 
 
 # --- construction ----------------------------------------------------------------------------
@@ -309,3 +310,42 @@ def top_percentile(spark, sf):
 @query(f"WITH {EMB_POINTS}, {mutual_sql('pts')}, {selection_sql(5, 10)}")
 def k_best(spark, sf):
     return mi.select_features(_mutual(_emb_rows(spark, sf)), 5, 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT * FROM (WITH {EMB_POINTS}, {mutual_sql('pts')}, {selection_sql(50, 5)}) WHERE cluster_id = 1 AND selected")
+def feature_stats(spark, sf):
+    chosen = mi.select_features(_mutual(_emb_rows(spark, sf)), 50, 5).withColumn("score", F.round("score", 6))
+    return mi.feature_stats(chosen, 1)
+
+
+@query(f"""SELECT c.cluster_id, c.row_id, s.out_feature AS feature, c.value FROM (
+SELECT vec_id AS row_id, (vec_id % 4)::INT AS cluster_id, unnest(range(64))::INT AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings) c
+JOIN (WITH {EMB_POINTS}, {mutual_sql('pts')}, {selection_sql(50, 5)}) s USING (cluster_id, feature) WHERE s.selected AND c.value <> 0""")
+def mutual_replay(spark, sf):
+    """Scores, choice and projection of every cluster, as a run applies them."""
+    rows = _emb_rows(spark, sf)
+    chosen = mi.select_features(_mutual(rows), 50, 5)
+    return cells_of(apply_selection(rows, small(selection_map(ind.as_selection(chosen)))), "cluster_id", "row_id")
+
+
+SPLIT_ROWS = f"""sp AS (SELECT *, row_number() OVER (ORDER BY {h('row_id')} || '|' || row_id::VARCHAR) <= ceil(0.2 * count(*) OVER ()) AS t FROM emb),
+tr AS (SELECT * FROM sp WHERE NOT t), te AS (SELECT * FROM sp WHERE t),
+dense AS (SELECT cluster_id, row_id, label, unnest(range(64))::INT AS feature, unnest(x) AS value FROM tr),
+tdense AS (SELECT cluster_id, row_id, label, unnest(range(64))::INT AS feature, unnest(x) AS value FROM te)"""
+REPLAY = f"""WITH {EMB}, {SPLIT_ROWS}, {STATS.format(ratio=0.1)}, {EDGES}, {BINS.replace('FROM dense JOIN base', 'FROM tdense dense JOIN base')}, {PAIRS.format(rows='te')},
+wid AS (SELECT cluster_id, sum(len(inn) + 1) AS w FROM base GROUP BY 1),
+allc AS (SELECT cluster_id, row_id, feature, value FROM tdense
+ UNION ALL SELECT cluster_id, row_id, 64 + feature, (value - m) / CASE WHEN s = 0 THEN 1 ELSE s END FROM tdense JOIN st USING (cluster_id, feature)
+ UNION ALL SELECT cluster_id, row_id, 128 + col, 1.0 FROM hot
+ UNION ALL SELECT cluster_id, row_id, 128 + w + 2 * p, prod FROM pv JOIN wid USING (cluster_id)
+ UNION ALL SELECT cluster_id, row_id, 129 + w + 2 * p, ratio FROM pv JOIN wid USING (cluster_id))
+SELECT cluster_id, row_id, feature::INT AS feature, {rnd('value')} AS value FROM allc WHERE value <> 0"""
+
+
+@query(REPLAY)
+def construct_replay(spark, sf):
+    """Construction fitted on the train part, replayed on the test part."""
+    train, test = pf.split(tb.embedding_samples(spark, sf))
+    place = lambda df: df.withColumn("cluster_id", (F.col("row_id") % 4).cast("int")).withColumn("copy", F.lit(0))
+    built = ct.construct(place(test), _state(place(train), 0.1))
+    return cells_of(built, "cluster_id", "row_id").withColumn("value", F.round("value", 6))

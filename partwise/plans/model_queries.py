@@ -8,7 +8,7 @@ from ..operators import svm, tuning, wrapper
 from ..operators.clusterers import RoundRobin
 from ..operators.rows import cells_of, normalize
 from ..operators import evaluate as ev
-from ..session import cut
+from ..session import cut, shared_folder
 from ..sources import profile as pf
 from ..sources import runlog
 from ..sources import tables as tb
@@ -172,6 +172,41 @@ def wrapper_rank(spark, sf):
     return wrapper.rank_bees(fitness).withColumn("fitness", F.round("fitness", 6))
 
 
+FLIPS = f"""st AS (SELECT cluster_id, bee, string_agg(m::INT::VARCHAR, '' ORDER BY f) AS state, any_value(d) AS d FROM mk JOIN sh USING (cluster_id) GROUP BY 1, 2),
+q AS (SELECT cluster_id, state, (bee % 7)::INT AS action, (bee % 3)::DOUBLE AS value FROM st WHERE bee < 10),
+known AS (SELECT cluster_id, state, arg_max(action, value * 100 - action) AS a FROM q GROUP BY 1, 2),
+fl AS (SELECT st.*, CASE WHEN {uniform("'0/1', 'explore', cluster_id, bee")} < 0.1 OR a IS NULL THEN ({bits("'0/1', 'action', cluster_id, bee")} % d)::INT ELSE a END AS action
+  FROM st LEFT JOIN known USING (cluster_id, state))"""
+
+
+@query(f"""WITH {EMB}, {MASKS.format(bees=20, least=5)}, {FLIPS}
+SELECT cluster_id, bee::INT AS bee, state, action, substr(state, 1, action) || CASE WHEN substr(state, action + 1, 1) = '1' THEN '0' ELSE '1' END || substr(state, action + 2) AS next_state FROM fl""")
+def wrapper_flips(spark, sf):
+    """The next flip of 20 bees of every cluster, some with known actions."""
+    shape = _emb_rows(spark, sf).groupBy("cluster_id").agg((F.max(F.array_max("idx")) + 1).alias("d"))
+    bees = wrapper.candidate_masks(shape, 20, 5).withColumn("state", wrapper.mask_key())
+    q = bees.filter("bee < 10").select("cluster_id", "state", (F.col("bee") % 7).cast("int").alias("action"), (F.col("bee") % 3).cast("double").alias("value"))
+    flips = wrapper.propose_flips(bees, q, "0/1", 0.1)
+    return flips.select("cluster_id", "bee", "state", "action", wrapper.mask_key("next_mask").alias("next_state"))
+
+
+MOVES = """q AS (SELECT (event_id % 4)::INT AS cluster_id, event_type AS state, (user_id % 5)::INT AS action, avg(value) AS value FROM events GROUP BY ALL),
+mv AS (SELECT (event_id % 4)::INT AS cluster_id, event_type AS state, (user_id % 7)::INT AS action, avg(value) / 10 AS reward, lower(max(event_type || '')) AS next_state FROM events GROUP BY ALL)"""
+
+
+@query(f"""WITH {MOVES}, ahead AS (SELECT cluster_id, state AS next_state, max(value) AS ahead FROM q GROUP BY ALL),
+new AS (SELECT mv.cluster_id, mv.state, mv.action, coalesce(q.value, 0) + 0.1 * (reward + 0.9 * coalesce(ahead, 0) - coalesce(q.value, 0)) AS value
+  FROM mv LEFT JOIN ahead USING (cluster_id, next_state) LEFT JOIN q USING (cluster_id, state, action))
+SELECT cluster_id, state, action, {rnd('value')} AS value FROM (SELECT * FROM new UNION ALL SELECT * FROM q ANTI JOIN new USING (cluster_id, state, action))""")
+def q_update(spark, sf):
+    """One round of Q-learning, with event types as states and means of values as Q values and rewards."""
+    events = tb.table(spark, sf, "events").select((F.col("event_id") % 4).cast("int").alias("cluster_id"), F.col("event_type").alias("state"), "user_id", "value")
+    q = events.groupBy("cluster_id", "state", (F.col("user_id") % 5).cast("int").alias("action")).agg(F.avg("value").alias("value"))
+    moves = events.groupBy("cluster_id", "state", (F.col("user_id") % 7).cast("int").alias("action")).agg(
+        (F.avg("value") / 10).alias("reward"), F.lower(F.max("state")).alias("next_state"))
+    return wrapper.update_q(q, moves, 0.1, 0.9).withColumn("value", F.round("value", 6))
+
+
 # --- routed prediction with given linear weights --------------------------------------------------
 
 CENTROIDS = """cc AS (SELECT cluster_id, label, list(v ORDER BY feature) AS c FROM (SELECT cluster_id, label, feature, sum(value) AS v0, avg(value) AS v FROM emb_cells GROUP BY ALL) GROUP BY ALL),
@@ -319,7 +354,7 @@ def sweep_best_run(spark, sf):
     return sw.best_runs(sw.sweep({"embeddings": (train, test)}, configs), "accuracy")
 
 
-# --- run logs: lines rendered from a rule's results, one log per label ------------------------------
+# --- run logs: written as files, one log per label, with a rule's results, and read back ------------------------------
 
 LOG = """lg AS (SELECT 'log_docs' || label || '_20240101.log' AS file, label, count(*) AS n, avg((embedding[1] > 0)::INT) AS a FROM embeddings GROUP BY label)"""
 
@@ -336,5 +371,7 @@ def run_log_summary(spark, sf):
         F.concat(F.lit("INFO -   Fixed k: "), "n"), F.lit("INFO - Training time reached without a value"),
         F.concat(F.lit("INFO -   Training time: "), "n", F.lit(".50 seconds")),
         F.lit("INFO - Overall Accuracy: 0.0"), F.concat(F.lit("INFO - Overall Accuracy: "), F.col("a").cast("string")))
-    lines = logs.select(F.concat(F.lit("log_docs"), "label", F.lit("_20240101.log")).alias("file"), F.posexplode(text).alias("line_no", "text"))
-    return runlog.summarise(lines)
+    logs = logs.select(F.concat(F.lit("log_docs"), "label", F.lit("_20240101.log")).alias("file"), F.concat_ws("\n", text).alias("text"))
+    folder = shared_folder(spark)
+    runlog.write_logs(logs, folder)
+    return runlog.summarise(runlog.read_logs(spark, folder))

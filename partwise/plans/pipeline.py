@@ -146,17 +146,16 @@ class Pipeline:
         if c.nonzero_ratio is not None:
             sizes = work.groupBy("cluster_id").agg(F.count("*").alias("n"))
             found = rw.cluster_frequent_features(cells(), sizes, c.nonzero_ratio)
-            ranked = ind.independence_select(found.withColumn("score", F.lit(1.0)), 0.5)
+            ranked = ind.numbered(found.select("cluster_id", "feature"))
             before = columns
             work, columns = self._select(work, ind.as_selection(ranked), columns, drop=True)
             work = work.join(columns.select("cluster_id"), "cluster_id", "left_semi")
             self.tables["dropped_clusters"] = before.join(columns, "cluster_id", "left_anti").select("cluster_id")
         if c.independence:
             sizes = work.groupBy("cluster_id").agg(F.count("*").alias("n"))
-            scores = ind.independence_scores(ind.nonzero_counts(cells(), sizes, columns.agg(F.max("d")).scalar()), c.independence_smooth)
-            chosen = cut(ind.independence_select(scores, c.independence_threshold))
-            self.tables["independence_scores"] = chosen
-            work, columns = self._select(work, ind.as_selection(chosen), columns)
+            scores = ind.Independence(cells(), sizes, columns.agg(F.max("d")).first()[0], c.independence_smooth)
+            self.tables["independence_scores"] = scores.held()
+            work, columns = self._select(work, cut(scores.selection(c.independence_threshold)), columns)
         if c.construction:
             state = small(ct.fit_construction(cells(), ct.shapes(work, columns), c.discretize_ratio))
             self._replay.append(lambda rows: ct.construct(rows, state))

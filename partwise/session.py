@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, where all executors see it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="partwise-shared-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def spread_scan(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan with fewer splits than cores to all cores.
 

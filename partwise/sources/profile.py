@@ -32,6 +32,20 @@ def profile(samples: DataFrame, name: str = "all") -> DataFrame:
         F.lit(sparsity).cast("double").alias("avg_sparsity"), "label", "label_count")
 
 
+def profile_bags(rows: DataFrame, entries: DataFrame, name: str = "all") -> DataFrame:
+    """The same profile of bags of named features: ``rows`` (row_id, label) and ``entries`` (row_id, token), each
+    token once per row. Tokens are only counted; no token gets a number."""
+    entries = cut(entries.select("row_id", "token"))
+    n_features = entries.select("token").distinct().count()
+    sizes = entries.groupBy("row_id").agg(F.count("*").alias("nonzero"))
+    by_label = cut(rows.join(sizes, "row_id", "left").groupBy("label").agg(F.count("*").alias("label_count"), F.coalesce(F.sum("nonzero"), F.lit(0)).alias("nonzero")))
+    n, nonzero = by_label.agg(F.sum("label_count"), F.sum("nonzero")).first()
+    sparsity = 1 - nonzero / n / n_features if n and n_features else None
+    return by_label.select(
+        F.lit(name).alias("dataset"), F.lit(n).cast("bigint").alias("n_samples"), F.lit(n_features).cast("bigint").alias("n_features"),
+        F.lit(sparsity).cast("double").alias("avg_sparsity"), "label", "label_count")
+
+
 def profile_by(samples: DataFrame) -> DataFrame:
     """Profiles of many datasets in one job, keyed by ``dataset``."""
     by_label = samples.groupBy("dataset", "label").agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textfiles import register
+
 # Item names as they stand in the log files, in matching order.
 CONFIGURATION_KEYS = [
     "Task type", "SVM implementation", "Parallel training", "Clustering enabled",
@@ -24,10 +26,14 @@ TIMING_KEYS = [
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """lines(file, line_no, text) of the log_*.log files in a folder; one log is read as one value."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "log_*.log").text(path)
-    return whole.select(F.col("_metadata.file_name").alias("file"),
-                        F.posexplode(F.split("value", "\n")).alias("line_no", "text"))
+    """lines(file, line_no, text) of the log_*.log files in a folder; a log is read line by line."""
+    return register(spark).read.format("partwise_logs").load(path)
+
+
+def write_logs(logs: DataFrame, path: str) -> None:
+    """One file per row (file, text) in a new folder."""
+    register(logs.sparkSession)
+    logs.select("file", "text").write.format("partwise_logs").mode("append").save(path)
 
 
 def _claimed(keys: list[str], timing: bool) -> Column:

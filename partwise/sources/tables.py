@@ -6,12 +6,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import text_rank
 from ..operators.rows import pack
-from ..session import cut, spread_scan
+from ..session import cut, small, spread_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,18 @@ def token_cells(spark: SparkSession, sf_dir: str, labelled: bool = False) -> Dat
     return cut(counts.join(ids, "token").select("row_id", "feature", F.col("n").cast("double").alias("value")))
 
 
+def frequent_token_cells(spark: SparkSession, sf_dir: str, n_rows: Column, max_zero_share: float = 0.98) -> DataFrame:
+    """Cells of the tokens whose share of zeros is below the limit, numbered in md5 order.
+
+    Rare tokens go before any number is given and before cells meet numbers. A frequent token stands in more than
+    2 % of the rows, so there are at most 50 times as many as a mean row holds, and they are broadcast.
+    """
+    counts = cut(token_counts(spark, sf_dir, False))
+    held = counts.groupBy("token").agg(F.count("*").alias("nonzero")).filter(1 - F.col("nonzero") / n_rows < max_zero_share)
+    ids = small(text_rank(cut(held.select("token")), "token", "feature"))
+    return counts.join(ids, "token").select("row_id", "feature", F.col("n").cast("double").alias("value"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str, labelled: bool) -> DataFrame:
     documents = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     if labelled:

@@ -138,3 +138,35 @@ def test_norms_leave_zero_rows(spark):
         assert np.allclose(dense(rw.normalize(rows, norm), 2, 3), x / want)
     with pytest.raises(ValueError):
         rw.normalize(rows, "l3")
+
+
+def test_sparse_scores_equal_the_grid(spark):
+    rng = np.random.default_rng(8)
+    held = rng.random((60, 9)) < 0.4
+    held[:, 7:] = False
+    held[::3, 2] = False
+    cluster = np.arange(60) % 3
+    cells = spark.createDataFrame([(int(cluster[r]), int(f), 1.0) for r, f in np.argwhere(held)], "cluster_id int, feature int, value double")
+    sizes = spark.createDataFrame([(c, 20) for c in range(3)], "cluster_id int, n bigint")
+    found = ind.Independence(cells, sizes, 9)
+    want = {}
+    for c in range(3):
+        for f in range(9):
+            a = held[cluster == c, f].sum()
+            b, cc, d = held[:, f].sum() - a, 20 - a, 40 - (held[:, f].sum() - a)
+            want[c, f] = ((a + 1) * (d + 1) - (b + 1) * (cc + 1)) ** 2 / ((a + b + 1) * (a + cc + 1) * (cc + b + 1) * (cc + d + 1))
+    got = {(r["cluster_id"], r["feature"]): r["score"] for r in found.scores().collect()}
+    assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)
+    for threshold in (1e-4, 0.05, 0.2, 9.0):
+        hit = sorted(k for k in want if want[k] >= threshold)
+        chosen = sorted((r["cluster_id"], r["in_feature"], r["out_feature"]) for r in found.selection(threshold).collect())
+        assert chosen == [(c, f, [x for d, x in hit if d == c].index(f)) for c, f in hit]
+        full = found.select(threshold).collect()
+        empty = {c for c in range(3) if not any(d == c for d, _ in hit)}
+        assert len(full) == 27 and all(r["selected"] == ((r["cluster_id"], r["feature"]) in hit or r["cluster_id"] in empty) for r in full)
+
+
+def test_entropy_subset_keeps_all_rows(spark):
+    rows = sparse_frame(spark, [[1, 0, 2], [0, 0, 0], [0, 3, 4]], [0, 1, 0])
+    got = {r["row_id"]: (list(r["idx"]), list(r["val"])) for r in en.keep_subset(rows, spark.createDataFrame([(2,), (1,)], "feature int")).collect()}
+    assert got == {0: ([2], [2.0]), 1: ([], []), 2: ([1, 2], [3.0, 4.0])}

@@ -77,3 +77,32 @@ def test_log_summary_last_match_wins(spark, tmp_path):
     assert got[0]["Overall Accuracy"] == "0.75" and got[0]["Clustering"] == "3.20" and got[0]["Overall F1 Score"] is None
     # a line is claimed by the first listed key it contains, in each section
     assert got[1]["Training time"] == "1.00" and got[1]["Clustering enabled"] == "True" and got[1]["Clustering"] is None
+
+
+def test_lines_are_read_in_ranges_in_file_order(spark, tmp_path):
+    from partwise.sources.textfiles import register
+    folder = tmp_path / "many"
+    folder.mkdir()
+    lines = [[f"{i} {i % 7 + 1}:{i / 3!r}" for i in range(k, k + 200)] for k in (0, 200, 400)]
+    for k, part in enumerate(lines):
+        (folder / f"part-{k}.txt").write_text(("\r\n" if k == 1 else "\n").join(part) + ("" if k == 2 else "\n"))
+    (folder / "_SUCCESS").write_text("")
+    for size in (307, 1 << 20):
+        read = register(spark).read.format("partwise_libsvm").option("rangeBytes", size).load(str(folder))
+        rows = sorted((r["file"], r["line"], r["label"], r["val"][0]) for r in read.collect())
+        assert [r[2] for r in rows] == list(range(600)) and [r[3] for r in rows] == [i / 3 for i in range(600)]
+    assert [r["label"] for r in libsvm.read_libsvm(spark, str(folder), base=1).orderBy("row_id").collect()] == list(range(600))
+
+
+def test_logs_are_written_and_read(spark, tmp_path):
+    out = str(tmp_path / "logs")
+    runlog.write_logs(spark.createDataFrame([("log_a_1.log", "one\ntwo"), ("log_b_1.log", "x\n"), ("other.log", "no")], "file string, text string"), out)
+    got = sorted(map(tuple, runlog.read_logs(spark, out).collect()))
+    assert got == [("log_a_1.log", 0, "one"), ("log_a_1.log", 1, "two"), ("log_b_1.log", 0, "x")]
+
+
+def test_profile_of_bags_equals_that_of_rows(spark):
+    rows = sparse_frame(spark, [[1, 0, 2], [0, 0, 0], [3, 0, 0]], [1, 0, 0])
+    bags = rw.cells_of(rows).select("row_id", rw.F.concat(rw.F.lit("t"), "feature").alias("token"))
+    key = lambda df: sorted((r["label"], r["label_count"], r["n_samples"]) for r in df.collect())
+    assert key(pf.profile_bags(rows, bags)) == key(pf.profile(rows)) and pf.profile_bags(rows, bags).first()["n_features"] == 2
