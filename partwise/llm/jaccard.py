@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import small
 from .common import query, stored, table
@@ -225,43 +226,34 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return sure if close.isEmpty() else sure.union(compared(close, sets).mapInArrow(exact, "a long, b long"))
 
 
-def consensus(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, x): the tokens that more than half of a's members hold; no row if there are none. Copies differ from it by their own edits only."""
-    members = stars.select("a", F.col("b").alias("node")).union(stars.select("a", "a")).distinct()
-    sizes = members.groupBy("a").agg(F.count("*").alias("size"))
-    held = members.join(sets, "node").select("a", F.explode("tokens").alias("token")).groupBy("a", "token").agg(F.count("*").alias("held"))
-    most = held.join(sizes, "a").filter(F.col("held") * 2 > F.col("size"))
-    return most.groupBy("a").agg(F.sort_array(F.collect_list("token")).alias("x"))
-
-
-def differences(stars: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Rows (a, key, node, n, gap) for each member (b) of a's group and some tokens in which it differs from the group's consensus M.
+def differences(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (a, key, node, n, gap): for each member (a, node) of a group some tokens in which it differs from the
+    group's consensus M, the tokens that more than half of the members hold.
 
     Linked sets x, y differ in at most spread(x) tokens, and so do their differences from M. If these share a
-    token, one is among the first spread + 1 of either. If they share none, |x - M| + |y - M| is at most
-    c (|x| + |y|) with c = (1 - t) / (1 + t). Then the member with the least |z - M| - c |z| (the least ``gap``)
-    links with x and with y, so comparing all members with that one is enough.
+    token, one is among the first spread + 1 of either in any order; the order is by how few members differ in the
+    token, so that lists stay short. If they share none, |x - M| + |y - M| is at most c (|x| + |y|) with
+    c = (1 - t) / (1 + t). Then the member with the least |z - M| - c |z| (the least ``gap``) links with x and with
+    y, so comparing all members with that one is enough.
     """
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for a, b, x, y in zip(batch.column("a").to_numpy(), batch.column("b").to_numpy(), ragged_rows(batch.column("x")), ragged_rows(batch.column("y")), strict=True):
-                t = np.setxor1d(x, y, assume_unique=True)
-                gap = len(t) * (rule.scale + rule.percent) - len(y) * (rule.scale - rule.percent)
-                t = t[: rule.spread(len(y)) + 1] if len(t) else np.zeros(1, np.int64)
-                key = signed(mixed(t.view(np.uint64), np.full(len(t), a).view(np.uint64)))
-                out.append((np.full(len(t), a), key, np.full(len(t), b), np.full(len(t), len(y)), np.full(len(t), gap)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "key", "node", "n", "gap"])
-
-    middle = consensus(stars, sets)
-    members = stars.select("a", "b").union(stars.select("a", "a")).distinct()
-    wanted = small(members.select(F.col("b").alias("node")).distinct())
-    own = sets.join(wanted, "node", "left_semi").select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    common = F.coalesce("x", F.array().cast("array<long>")).alias("x")
-    return members.join(own, "b").join(middle, "a", "left").select("a", "b", common, "y").mapInArrow(run, "a long, key long, node long, n long, gap long")
+    sizes = members.groupBy("a").agg(F.count("*").alias("size"))
+    own = stored(members.join(sets, "node").select("a", "node", F.size("tokens").cast("long").alias("n"), "tokens"))
+    held = own.select("a", F.explode("tokens").alias("token")).groupBy("a", "token").agg(F.count("*").alias("held"))
+    held = stored(held.join(sizes, "a"))
+    most = held.filter(F.col("held") * 2 > F.col("size"))
+    middle = most.groupBy("a").agg(F.collect_list("token").alias("m"))
+    with_m = own.join(middle, "a", "left").withColumn("m", F.coalesce("m", F.array().cast("array<long>")))
+    apart = F.concat(F.array_except("tokens", "m"), F.array_except("m", "tokens"))
+    each = with_m.select("a", "node", "n", apart.alias("d"))
+    gap = F.size("d") * (rule.scale + rule.percent) - F.col("n") * (rule.scale - rule.percent)
+    each = each.withColumn("gap", gap.cast("long"))
+    differ = F.least("held", F.col("size") - F.col("held")).alias("differ")
+    tokens = each.select("a", "node", "n", "gap", F.explode("d").alias("token")).join(held.select("a", "token", differ), ["a", "token"])
+    order = F.row_number().over(W.partitionBy("a", "node").orderBy("differ", "token"))
+    first = tokens.withColumn("place", order).filter(F.col("place") <= F.floor(F.col("n") * (rule.scale - rule.percent) / rule.percent) + 1)
+    rows = first.select("a", F.xxhash64("a", "token").alias("key"), "node", "n", "gap")
+    none = each.filter(F.size("d") == 0).select("a", F.xxhash64("a", F.lit(0)).alias("key"), "node", "n", "gap")      # sets that are M itself
+    return rows.unionByName(none)
 
 
 def classes_of(members: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -298,7 +290,8 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
     many rare tokens as the regions' ends leave room for. Pairs are verified with the whole sets, each node's
     smallest partner first, the others only if their ends are still apart. An index list of more than LISTED
     members (a large group of near copies) is compared with one member; members that do not end up in one
-    component are all indexed again, with or without a link to that one, by what they differ in from what most of them share, so no list is ever paired out while it is large.
+    component are all indexed again, with or without a link to that one, by what they differ in from what most of
+    their group shares (lists with common members are one group).
     """
     read = keyed_bytes(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(read_sets(rule), SET)
     sets = stored(read.withColumn("row", F.monotonically_increasing_id()))        # numbers are fixed once written
@@ -352,7 +345,9 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
         if level == 0:      # members of open lists that no pair with their centre named
             absent = ends_of(again).join(small(tokens.select("node")), "node", "left_anti")
             tokens = tokens.union(whole_sets(documents, nodes, absent, rule))
-        parted = stored(differences(again, tokens, rule))
+        # lists that share members are one group, so that each member is written once a level
+        groups = components(again).withColumnRenamed("component", "a")
+        parted = stored(differences(groups, tokens, rule))
         nearest = parted.groupBy("a").agg(F.min(F.struct("gap", "node"))["node"].alias("m"))
         centred = parted.select("a", "node").distinct().join(nearest, "a").filter("node <> m").select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"))
         lists = parted.select("key", "node", "n")
