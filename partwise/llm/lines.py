@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import small
 from .common import NO_ID, query, stored, table
+from .pieces import portions
+from .repeats import Hashes, buffers, mixed, signed
 
 GRAM = 2        # lines of a fingerprint
 WINDOW = 2      # neighbouring fingerprints of which the least is kept
 RUN = GRAM + WINDOW - 1     # every repeated run of so many lines shares a kept fingerprint
 
-BLANK = r"^[\x20\x09-\x0D]*$"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def document_key(doc_id: str, text: str) -> list[Column]:
@@ -21,61 +25,126 @@ def document_key(doc_id: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_text")]
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(gram, k_id, k_text, windows): each kept fingerprint with the windows of RUN lines that chose it.
-
-    A window names its first line and all its lines by two hashes; ``first`` is its place among the lines that
-    are not blank, ``rows`` the numbers of its lines in the text.
-    """
-    lines = F.split("text", "\n")
-    numbered = F.filter(F.transform(lines, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda r: ~r["s"].rlike(BLANK))
-    docs = documents.filter("text is not null").select(*document_key("doc_id", "text"), numbered.alias("l")).filter(F.size("l") >= RUN)
-    docs = docs.select("k_id", "k_text", F.col("l.i").alias("at"), F.transform("l", lambda r: F.xxhash64(r["s"])).alias("h"))
+def line_hashes(column):
+    """Of every text that has lines which are not blank: for these lines, one after the other, the row, two hashes."""
+    data, starts, lengths = buffers(column)
+    cut = np.flatnonzero(data == 10)
+    begin = np.union1d(starts[lengths > 0], cut + 1)
+    begin = begin[begin < len(data)]
+    row = np.searchsorted(starts + lengths, begin, side="right")
+    end = np.minimum(np.r_[begin[1:], len(data)], (starts + lengths)[row])
+    end = np.where((end > begin) & (data[np.maximum(end - 1, 0)] == 10), end - 1, end)
+    ink = np.r_[0, np.cumsum((data != 32) & ((data < 9) | (data > 13)))]
+    real = ink[end] > ink[begin]
+    row, begin, end = row[real], begin[real], end[real]
+    return row, *(mixed(Hashes(data, i).of(begin, end), end - begin) for i in (0, 1))
+
+
+def winnowed(batches):
+    """Kernel: a row for every selected fingerprint, with its place (counted in lines that are not blank) and the
+    windows of RUN lines that selected it: its GRAM lines extended by a line before, or by one after."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in portions(batch, 2, 1 << 20):
+            row, *hashes = line_hashes(part.column(2))
+            if len(row) < RUN:
+                continue
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            gram = [mixed(h[:-1] * np.uint64(3) + h[1:]) for h in hashes]
+            window = [signed(mixed(g[:-1] * np.uint64(5) + h[2:])) for g, h in zip(gram, hashes, strict=True)]
+            starts = np.flatnonzero(row[2:] == row[:-2])                     # windows of lines of one text
+            late = gram[0][starts + 1] < gram[0][starts]                    # which of its two fingerprints is the least
+            chosen = np.where(late, starts + 1, starts)
+            fingerprint, group = np.unique(chosen, return_inverse=True)
+            sides = []
+            for side in (late, ~late):
+                value = [np.zeros(len(fingerprint), np.int64) for _ in window]
+                has = np.zeros(len(fingerprint), bool)
+                has[group[side]] = True
+                for v, w in zip(value, window, strict=True):
+                    v[group[side]] = w[starts[side]]
+                sides += [pa.array(v, mask=~has) for v in value]
+            of = pa.array(row[fingerprint])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(gram[0][fingerprint])), part.column(0).take(of), part.column(1).take(of),
+                                              pa.array(place[fingerprint], pa.int32()), *sides], names=["gram", "k_id", "k_text", "place", "b1", "b2", "a1", "a2"])
 
-    def many(start, count, salt):
-        return F.aggregate(F.slice(F.col("h"), start + 1, count), F.lit(salt).cast("bigint"), lambda a, b: F.xxhash64(a, b))
 
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - GRAM), lambda i: many(i, GRAM, 1))
-    docs = docs.withColumn("g", grams).select("*", F.posexplode(F.slice("g", 1, F.size("g") - WINDOW + 1)).alias("j", "g0"))
-    least = F.array_min(F.transform(F.slice(F.col("g"), F.col("j") + 1, WINDOW), lambda g: g))
-    return docs.select(least.alias("gram"), "k_id", "k_text", F.col("j").alias("first"), many(F.col("j"), RUN, 2).alias("w1"),
-                       many(F.col("j"), RUN, 3).alias("w2"), F.slice(F.col("at"), F.col("j") + 1, RUN).alias("rows"))
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """(gram, k_id, k_text, place, b1, b2, a1, a2): each selected fingerprint of each text, and the hashes of its lines
+    with the line before (b) and with the line after (a), null where that window selected another."""
+    docs = documents.filter("text is not null").select(*document_key("doc_id", "text"), F.col("text").cast("binary").alias("bytes"))
+    return docs.mapInArrow(winnowed, "gram long, k_id long, k_text long, place int, b1 long, b2 long, a1 long, a2 long")
 
 
 def repeated_lines(documents: DataFrame) -> DataFrame:
-    """(k_id, k_text, gone): the line numbers that a later run repeats, one row per document that has any."""
+    """(k_id, k_text, gone): the first lines of the windows that stood before, counted in lines that are not blank;
+    one row per document that has any.
+
+    Positions of equal fingerprints meet by their windows: a match goes on before or behind a fingerprint exactly if
+    the window on that side is equal, and neighbouring windows join up to the whole run. The earliest place of each
+    window is found by minima that are taken map-side, so a line that many documents share is no large group.
+    """
     found = stored(fingerprints(documents))
     grams = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     common = found.join(grams, "gram", "left_semi")
+    before = F.struct((F.col("place") - 1).alias("first"), F.col("b1").alias("w1"), F.col("b2").alias("w2"))
+    after = F.struct(F.col("place").alias("first"), F.col("a1").alias("w1"), F.col("a2").alias("w2"))
+    sides = common.select("k_id", "k_text", F.explode(F.filter(F.array(before, after), lambda s: s["w1"].isNotNull())).alias("s")).select("k_id", "k_text", "s.*")
     place = F.struct("k_id", "k_text", "first")
-    firsts = common.groupBy("w1", "w2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = common.join(firsts, ["w1", "w2"]).filter(place > F.col("origin"))
-    # neighbouring windows of one run join up: the run extends as far either way as its lines are repeated
-    return later.groupBy("k_id", "k_text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("gone"))
+    firsts = sides.groupBy("w1", "w2").agg(F.min(place).alias("origin"), F.max(place).alias("last")).filter("origin < last").drop("last")
+    later = sides.join(firsts, ["w1", "w2"]).filter(place > F.col("origin"))
+    return later.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_set("first")).alias("gone"))
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores as make it none of those taken (in any case)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
-def dedup_lines(documents: DataFrame, counts: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, counts: bool | tuple[str, str] = False) -> DataFrame:
     """Delete every line within a run of RUN lines that stood before: earlier in the same text or in a document
     with a smaller (doc_id, text hash); a null doc_id comes first. The first run of its kind stays whole.
 
     Lines end at a line feed and are compared exactly; blank lines do not count as lines of a run and stay.
     A null text stays null, and a text that loses all its lines becomes empty. All columns are kept. With
-    ``counts`` n_lines (0 for null) and n_removed are added. Window classes are counted map-side, so a run
-    that a third of all documents share is one row per task.
+    ``counts`` n_lines (0 for null) and n_removed are added, or columns by two other names; a column that has such a
+    name is replaced. The work on a text grows with its length, however many lines it has.
     """
-    gone = small(repeated_lines(documents))
-    keyed = documents.select("*", F.struct(*document_key("doc_id", "text")).alias("__k"))
-    keyed = keyed.select("*", F.col("__k.k_id").alias("__k1"), F.col("__k.k_text").alias("__k2"))
-    gone = gone.select(F.col("k_id").alias("__k1"), F.col("k_text").alias("__k2"), F.col("gone").alias("__gone"))
-    joined = keyed.join(gone, ["__k1", "__k2"], "left")
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda s, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    cols = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns]
-    if counts:
-        cols += [F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
-                 F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")]
-    return joined.select(*cols)
+    names = () if not counts else ("n_lines", "n_removed") if counts is True else counts
+    kept = [c for c in documents.columns if c not in names]
+    one, two, lost = (unused(n, [*kept, *names]) for n in ("k_id", "k_text", "gone"))
+    gone = small(repeated_lines(documents)).toDF(one, two, lost)
+    key_id, key_text = document_key("doc_id", "text")
+    keyed = documents.select(*[F.col(f"`{c}`") for c in kept], key_id.alias(one), key_text.alias(two))
+    joined = keyed.join(gone, [one, two], "left").select(*[f"`{c}`" for c in kept], f"`{lost}`")
+    at = kept.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in portions(batch, at, 4 << 20):
+                texts, n_lines, n_removed = [], [], []
+                for text, first in zip(part.column(at).to_pylist(), part.column(len(kept)).to_pylist(), strict=True):
+                    n_lines.append(0 if text is None else text.count("\n") + 1)
+                    removed = 0
+                    if first:
+                        lines = text.split("\n")
+                        real = [i for i, s in enumerate(lines) if s.strip(BLANKS)]
+                        drop = {real[f + k] for f in first for k in range(RUN)}
+                        removed = len(drop)
+                        text = "\n".join(s for i, s in enumerate(lines) if i not in drop)
+                    texts.append(text)
+                    n_removed.append(removed)
+                columns = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(kept))]
+                more = [pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())] if names else []
+                yield pa.RecordBatch.from_arrays([*columns, *more], names=[*kept, *names])
+
+    fields = [*joined.schema.fields[:-1], *[StructField(n, LongType()) for n in names]]
+    return joined.mapInArrow(run, StructType(fields))
 
 
 #: The same by windows of three lines outright, without fingerprints.

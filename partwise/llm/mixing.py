@@ -103,8 +103,13 @@ def mix_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     slim = stored(with_draws(documents, labels))
     plan = plan_mix(slim)
     names = documents.columns
-    packed = documents.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    mixed = apply_mix(with_draws(packed, labels, "__row"), plan)
+    # the decision depends on id, source and size alone; labels and plan meet these, and texts only meet the decision,
+    # by the same join at every size
+    taken = apply_mix(slim, plan).groupBy(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size")]).agg(F.first("taken").alias("taken"))
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    packed = packed.withColumn("size", word_count(F.col("__row.text")))
+    same = F.col("__row.doc_id").eqNullSafe(F.col("__doc_id")) & F.col("__row.source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
+    mixed = packed.join(taken.hint("shuffle_hash"), same).select("__row", "size", "taken")
     whole = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.greatest("size", F.lit(1))).otherwise(0).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))

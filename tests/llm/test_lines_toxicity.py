@@ -50,6 +50,24 @@ def test_line_edges(edge, nothing):
     assert dedup_lines(edge).columns == edge.columns and dedup_lines(nothing).count() == 0
 
 
+def test_many_lines_take_linear_time(spark):
+    text = "\n".join(f"line {i}" for i in range(300_000))
+    again = "start\n" + "\n".join(f"line {i}" for i in range(100_000, 200_000)) + "\nend"
+    done = dedup_lines(spark.createDataFrame([(1, text), (2, again)], "doc_id long, text string"), counts=True)
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in done.collect()} == {1: (300_000, 0), 2: (100_002, 100_000)}
+
+
+def test_columns_with_names_of_helpers(spark):
+    import corpus_pipeline
+
+    names = ["k_id", "K_TEXT", "gone", "n_lines", "n_removed", "place", "gram", "n_chars"]
+    rows = [(i, "a\nb\nc\nd", *[7] * len(names)) for i in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    assert dedup_lines(frame, counts=True).columns == ["doc_id", "text", *[n for n in names if n not in ("n_lines", "n_removed")], "n_lines", "n_removed"]
+    left = corpus_pipeline.distinct_lines(spark, frame, None)
+    assert left.columns == frame.columns and [r["n_removed"] for r in left.collect()] == [7]
+
+
 def labelled(n, seed):
     """Toxic only where an insult meets a group: neither word alone says it."""
     rng = random.Random(seed)
