@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from partwise.llm.common import GAP, stored, table
 from partwise.llm.encoding import encode_documents, normalised
 from partwise.llm.jaccard import Rule, one_of_each
-from partwise.llm.lines import dedup_lines
+from partwise.llm.lines import dedup_lines, unused
 from partwise.llm.mixing import mix_documents
 from partwise.llm.pieces import Pieces
 from partwise.llm.toxicity import keep_clean
@@ -25,9 +25,10 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that stood before go, and with them documents that have no words left. n_chars follows the text."""
-    left = dedup_lines(docs, counts=True)
+    lines, removed = (unused(name, docs.columns) for name in ("n_lines", "n_removed"))
+    left = dedup_lines(docs, counts=(lines, removed))
     worded = F.regexp_replace("text", GAP, "") != ""
-    left = left.filter((F.col("n_removed") == 0) | worded).drop("n_lines", "n_removed")
+    left = left.filter((F.col(removed) == 0) | worded).drop(lines, removed)
     return left.withColumn("n_chars", F.length("text").cast("long"))
 
 
