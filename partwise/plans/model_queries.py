@@ -14,7 +14,7 @@ from ..sources import runlog
 from ..sources import tables as tb
 from .pipeline import Config, Pipeline
 from .registry import query
-from .sqlparts import EMB, EV, bits, h, rnd, uniform
+from .sqlparts import EMB, EV, LINE, bits, h, newton_sql, rnd, uniform
 from . import sweep as sw
 
 
@@ -247,9 +247,22 @@ def _train(rows, task, **override):
 MODEL_COLUMNS = ["cluster_id", "class_pos", "class_neg", "objective", "residual", "rounds", "n_train", "n_support"]
 
 
-@query()
+EVENT_FITS = f"""{EV}, kk AS (SELECT DISTINCT cluster_id, label FROM ev),
+prs AS (SELECT a.cluster_id, a.label AS p, b.label AS q FROM kk a JOIN kk b ON a.cluster_id = b.cluster_id AND a.label < b.label),
+fits AS (SELECT [ev.cluster_id::DOUBLE, p, q] AS fit, list_append(x, 1.0) AS x, CASE WHEN label = p THEN 1.0 ELSE -1.0 END AS y
+  FROM ev JOIN prs ON prs.cluster_id = ev.cluster_id AND label IN (p, q))"""
+
+
+def _objective(models):
+    """The minimum itself: its logarithm keeps six digits at any size."""
+    return models.withColumn("log_objective", F.round(F.log("objective"), 6)).drop("objective")
+
+
+@query(f"""WITH {EVENT_FITS}, {newton_sql('fits', 5, 'clf')}
+SELECT fit[1]::INT AS cluster_id, fit[2] AS class_pos, fit[3] AS class_neg, {rnd('ln(objective)')} AS log_objective, n_train, n_support FROM fin""")
 def svm_train_linear(spark, sf):
-    return _train(_event_rows(spark, sf), "clf", kernel="linear").select(*MODEL_COLUMNS)
+    models = _train(_event_rows(spark, sf), "clf", kernel="linear")
+    return _objective(models.select("cluster_id", "class_pos", "class_neg", "objective", "n_train", "n_support"))
 
 
 @query()
@@ -267,41 +280,64 @@ def svm_train_sigmoid(spark, sf):
     return _train(_emb_rows(spark, sf), "clf", kernel="sigmoid").select(*MODEL_COLUMNS)
 
 
-@query()
-def svr_train(spark, sf):
-    return _train(_line_rows(spark, sf), "reg", kernel="linear").select("cluster_id", "objective", "residual", "rounds", "n_train", "n_support")
+LINE_FITS = f"""{LINE}, fits AS (SELECT (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)::INT AS fit, list_append(x, 1.0) AS x, label AS y FROM line)"""
 
 
-@query()
-def svm_report(spark, sf):
-    return svm.train_report(_train(_emb_rows(spark, sf), "clf"), "clf").drop("training_time")
+@query(f"WITH {LINE_FITS}, {newton_sql('fits', 5, 'reg')} SELECT fit AS cluster_id, {rnd('ln(objective)')} AS log_objective, n_train, n_support FROM fin")
+def svr_train(spark, sf):
+    models = _train(_line_rows(spark, sf), "reg", kernel="linear")
+    return _objective(models.select("cluster_id", "objective", "n_train", "n_support"))
+
+
+@query(f"""WITH {EVENT_FITS}, {newton_sql('fits', 5, 'clf')}, votes AS (
+  SELECT row_id, ev.cluster_id, label, CASE WHEN list_dot_product(list_append(x, 1.0), w) > 0 THEN fit[2] ELSE fit[3] END AS v FROM ev JOIN sol ON fit[1] = ev.cluster_id),
+tally AS (SELECT row_id, cluster_id, label, v, count(*) AS votes FROM votes GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY votes DESC, v) AS r FROM tally)
+SELECT cluster_id, count(*) AS n, count(*) FILTER (label = v) AS hits FROM best WHERE r = 1 GROUP BY 1""")
+def svm_train_predict(spark, sf):
+    """Models trained on all events, votes of their class pairs for every event, right votes per cluster."""
+    rows = _event_rows(spark, sf)
+    params = svm.params_by_cluster(rows.select("cluster_id").distinct()).withColumn("kernel", F.lit("linear"))
+    job = svm.SvmJob(rows, "clf")
+    models = cut(job.train(params))
+    out = svm.predict(rows, models, params, svm.train_shape(job.blocks), "clf", job.marks)
+    return out.groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("prediction")).cast("bigint")).alias("hits"))
 
 
-@query()
+@query(f"""WITH {EVENT_FITS}, {newton_sql('fits', 5, 'clf')}
+SELECT fit[2] AS class_pos, fit[3] AS class_neg, {rnd('ln(objective)')} AS log_objective, n_train, n_support FROM fin WHERE fit[1] = 1""")
 def model_lookup(spark, sf):
-    return svm.get_model(_train(_emb_rows(spark, sf), "clf", kernel="linear"), 1).select(*MODEL_COLUMNS)
+    models = svm.get_model(_train(_event_rows(spark, sf), "clf", kernel="linear"), 1)
+    return _objective(models.select("class_pos", "class_neg", "objective", "n_train", "n_support"))
+
+
+@query(f"""WITH {EVENT_FITS}, {newton_sql('fits', 5, 'clf')}
+SELECT fit[1]::INT AS cluster_id, sum(n_support)::BIGINT AS n_support_vectors, count(*) AS n_fits, NULL::VARCHAR AS error, 'clf' AS task_type FROM fin GROUP BY 1""")
+def svm_report(spark, sf):
+    report = svm.train_report(_train(_event_rows(spark, sf), "clf", kernel="linear"), "clf")
+    return report.select("cluster_id", "n_support_vectors", "n_fits", "error", "task_type")
 
 
 def _tune(spark, sf, optimizer, **options):
-    rows = svm.assign_folds(_event_rows(spark, sf), 3, "clf")
-    job = svm.SvmJob(rows, "clf", landmarks=32)
+    rows = svm.assign_folds(_event_rows(spark, sf), 5, "clf")
+    job = svm.SvmJob(rows, "clf")
     _, best = tuning.tune(job, rows.select("cluster_id").distinct(), optimizer, **options)
     return best
 
 
 @query()
 def tune_random(spark, sf):
-    return _tune(spark, sf, "random", n_iter=6)
+    return _tune(spark, sf, "random", n_iter=10)
 
 
 @query()
 def tune_bayes(spark, sf):
-    return _tune(spark, sf, "bayes", n_iter=5, n_initial=3)
+    return _tune(spark, sf, "bayes", n_iter=10)
 
 
 @query()
 def tune_tpe(spark, sf):
-    return _tune(spark, sf, "tpe", n_iter=5, n_initial=3)
+    return _tune(spark, sf, "tpe", n_iter=10)
 
 
 @query()

@@ -58,3 +58,26 @@ ev AS (
   FROM events JOIN kinds USING (event_type)),
 ev_cells AS (
   SELECT * FROM (SELECT row_id, label, cluster_id, unnest(range(4))::INT AS feature, unnest(x) AS value FROM ev) WHERE value <> 0)"""
+
+
+def newton_sql(rows: str, width: int, task: str, rounds: int = 16, c: float = 1.0, epsilon: float = 0.1) -> str:
+    """CTEs of an unrolled Newton solution of the squared losses: from {rows}(fit, x, y), x with a constant last
+    column and y +-1 or the target, to sol(fit, w) and fin(fit, objective, n_train, n_support)."""
+    wide = range(1, width + 1)
+    margin = "1 - y * f" if task == "clf" else f"abs(y - f) - {epsilon}"
+    aim = "y" if task == "clf" else f"(y - sign(y - f) * {epsilon})"
+    parts = [f"w0 AS MATERIALIZED (SELECT DISTINCT fit, [{', '.join('0.0::DOUBLE' for _ in wide)}] AS w FROM {rows})"]
+    for r in range(rounds):
+        parts.append(f"f{r} AS (SELECT fit, x, y, list_dot_product(x, w) AS f FROM {rows} JOIN w{r} USING (fit))")
+        cells = [[f"{2 * c} * coalesce(sum(x[{i}] * x[{j}]) FILTER ({margin} > 0), 0)" + (f" + {1.0 if i < width else 1e-9}" if i == j else "") for j in wide]
+                 + [f"{2 * c} * coalesce(sum(x[{i}] * {aim}) FILTER ({margin} > 0), 0)"] for i in wide]
+        parts.append(f"e{r}_0 AS MATERIALIZED (SELECT fit, [{', '.join('[' + ', '.join(row) + ']' for row in cells)}] AS m FROM f{r} GROUP BY fit)")
+        for k in wide:      # positive definite, so no pivot is looked for
+            parts.append(f"e{r}_{k} AS MATERIALIZED (SELECT fit, list_transform(m, lambda q, i: CASE WHEN i = {k} THEN p ELSE list_transform(q, lambda v, j: v - q[{k}] * p[j]) END) AS m "
+                         f"FROM (SELECT fit, m, list_transform(m[{k}], lambda v: v / m[{k}][{k}]) AS p FROM e{r}_{k - 1}))")
+        parts.append(f"w{r + 1} AS MATERIALIZED (SELECT fit, list_transform(m, lambda q: q[{width + 1}]) AS w FROM e{r}_{width})")
+    parts.append(f"sol AS (SELECT fit, w FROM w{rounds})")
+    square = " + ".join(f"any_value(w[{i}]) ** 2" for i in range(1, width))
+    parts.append(f"fin AS (SELECT fit, 0.5 * ({square}) + {c} * coalesce(sum(({margin}) ** 2) FILTER ({margin} > 0), 0) AS objective, count(*) AS n_train, "
+                 f"count(*) FILTER ({margin} > 0) AS n_support FROM (SELECT fit, x, y, w, list_dot_product(x, w) AS f FROM {rows} JOIN sol USING (fit)) GROUP BY fit)")
+    return ",\n".join(parts)
