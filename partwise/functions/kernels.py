@@ -22,6 +22,16 @@ def kernel_matrix(x: np.ndarray, y: np.ndarray, kernel: str, gamma: float) -> np
     raise ValueError(f"unknown kernel {kernel!r}")
 
 
+def self_kernel(x: np.ndarray, kernel: str, gamma: float) -> np.ndarray:
+    """Kernel of each row with itself."""
+    square = (x * x).sum(1)
+    if kernel == "rbf":
+        return np.ones(len(x))
+    if kernel == "poly":
+        return (gamma * square) ** POLY_DEGREE
+    return np.tanh(gamma * square) if kernel == "sigmoid" else square
+
+
 def feature_map(x: np.ndarray, kernel: str, gamma: float, landmarks: np.ndarray | None) -> np.ndarray:
     """Explicit features with a constant last column: identity, or Nystroem over the landmarks."""
     if kernel == "linear":

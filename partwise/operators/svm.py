@@ -23,6 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import kernels as kn
 from ..functions.hashing import SEED, hash_int
@@ -32,6 +33,7 @@ from ..session import BROADCAST_BYTES, cut, small
 BLOCK_ROWS = 8192
 BLOCK_CELLS = 2_000_000
 LANDMARKS = 64
+MOST_LANDMARKS = 1024       # of one cluster, when they grow
 SUM_BYTES = 256 << 20       # Gram matrices that a task holds before it hands them on
 TURN_BYTES = BROADCAST_BYTES // 2    # of points that are broadcast at once
 
@@ -90,11 +92,16 @@ def pack_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = SEED,
         *[F.col(f"e.{c}").alias(c) for c in extra if c != "copy"])
 
 
-def landmark_table(rows: DataFrame, m: int = LANDMARKS, seed: int = SEED) -> DataFrame:
-    """The first ``m`` rows per cluster in hash order, packed; small by construction."""
+def landmark_rows(rows: DataFrame, m: int = LANDMARKS, seed: int = SEED) -> DataFrame:
+    """(cluster_id, rank, idx, val): the first ``m`` rows per cluster in hash order."""
     keyed = ["row_id", "copy"] if "copy" in rows.columns else ["row_id"]
     first = first_by_hash(rows.select("cluster_id", *keyed, "idx", "val"), ["cluster_id"], keyed, m, f"{seed}/landmark")
-    packed = first.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rank", "idx", "val"))).alias("l"))
+    return first.select("cluster_id", F.col("rank").cast("bigint").alias("rank"), "idx", "val")
+
+
+def pack_landmarks(marks: DataFrame) -> DataFrame:
+    """One row per cluster; at most MOST_LANDMARKS rows in it."""
+    packed = marks.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rank", "idx", "val"))).alias("l"))
     return packed.select("cluster_id", F.transform("l", lambda r: F.size(r["idx"])).alias("l_lengths"),
                          F.flatten("l.idx").alias("l_idx"), F.flatten("l.val").alias("l_val"))
 
@@ -123,11 +130,23 @@ def _mapped(x, row, param, marks):
         on[:min(d, len(mask))] = np.asarray(mask[:d], dtype=bool)
         x = x[:, on]
         marks = None if marks is None else marks[:, on]
-    gamma = param["gamma"]
+    return kn.feature_map(x, param["kernel"], _gamma(param["gamma"], x, row), marks)
+
+
+def _own_kernel(x, row, param) -> np.ndarray:
+    """Each row's kernel with itself."""
+    if param["mask"] is not None:
+        on = np.zeros(x.shape[1], dtype=bool)
+        on[:min(len(on), len(param["mask"]))] = np.asarray(param["mask"][:len(on)], dtype=bool)
+        x = x[:, on]
+    return kn.self_kernel(x, param["kernel"], _gamma(param["gamma"], x, row))
+
+
+def _gamma(gamma, x, row) -> float:
     if gamma is None or np.isnan(gamma):
         spread = x.shape[1] * row.variance
-        gamma = 1.0 / spread if spread > 0 else 1.0
-    return kn.feature_map(x, param["kernel"], gamma, marks)
+        return 1.0 / spread if spread > 0 else 1.0
+    return gamma
 
 
 def _targets(label, a, b, task):
@@ -261,7 +280,9 @@ class SvmJob:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         if rows.filter(F.col("label").isNull()).limit(1).count():
             raise ValueError("every row needs a label")
-        self.marks = small(landmark_table(rows, landmarks, seed))
+        self.seed, self.mark_rows = seed, cut(landmark_rows(rows, landmarks, seed))
+        self.marks = small(pack_landmarks(self.mark_rows))
+        self.residuals: DataFrame | None = None
         packed = pack_blocks(rows, block_rows, seed, with_ids=False).join(self.marks, "cluster_id", "left")
         # Read once per round or trial table; losing a copy only costs packing it again.
         self.blocks = packed.persist(StorageLevel.MEMORY_AND_DISK)
@@ -271,6 +292,38 @@ class SvmJob:
     def release(self) -> None:
         self.blocks.unpersist()
 
+    def grow(self, params: DataFrame, residual: float = 0.01, most: int = MOST_LANDMARKS) -> None:
+        """Add landmarks until every cluster's kernels are met: the part of the kernel's trace that the map misses is at
+        most ``residual``, or the cluster has ``most`` landmarks or has all its rows in.
+
+        Every round doubles the landmarks of the clusters that miss more; new ones are drawn from all their rows,
+        with a row's chance in proportion to what the map misses of it. ``residuals`` (cluster_id, landmarks,
+        kernel_residual) says where each ended.
+        """
+        maps = with_masks(params).filter("kernel <> 'linear'").select("cluster_id", "kernel", F.col("gamma").cast("double").alias("gamma"), "mask").distinct()
+        maps = small(maps.groupBy("cluster_id").agg(F.collect_list(F.struct("kernel", "gamma", "mask")).alias("maps")))
+        bare = self.blocks.drop("l_lengths", "l_idx", "l_val")
+        turn = 0
+        while True:
+            sizes = self.mark_rows.groupBy("cluster_id").agg(F.count("*").alias("landmarks"), F.max("rank").alias("top"))
+            met = bare.join(self.marks, "cluster_id").join(maps, "cluster_id")
+            seen = cut(met.mapInPandas(_missed(self.seed, turn, most), "cluster_id int, map int, missed double, trace double, key double, idx array<int>, val array<double>"))
+            share = seen.filter("map is not null").groupBy("cluster_id", "map").agg((F.sum("missed") / F.sum("trace")).alias("r"))
+            self.residuals = cut(share.groupBy("cluster_id").agg(F.max("r").alias("kernel_residual")).join(sizes, "cluster_id"))
+            left = self.residuals.filter((F.col("kernel_residual") > residual) & (F.col("landmarks") < most))
+            place = F.row_number().over(W.partitionBy("cluster_id").orderBy("key", "idx", "val"))
+            fresh = seen.filter("key is not null").join(left.select("cluster_id", "landmarks", "top"), "cluster_id").withColumn("place", place)
+            fresh = fresh.filter(F.col("place") <= F.least("landmarks", most - F.col("landmarks")))
+            added = cut(fresh.select("cluster_id", (F.col("top") + F.col("place")).alias("rank"), "idx", "val"))
+            if added.isEmpty():
+                break
+            self.mark_rows = cut(self.mark_rows.unionByName(added))
+            self.marks = small(pack_landmarks(self.mark_rows))
+            turn += 1
+        old, self.blocks = self.blocks, bare.join(self.marks, "cluster_id", "left").persist(StorageLevel.MEMORY_AND_DISK)
+        self.many = not self.blocks.filter("blocks > 1").isEmpty()
+        old.unpersist()
+
     def _small(self, params: DataFrame, cross: bool, schema: str, per_task: int) -> DataFrame:
         joined = self.blocks.filter("blocks = 1").join(small(pack_params(params, per_task)), "cluster_id")
         return _spread(joined, "cluster_id", "part").mapInPandas(_local_kernel(self.task, cross, self.max_rounds), schema)
@@ -339,6 +392,33 @@ class SvmJob:
         return state.mapInPandas(_as_models, MODEL)
 
 
+def _missed(seed: int, turn: int, most: int):
+    """Kernel: for each block and map the missed and the whole trace, and rows drawn in proportion to what is missed."""
+    def run(batches):
+        columns = ["cluster_id", "map", "missed", "trace", "key", "idx", "val"]
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                x, marks = _matrix(row.lengths, row.idx, row.val, int(row.d)), _landmarks(row, int(row.d))
+                lines, worst = [], np.zeros(len(x))
+                for number, m in enumerate(sorted(row.maps, key=lambda m: (m["kernel"], m["gamma"] or 0.0, str(m["mask"])))):
+                    phi = _mapped(x, row, m, marks)[:, :-1]
+                    whole = _own_kernel(x, row, m)
+                    missed = np.maximum(whole - (phi * phi).sum(1), 0.0)
+                    lines.append((row.cluster_id, number, float(missed.sum()), float(np.abs(whole).sum()) or 1.0, None, None, None))
+                    worst = np.maximum(worst, missed / max(float(np.abs(whole).mean()), 1e-300))
+                u = np.random.default_rng([seed, turn, int(row.cluster_id) & 0xFFFFFFFF, int(row.block)]).random(len(x))
+                with np.errstate(divide="ignore"):
+                    key = np.where(worst > 1e-9, -np.log(u) / worst, np.inf)
+                ends = np.cumsum(row.lengths)
+                for i in np.argsort(key, kind="stable")[: min(most, len(marks))]:
+                    if np.isfinite(key[i]):
+                        part = slice(ends[i] - row.lengths[i], ends[i])
+                        lines.append((row.cluster_id, None, None, None, float(key[i]), row.idx[part], row.val[part]))
+                yield pd.DataFrame(lines, columns=columns).astype({"map": "Int32", "missed": "Float64", "trace": "Float64", "key": "Float64"})
+
+    return run
+
+
 def with_masks(params: DataFrame) -> DataFrame:
     return params if "mask" in params.columns else params.withColumn("mask", F.lit(None).cast("array<boolean>"))
 
@@ -575,9 +655,11 @@ def get_model(models: DataFrame, cluster_id: int) -> DataFrame:
     return models.filter(F.col("cluster_id") == cluster_id)
 
 
-def train_report(models: DataFrame, task: str) -> DataFrame:
-    """Per cluster: seconds, support rows (rows with non-zero loss), pairs, and the error if it failed."""
-    return models.groupBy("cluster_id").agg(
+def train_report(models: DataFrame, task: str, residuals: DataFrame | None = None) -> DataFrame:
+    """Per cluster: seconds, support rows (rows with non-zero loss), pairs, and the error if it failed; with
+    ``residuals`` of a job also its landmarks and what its kernels miss."""
+    report = models.groupBy("cluster_id").agg(
         F.max("seconds").alias("training_time"), F.sum("n_support").alias("n_support_vectors"),
         F.count("weights").alias("n_fits"), F.max("residual").alias("residual"), F.max("error").alias("error")).withColumn(
         "task_type", F.lit(task))
+    return report if residuals is None else report.join(residuals.select("cluster_id", "landmarks", "kernel_residual"), "cluster_id", "left")

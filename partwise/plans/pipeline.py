@@ -55,6 +55,7 @@ class Config:
     max_rounds: int = 300
     fit_ratio: float | None = None      # share of a large table that centres and k are fitted on; None: all rows
     landmarks: int = svm.LANDMARKS
+    kernel_residual: float | None = None      # grow landmarks until the kernel misses no more than this share
     scan_options: dict = field(default_factory=dict)
     seed: int = SEED
 
@@ -193,6 +194,8 @@ class Pipeline:
                 params = params.withColumn(name, F.lit(value))
         self.params = cut(params)
         start = time.perf_counter()
+        if c.kernel_residual is not None:
+            self.job.grow(self.params, c.kernel_residual)
         self.models = cut(self.job.train(self.params))
         self.shape = cut(svm.train_shape(self.job.blocks))
         self.marks = cut(self.job.marks)
@@ -221,7 +224,7 @@ class Pipeline:
         metrics = cut(ev.metrics(merged, self.config.task))
         self._timed("Testing time", start)
         self._timed("Total execution time", total)
-        return Result(predictions, metrics, svm.train_report(self.models, self.config.task), self.models, self.params,
+        return Result(predictions, metrics, svm.train_report(self.models, self.config.task, self.job.residuals), self.models, self.params,
                       self.run_info(train.sparkSession), self.tables)
 
     def run_info(self, spark) -> DataFrame:

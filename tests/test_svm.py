@@ -126,3 +126,36 @@ def test_more_columns_than_rows(spark):
     state = kn.solve_rows(phi, target, 0.1, "clf", 0.0, 50)
     slope = np.append(state.w[:-1], 0.0) + 0.2 * kn.slopes(phi, target, state.w, "clf", 0.0)[0]
     assert np.abs(slope).max() < 1e-6
+
+
+@pytest.mark.parametrize("block_rows", [8192, 700])
+def test_grown_landmarks_reach_the_exact_kernel(spark, block_rows):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0.0, 6.0, (2000, 2)) + 0.01
+    label = ((np.floor(x[:, 0]) + np.floor(x[:, 1])) % 2).astype(float)           # a chequerboard
+    train, test = x[:1600], x[1600:]
+    gamma, c = 4.0, 1.0
+    phi = kn.feature_map(x, "rbf", gamma, train)                                   # every row is a landmark: the kernel itself
+    state = kn.solve_rows(phi[:1600], np.where(label[:1600] == 1, 1.0, -1.0), c, "clf", 0.0, 50)
+    exact = ((phi[1600:] @ state.w > 0) == (label[1600:] == 1)).mean()
+    ps = params(spark, [0], [{"kernel": "rbf", "c": c, "gamma": gamma}])
+    job = svm.SvmJob(sparse_frame(spark, train, label[:1600]), "clf", block_rows=block_rows)
+    job.grow(ps, 0.001)
+    found = job.residuals.first()
+    assert found["landmarks"] > 64 and found["kernel_residual"] <= 0.001
+    models = job.train(ps).persist()
+    held = sparse_frame(spark, test, label[1600:])
+    out = svm.predict(held, models, ps, svm.train_shape(job.blocks), "clf", job.marks).toPandas()
+    assert abs((out["label"] == out["prediction"]).mean() - exact) <= 0.01 and exact > 0.85
+
+
+def test_points_travel_in_turns(spark, monkeypatch):
+    x, label = blobs(300, classes=3, spread=2.0)
+    rows = sparse_frame(spark, x, label)
+    ps = params(spark, [0], [{"c": 0.1 * (i + 1)} for i in range(12)])
+    once = svm.SvmJob(rows, "clf", block_rows=64).train(ps).toPandas()
+    monkeypatch.setattr(svm, "TURN_BYTES", 300)
+    monkeypatch.setattr(svm, "SUM_BYTES", 200)
+    turns = svm.SvmJob(rows, "clf", block_rows=64).train(ps).toPandas()
+    key = ["trial", "class_pos", "class_neg"]
+    assert len(turns) == 36 and np.allclose(once.sort_values(key)["objective"], turns.sort_values(key)["objective"], rtol=1e-9)
