@@ -132,3 +132,81 @@ def test_one_label_in_all_leaves_everything(spark):
 def test_long_runs_of_a_label_are_read_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(bl, "RUN", 4)
     test_repair_repeats_rows_when_the_label_runs_out(spark)
+
+
+def test_centres_in_turns_give_the_same_fits(spark, monkeypatch):
+    from partwise.operators import lloyd as ll
+
+    x, label = blobs(300, classes=4, spread=1.5)
+    rows = sparse_frame(spark, x + 1, label).drop("copy").withColumn("group", (F.col("row_id") % 2).cast("string")).repartition(3).persist()
+    fits = ll.fit_table(spark, [ll.Fit("a", "0", 12), ll.Fit("b", "1", 3), ll.Fit("c", "1", 5)])
+
+    def fitted():
+        done = ll.run_lloyd(rows, fits, 2, n_init=2, max_rounds=5)
+        table = {(r["fit_id"], r["centre"]): (list(r["c"]), r["n"], r["error"]) for r in done.table.collect()}
+        labels = {r["row_id"]: r["cluster"] for r in ll.assign(rows, done.only(["a", "b"]), F.col("group")).collect()}
+        both = {r["row_id"]: tuple(r["labels"]) for r in ll.assign(rows.filter("group = '1'"), done, F.col("group"), "labels", ["b", "c"]).collect()}
+        return done, table, labels, both
+
+    done, table, labels, both = fitted()
+    assert done.turns == 1 and done.whole and len(table) == 20 and sum(n for _, n, _ in table.values()) == 450
+    monkeypatch.setattr(ll, "PARCEL_BYTES", 64)         # four centres of two columns
+    monkeypatch.setattr(ll, "TURN_BYTES", 128)
+    monkeypatch.setattr(ll, "SUM_BYTES", 64)
+    again, other, other_labels, other_both = fitted()
+    assert again.turns > 1 and not again.whole
+    assert set(table) == set(other) and all(table[k][1] == other[k][1] and abs(table[k][2] - other[k][2]) < 1e-9 for k in table)
+    assert labels == other_labels and both == other_both
+
+
+def test_pivots_skip_distances_and_find_the_nearest():
+    import numpy as np
+    from partwise.operators import lloyd as ll
+
+    rng = np.random.default_rng(1)
+    centres = np.concatenate([rng.normal(size=(40, 3)) * 0.2 + c for c in rng.normal(size=(12, 3)) * 10])
+    rows = np.concatenate([centres[rng.integers(0, 480, 500)] + rng.normal(size=(500, 3)) * 0.05, centres[:20]])
+    search = ll.Points(centres)
+    assert (search.nearest(rows) == ll.squared_distances(rows, centres).argmin(1)).all()
+    assert search.measured < 0.5 * len(rows) * len(centres)
+
+
+def test_silhouette_of_many_blocks_equals_brute_force(spark, points, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ks, "BLOCK_ROWS", 23)
+    monkeypatch.setattr(ks, "COLUMN_CHUNK", 1)
+    rows = points.withColumn("labels", F.array((F.col("row_id") % 3).cast("int"), F.when(F.col("row_id") == 5, 9).otherwise(F.col("label")).cast("int")))
+    got = {r["name"]: r["score"] for r in ks.silhouette(rows, ["a", "b"]).collect()}
+    local = rows.orderBy("row_id").collect()
+    x = np.zeros((200, 2))
+    for i, r in enumerate(local):
+        x[i, list(r["idx"])] = r["val"]
+    away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for f, name in enumerate("ab"):
+        label = np.array([r["labels"][f] for r in local])
+        s = []
+        for i in range(200):
+            own = (label == label[i]) & (np.arange(200) != i)
+            if not own.any():
+                s.append(0.0)
+                continue
+            a, b = away[i, own].mean(), min(away[i, label == other].mean() for other in set(label) - {label[i]})
+            s.append((b - a) / max(a, b))
+        assert abs(got[name] - np.mean(s)) < 1e-9
+
+
+def test_own_clusterer_predicts_from_the_features_it_was_fitted_on(points):
+    seen = []
+
+    class Widths:
+        def place(self, samples):
+            def mark(df):
+                seen.append(df.agg(F.max(F.size("idx"))).first()[0])
+                return df.withColumn("cluster", (F.col("row_id") % 2).cast("int"))
+            return Placed(mark(samples), mark)
+
+    cascade = CascadeClusterer(Widths(), entropy_ratio=0.5)
+    cascade.fit_predict(points)
+    assert cascade.predict(points).filter("cluster_id < 0").count() == 0
+    assert len(seen) == 2 and seen[0] == seen[1] == 1
