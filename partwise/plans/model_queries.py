@@ -12,7 +12,7 @@ from ..session import cut, shared_folder
 from ..sources import profile as pf
 from ..sources import runlog
 from ..sources import tables as tb
-from .pipeline import Config, Pipeline
+from .pipeline import Config, Pipeline, run_lines
 from .registry import query
 from .sqlparts import EMB, EV, LINE, bits, h, newton_sql, rnd, uniform
 from . import sweep as sw
@@ -234,6 +234,15 @@ def route_linear_predict(spark, sf):
     return svm.predict(rows, models, params, shape, "clf").drop("trial")
 
 
+@query(f"""WITH {EMB}, {CENTROIDS} SELECT 'Fixed k: ' || count(DISTINCT cluster_id) AS value FROM rk UNION ALL
+SELECT 'Overall Accuracy: ' || printf('%.4f', count(*) FILTER (label = v) / count(*)) FROM rk WHERE r = 1""")
+def run_report(spark, sf):
+    """The lines of a run's report, for the routed predictions above."""
+    predictions = cut(route_linear_predict(spark, sf))
+    info = predictions.agg(F.count_distinct("cluster_id").cast("string").alias("value")).select(F.lit("configuration").alias("section"), F.lit("Fixed k").alias("key"), "value")
+    return run_lines(info, ev.metrics(predictions, "clf").filter("metric = 'accuracy'"))
+
+
 # --- training, tuning, search (no SQL form) -------------------------------------------------------
 
 

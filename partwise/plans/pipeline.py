@@ -234,11 +234,15 @@ class Pipeline:
         return spark.createDataFrame(rows, "section string, key string, value string")
 
 
-def write_run_log(result: Result, path: str) -> None:
-    """The run as text lines 'key: value', readable by the run-log summary."""
+def run_lines(info: DataFrame, metrics: DataFrame) -> DataFrame:
+    """value: the lines 'key: value' of a run's configuration, timings and overall metrics."""
     names = {"accuracy": "Overall Accuracy", "f1": "Overall F1 Score", "mse": "Overall MSE", "rmse": "Overall RMSE", "r2": "Overall R2"}
     mapping = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    overall = result.metrics.filter("scope = 'overall'").select(
+    overall = metrics.filter("scope = 'overall'").select(
         F.concat_ws(": ", mapping[F.col("metric")], F.format_number("value", 4)).alias("value"))
-    info = result.run_info.select(F.concat_ws(": ", "key", "value").alias("value"))
-    info.unionByName(overall).coalesce(1).write.mode("overwrite").text(path)
+    return info.select(F.concat_ws(": ", "key", "value").alias("value")).unionByName(overall)
+
+
+def write_run_log(result: Result, path: str) -> None:
+    """The run as text lines, readable by the run-log summary."""
+    run_lines(result.run_info, result.metrics).coalesce(1).write.mode("overwrite").text(path)
