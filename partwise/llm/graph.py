@@ -8,21 +8,29 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+ONE_TASK = 100_000      # links that one task can hold at ease
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b): component is the smallest node reachable.
 
     Each round every node follows the neighbour (or itself) whose hash is least, links are moved to where their
     ends went, and what remains is again a table of links, a constant fraction smaller. Minima are taken
-    map-side, so a node with many links is no large group. Nothing returns to the driver but whether links remain.
+    map-side, so a node with many links is no large group. Nothing returns to the driver but how many links remain;
+    once there are ONE_TASK at most, they stay in one partition and need no more shuffles.
     """
     links = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     turns = []
-    while not turns or not links.isEmpty():
+    while (left := links.count()) or not turns:
+        if left <= ONE_TASK:
+            links = links.coalesce(1)
         both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
         salt = F.lit(len(turns))
         least = F.min(F.struct(F.xxhash64("other", salt).alias("h"), F.col("other").alias("to")))
         own = F.struct(F.xxhash64("node", salt).alias("h"), F.col("node").alias("to"))
+        both = both.coalesce(1) if left <= ONE_TASK else both
         moves = stored(both.groupBy("node").agg(least.alias("m")).select("node", F.least(own, "m")["to"].alias("to")))
+        moves = moves.coalesce(1) if left <= ONE_TASK else moves
         turns.append(moves)
         moved = links.join(moves.toDF("a", "ta"), "a").join(moves.toDF("b", "tb"), "b").filter("ta <> tb")
         links = stored(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
