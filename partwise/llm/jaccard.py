@@ -27,6 +27,7 @@ from pyspark.sql.window import Window as W
 from ..session import small
 from .common import query, stored, table
 from .graph import components
+from .phrases import Bitmap
 from .pieces import portions
 from .repeats import Hashes, buffers, keyed_bytes, mixed, signed
 
@@ -130,6 +131,25 @@ def full_sets(rule: Rule):
     return run
 
 
+def held_tokens(known):
+    """Kernel: (node, n, at, token) of the region tokens that the set of keys ``known`` (a broadcast Bitmap) may hold."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            region = batch.column("region")
+            sizes = np.asarray(region.value_lengths())
+            tokens = np.asarray(region.flatten())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hit = np.flatnonzero(known.value.has(tokens.view(np.uint64)))
+            of = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(of), batch.column("n").take(of), pa.array(at[hit], pa.int32()), pa.array(tokens[hit])],
+                                             names=["node", "n", "at", "token"])
+
+    return run
+
+
 def index_keys(rule: Rule):
     """Index keys of common and small sets from their shared region tokens: (key, node, n)."""
     def run(batches):
@@ -190,7 +210,13 @@ def ragged_rows(column):
     return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-SURE = 2        # shared tokens above the least number needed that no chance match of upper halves makes up
+SURE = 2        # shared tokens above the least number needed that no chance match of upper halves makes up in small sets
+
+
+def sure_margin(n: int, m: int) -> int:
+    """The same for any sizes: n m / 2^32 upper halves are expected to match by chance; twice that and ten deviations more."""
+    chance = n * m / 2 ** 32
+    return SURE + int(np.ceil(2 * chance + 10 * np.sqrt(chance)))
 
 
 def shared_upper(x: np.ndarray, y: np.ndarray) -> int:
@@ -200,8 +226,8 @@ def shared_upper(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that link. Upper halves of the tokens settle all pairs but those within SURE tokens of the
-    bound, at half the size; these are settled by whole tokens."""
+    """The pairs that link. Upper halves of the tokens settle all pairs but those within a margin of the bound that
+    grows with the sets (``sure_margin``), at half the size; these are settled by whole tokens."""
     def rough(batches):
         import pyarrow as pa
 
@@ -209,7 +235,7 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             rows = list(zip(ragged_rows(batch.column("x")), ragged_rows(batch.column("y")), strict=True))
             both = [min(shared_upper(x, y), shared_upper(y, x)) for x, y in rows]
             at_least = [rule.linked(k, len(x), len(y)) for k, (x, y) in zip(both, rows, strict=True)]
-            surely = [rule.linked(k - SURE, len(x), len(y)) for k, (x, y) in zip(both, rows, strict=True)]
+            surely = [rule.linked(k - sure_margin(len(x), len(y)), len(x), len(y)) for k, (x, y) in zip(both, rows, strict=True)]
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(surely, pa.bool_())], names=["a", "b", "sure"])
             yield out.filter(pa.array(at_least, pa.bool_()))
 
@@ -298,8 +324,11 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
     open_sizes = (F.col("n") > 0) & (rule.scale * F.col("n") >= rule.percent * (F.col("n") + 1))
     reps = small(sets.filter(open_sizes).groupBy("node").agg(F.min("row").alias("row")).select("row"))
     nodes = sets.join(reps, "row", "left_semi")
-    held = nodes.select("node", "n", F.posexplode("region").alias("at", "token"))
-    counts = held.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+    counts = nodes.select(F.explode("region").alias("token")).groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+    counts = stored(counts)
+    # most tokens stand in one set only; a bitmap keeps them out of the shuffle
+    known = documents.sparkSession.sparkContext.broadcast(Bitmap.of(counts.select(F.col("token").alias("key"))))
+    held = nodes.select("node", "n", "region").mapInArrow(held_tokens(known), "node long, n long, at int, token long")
     shared = held.join(counts.select("token", (F.col("held") > FREQUENT).alias("hot")), "token")
     shared = stored(shared)
 

@@ -99,6 +99,14 @@ def test_texts_of_one_checksum_and_no_id(spark):
     assert sorted(map(tuple, kept), key=str) == sorted(rows[1:], key=str)
 
 
+def test_chance_matches_of_large_sets_are_not_sure():
+    n, both = 1_000_000, 947_365                    # one of 947,369 needed at 90 % of 3-word shingles is missing, and three more
+    rule, chance = Rule(3, 90), n * n / 2 ** 32
+    assert not rule.linked(both, n, n) and rule.linked(both + int(chance), n, n)
+    assert not rule.linked(both + int(chance + 8 * chance ** 0.5) - jaccard.sure_margin(n, n), n, n)
+    assert jaccard.sure_margin(100, 100) <= 3
+
+
 def test_edges(edge, nothing):
     check(edge, Rule(3, 90))
     kept = one_of_each(edge, Rule(3, 90))
