@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -28,7 +28,7 @@ from ..session import small
 from .common import query, stored, table
 from .graph import components
 from .phrases import Bitmap
-from .pieces import portions
+from .pieces import portions, ragged
 from .repeats import Hashes, buffers, keyed_bytes, mixed, signed
 
 ALLOWANCE = 40
@@ -56,7 +56,7 @@ class Rule:
         return n * (self.scale - self.percent) // self.percent
 
     def linked(self, both, n, m):
-        return self.scale * both >= self.percent * (n + m - both)
+        return (self.scale + self.percent) * both >= self.percent * (n + m)
 
     @property
     def singles(self):
@@ -156,28 +156,36 @@ def index_keys(rule: Rule):
         import pyarrow as pa
 
         for batch in batches:
-            keys, nodes, sizes = [], [], []
-            for node, n, frequent, shared in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "frequent", "shared")), strict=True):
-                mine = []
-                t = np.array(sorted(r["token"] for r in shared if r["hot"]), np.int64)
-                if frequent > min(ALLOWANCE, min(n, rule.slack(n) + 1 + ALLOWANCE) - rule.slack(n) - 1):
-                    group = t.view(np.uint64) % np.uint64(GROUPS)
-                    for g in range(GROUPS):
-                        own = t[group == g].view(np.uint64)
-                        a, b = np.triu_indices(len(own), 1)
-                        mine.append(mixed(own[a], own[b] % np.uint64(1 << 62)))
-                if n <= rule.singles:
-                    early = [r["token"] for r in shared if r["at"] <= rule.slack(n)]
-                    mine.append(mixed(np.array(early, np.int64).view(np.uint64), np.full(len(early), 7)))
-                if mine:
-                    found = np.concatenate(mine)
-                    keys.append(found), nodes.append(np.full(len(found), node)), sizes.append(np.full(len(found), n))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["key", "node", "n"])
+            for part in portions_of_lists(batch, batch.schema.get_field_index("shared"), 1 << 16):
+                node, n, frequent = (part.column(c).to_numpy() for c in ("node", "n", "frequent"))
+                lists = part.column("shared")
+                row = np.repeat(np.arange(len(n)), lists.value_lengths().to_numpy())
+                token, at, hot = (lists.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("token", "at", "hot"))
+                common = frequent > np.minimum(ALLOWANCE, np.minimum(n, rule.slack(n) + 1 + ALLOWANCE) - rule.slack(n) - 1)
+                some = hot & common[row]
+                group, t, owner = token[some].view(np.uint64) % np.uint64(GROUPS), token[some], row[some]
+                order = np.lexsort((t, group, owner))
+                group, t, owner = group[order], t[order].view(np.uint64), owner[order]
+                last = np.r_[(group[1:] != group[:-1]) | (owner[1:] != owner[:-1]), np.ones(min(len(t), 1), bool)]
+                after = np.repeat(np.flatnonzero(last), np.diff(np.r_[-1, np.flatnonzero(last)])) - np.arange(len(t))      # tokens of the group that follow
+                one, two = np.repeat(np.arange(len(t)), after), ragged(np.arange(len(t)) + 1, after)
+                early = (n <= rule.singles)[row] & (at <= rule.slack(n)[row])
+                keys = np.concatenate([mixed(t[one], t[two] % np.uint64(1 << 62)), mixed(token[early].view(np.uint64), np.full(early.sum(), 7))])
+                of = np.concatenate([owner[one], row[early]])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(node[of]), pa.array(n[of])], names=["key", "node", "n"])
 
     return run
 
 
+def portions_of_lists(batch, column: int, size: int):
+    """A record batch in slices of about ``size`` list elements (one row at least)."""
+    part = np.cumsum(batch.column(column).value_lengths().to_numpy()) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def comparable(rule: Rule, n, m):
     return rule.scale * F.least(n, m) >= rule.percent * F.greatest(n, m)
 
@@ -193,63 +201,44 @@ def pairs_of(lists: DataFrame, rule: Rule) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, short: bool = False) -> DataFrame:
-    """Pairs (a, b) with both sets: ``short`` ones hold only the upper half of each token."""
-    tokens = F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int")) if short else F.col("tokens")
+    """(a, b, both, n, m, again): tokens that the sets of each pair share, the sets' sizes.
 
-    def side(end: str, name: str) -> DataFrame:
+    ``short`` compares the upper halves of the tokens: ``both`` counts those that occur on both sides, once each, and
+    ``again`` bounds how many more tokens may share one of them. A row holds two sets, and no batch of rows leaves the
+    join, so that many pairs of one large set take no more memory than one.
+    """
+    def side(end: str, name: str, n: str, again: str) -> DataFrame:
         wanted = small(pairs.select(F.col(end).alias("node")).distinct())      # few of the sets take part after the first level
-        return sets.join(wanted, "node", "left_semi").select(F.col("node").alias(end), tokens.alias(name))
-
-    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
+        own = sets.join(wanted, "node", "left_semi")
+        if short:
+            own = own.withColumn("tokens", F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int")))
+        repeats = F.size("tokens") - F.size(F.array_distinct("tokens")) if short else F.lit(0)
+        return own.select(F.col("node").alias(end), F.col("tokens").alias(name), F.size("tokens").cast("long").alias(n), repeats.alias(again))
 
-
-def ragged_rows(column):
-    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    ends = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)
-    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    met = pairs.join(side("b", "y", "m", "again_y"), "b").join(side("a", "x", "n", "again_x"), "a")
+    return met.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), "n", "m", F.least("again_x", "again_y").alias("again"))
 
 
 SURE = 2        # shared tokens above the least number needed that no chance match of upper halves makes up in small sets
 
 
-def sure_margin(n: int, m: int) -> int:
-    """The same for any sizes: n m / 2^32 upper halves are expected to match by chance; twice that and ten deviations more."""
+def sure_margin(n, m):
+    """The same for any sizes (numbers or columns): n m / 2^32 upper halves are expected to match by chance; twice that and ten deviations more."""
+    ceil, sqrt = (F.ceil, F.sqrt) if isinstance(n, Column) else (np.ceil, np.sqrt)
     chance = n * m / 2 ** 32
-    return SURE + int(np.ceil(2 * chance + 10 * np.sqrt(chance)))
-
-
-def shared_upper(x: np.ndarray, y: np.ndarray) -> int:
-    """Tokens of x whose upper half occurs in y: at least as many as are shared."""
-    at = np.searchsorted(y, x)
-    return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+    return SURE + ceil(2 * chance + 10 * sqrt(chance))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs that link. Upper halves of the tokens settle all pairs but those within a margin of the bound that
     grows with the sets (``sure_margin``), at half the size; these are settled by whole tokens."""
-    def rough(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = list(zip(ragged_rows(batch.column("x")), ragged_rows(batch.column("y")), strict=True))
-            both = [min(shared_upper(x, y), shared_upper(y, x)) for x, y in rows]
-            at_least = [rule.linked(k, len(x), len(y)) for k, (x, y) in zip(both, rows, strict=True)]
-            surely = [rule.linked(k - sure_margin(len(x), len(y)), len(x), len(y)) for k, (x, y) in zip(both, rows, strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(surely, pa.bool_())], names=["a", "b", "sure"])
-            yield out.filter(pa.array(at_least, pa.bool_()))
-
-    def exact(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            good = [rule.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
-                    for x, y in zip(ragged_rows(batch.column("x")), ragged_rows(batch.column("y")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    likely = stored(compared(pairs, sets, short=True).mapInArrow(rough, "a long, b long, sure boolean"))
-    sure, close = likely.filter("sure").select("a", "b"), likely.filter(~F.col("sure")).select("a", "b")
-    return sure if close.isEmpty() else sure.union(compared(close, sets).mapInArrow(exact, "a long, b long"))
+    n, m, both = F.col("n"), F.col("m"), F.col("both")
+    rough = compared(pairs, sets, short=True)
+    likely = rule.linked(both + F.col("again"), n, m)
+    sure = rule.linked(both - sure_margin(n, m), n, m)
+    rough = stored(rough.select("a", "b", likely.alias("likely"), sure.alias("sure"))).filter("likely")
+    sure, close = rough.filter("sure").select("a", "b"), rough.filter(~F.col("sure")).select("a", "b")
+    return sure if close.isEmpty() else sure.union(compared(close, sets).filter(rule.linked(both, n, m)).select("a", "b"))
 
 
 def differences(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -360,10 +349,10 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
         pairs = stored(near_regions(pairs.union(found).distinct(), nodes, rule) if level == 0 else across(found, classes).distinct())
         if tokens is None:
             tokens = whole_sets(documents, nodes, ends_of(pairs), rule)
-        nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        nearest = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         first = stored(verify(nearest, tokens, rule))
         met = first.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        rest = across(pairs.join(nearest, ["a", "b"], "left_anti"), met)
+        rest = stored(across(pairs.join(nearest, ["a", "b"], "left_anti"), met))      # read three times
         found = first.union(verify(rest, tokens, rule))
         links = stored(found if links is None else links.union(found))
         classes = components(links)

@@ -1,6 +1,10 @@
 import random
+import tracemalloc
+from collections import Counter
 from itertools import combinations
+from math import comb
 
+import pyarrow as pa
 import pytest
 from texts import equal_checksums, words_of
 
@@ -99,6 +103,37 @@ def test_texts_of_one_checksum_and_no_id(spark):
     assert sorted(map(tuple, kept), key=str) == sorted(rows[1:], key=str)
 
 
+def test_compared_pairs_leave_as_counts(spark):
+    rng = random.Random(4)
+    high = [rng.randrange(-2 ** 31, 2 ** 31) << 32 for _ in range(60)]
+    sets = {k: sorted({rng.choice(high) + rng.randrange(3) for _ in range(rng.randint(1, 90))}) for k in range(12)}     # many tokens of one upper half
+    table = spark.createDataFrame(list(sets.items()), "node long, tokens array<long>")
+    ends = list(combinations(sets, 2))
+    pairs = spark.createDataFrame(ends, "a long, b long")
+    whole, short = jaccard.compared(pairs, table), jaccard.compared(pairs, table, short=True)
+    assert not any("array" in kind for _, kind in whole.dtypes + short.dtypes)
+    both = {(r.a, r.b): r for r in whole.collect()}
+    assert {k: (r.both, r.n, r.m) for k, r in both.items()} == {(a, b): (len({*sets[a]} & {*sets[b]}), len(sets[a]), len(sets[b])) for a, b in ends}
+    upper = short.collect()
+    assert len(upper) == len(ends) and all(r.both + r.again >= both[r.a, r.b].both for r in upper)
+
+
+def test_keys_of_long_lists_in_little_memory():
+    rows, each = 2000, 120
+    token = pa.array([(i * 7919 + j) * 104729 for i in range(rows) for j in range(each)], pa.int64())
+    shared = pa.StructArray.from_arrays([token, pa.array([*range(each)] * rows, pa.int32()), pa.array([True] * len(token))], names=["token", "at", "hot"])
+    lists = pa.ListArray.from_arrays(pa.array([i * each for i in range(rows + 1)], pa.int32()), shared)
+    columns = [pa.array(range(rows), pa.int64()), pa.array([900] * rows, pa.int64()), pa.array([each] * rows, pa.int64()), lists]
+    batch = pa.RecordBatch.from_arrays(columns, names=["node", "n", "frequent", "shared"])
+    run = jaccard.index_keys(Rule(3, 90))
+    tracemalloc.start()
+    made = sum(out.num_rows for out in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == sum(comb(g, 2) for v in lists.to_pylist() for g in Counter(r["token"] % jaccard.GROUPS for r in v).values())
+    assert most < 40e6, most
+
+
 def test_chance_matches_of_large_sets_are_not_sure():
     n, both = 1_000_000, 947_365                    # one of 947,369 needed at 90 % of 3-word shingles is missing, and three more
     rule, chance = Rule(3, 90), n * n / 2 ** 32
