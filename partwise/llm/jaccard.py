@@ -207,9 +207,10 @@ def compared(pairs: DataFrame, sets: DataFrame, short: bool = False) -> DataFram
     ``again`` bounds how many more tokens may share one of them. A row holds two sets, and no batch of rows leaves the
     join, so that many pairs of one large set take no more memory than one.
     """
+    wanted = ends_known(pairs)      # few of the sets take part after the first level
+
     def side(end: str, name: str, n: str, again: str) -> DataFrame:
-        wanted = small(pairs.select(F.col(end).alias("node")).distinct())      # few of the sets take part after the first level
-        own = sets.join(wanted, "node", "left_semi")
+        own = sets.join(wanted.filter(f"in_{end}"), "node", "left_semi")
         if short:
             own = own.withColumn("tokens", F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int")))
         repeats = F.size("tokens") - F.size(F.array_distinct("tokens")) if short else F.lit(0)
@@ -290,6 +291,13 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
+def ends_known(pairs: DataFrame) -> DataFrame:
+    """(node, in_a, in_b): the nodes of pairs (a, b) and at which end they stand, measured once for both ends."""
+    a = pairs.select(F.col("a").alias("node"), F.lit(True).alias("in_a"), F.lit(False).alias("in_b"))
+    b = pairs.select(F.col("b").alias("node"), F.lit(False).alias("in_a"), F.lit(True).alias("in_b"))
+    return small(a.union(b).groupBy("node").agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b")))
+
+
 def whole_sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(node, tokens) of the wanted nodes, stored."""
     chosen = small(nodes.join(wanted, "node", "left_semi").select("node", "k_id", "k_sum"))
@@ -375,10 +383,10 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
 def near_regions(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose regions share as many tokens as a link needs: all that one region's slack leaves in the other."""
     def side(end: str, n: str, name: str) -> DataFrame:
-        wanted = small(pairs.select(F.col(end).alias("node")).distinct())
-        return nodes.join(wanted, "node", "left_semi").select(F.col("node").alias(end), F.col("n").alias(n), F.col("region").alias(name))
+        return nodes.join(wanted.filter(f"in_{end}"), "node", "left_semi").select(F.col("node").alias(end), F.col("n").alias(n), F.col("region").alias(name))
 
     pairs = stored(pairs)
+    wanted = ends_known(pairs)
     joined = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
     room = F.least(region_room(rule, "n"), region_room(rule, "m"))
     return joined.filter(F.size(F.array_intersect("x", "y")) >= room).select("a", "b")
