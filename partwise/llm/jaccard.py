@@ -352,9 +352,11 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
         found = pairs_of(few.groupBy("key").agg(F.collect_list(F.struct("node", "n", "class")).alias("members")), rule)
         many = sized.filter(F.col("size") > LISTED) if level < LEVELS else sized.limit(0)
         stars = many.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "key")
-        found = found.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        found = found if centred is None else found.union(centred)
-        pairs = stored(near_regions(pairs.union(found).distinct(), nodes, rule) if level == 0 else across(found, classes).distinct())
+        others = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if level == 0:
+            pairs = stored(near_regions(pairs.union(found).union(others).distinct(), nodes, rule))
+        else:       # pairs of lists are of two components already
+            pairs = stored(found.union(across(others.union(centred).distinct(), classes)).distinct())
         if tokens is None:
             tokens = whole_sets(documents, nodes, ends_of(pairs), rule)
         nearest = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
