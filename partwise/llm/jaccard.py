@@ -12,7 +12,11 @@ shared token a group, and ALLOWANCE >= GROUPS, so
 * common with common: more than slack tokens of the region that ends first count, a rare token or a pair is shared;
 * plain with any: a region ends at or after the partner's last needed rare token, or else more than ALLOWANCE of its
   tokens lie in the plain one's region and one of them is rare.
-Sets too small for that (ceil(t n) <= GROUPS) and all their possible partners are indexed by single tokens of the plain prefix as well.
+Sets too small for that (ceil(t n) <= GROUPS) and all their possible partners have all their tokens as region; the slack + 1
+that fewest sets hold index them singly as well.
+
+A candidate goes unless the parities of both sets' tokens, counted in a few bits per token, differ in no more places than
+linked sets may differ in tokens (``alike``); what is left is compared by whole sets.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ ALLOWANCE = 40
 GROUPS = 32
 FREQUENT = 16        # sets that share a rare token, at most: all their pairs are counted
 LISTED = 64         # members of an index list whose pairs are compared outright; larger ones are compared with one member first
+GROUPED = 4         # times LISTED: members of open lists that share members, whose pairs are compared outright
 LEVELS = 6          # of comparing with one member; what is still open is then compared in pairs
 
 
@@ -96,7 +101,18 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, word
     return key[new], np.bincount(owner[new], minlength=len(starts))
 
 
-SET = "k_id long, k_sum long, doc_id long, node long, n long, region array<long>"
+def parities(tokens: np.ndarray, n: np.ndarray):
+    """Bits of each set, 2 to 4 a token in a power of two of longs: bit i tells whether an odd number of tokens equal i modulo
+    the bits. Two sets differ in at least as many tokens as bits, and the two halves of the bits together are those of half as many."""
+    longs = 1 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64)
+    ends = np.cumsum(longs)
+    at = tokens.view(np.uint64) & np.repeat(64 * longs - 1, n).astype(np.uint64)
+    bits = np.zeros(longs.sum(), np.uint64)
+    np.bitwise_xor.at(bits, np.repeat(ends - longs, n) + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return signed(bits), longs
+
+
+SET = "k_id long, k_sum long, doc_id long, node long, n long, region array<long>, odd array<long>"
 
 
 def read_sets(rule: Rule):
@@ -104,17 +120,19 @@ def read_sets(rule: Rule):
         import pyarrow as pa
 
         for batch in batches:
-            for part in portions(batch, 2, 1 << 20):
+            for part in portions(batch, 2, 1 << 18):
                 tokens, n = shingle_sets(*buffers(part.column(2)), rule.words)
                 ends = np.cumsum(n)
                 sums = np.zeros(len(tokens) + 1, np.uint64)
                 np.cumsum(mixed(tokens.view(np.uint64), np.full(len(tokens), 1)), out=sums[1:])
                 node = mixed(sums[ends] - sums[ends - n], n)
-                size = np.minimum(n, rule.slack(n) + 1 + ALLOWANCE)
+                size = np.where(n <= rule.singles, n, np.minimum(n, rule.slack(n) + 1 + ALLOWANCE))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()),
                                                  pa.array(tokens[np.repeat(ends - n - (np.cumsum(size) - size), size) + np.arange(size.sum())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(signed(node)), pa.array(n), lists],
-                                                 names=["k_id", "k_sum", "doc_id", "node", "n", "region"])
+                bits, longs = parities(tokens, n)
+                odd = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(longs)], pa.int32()), pa.array(bits))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(signed(node)), pa.array(n), lists, odd],
+                                                 names=["k_id", "k_sum", "doc_id", "node", "n", "region", "odd"])
 
     return run
 
@@ -124,7 +142,7 @@ def full_sets(rule: Rule):
         import pyarrow as pa
 
         for batch in batches:
-            for part in portions(batch, 1, 1 << 20):
+            for part in portions(batch, 1, 1 << 18):
                 tokens, n = shingle_sets(*buffers(part.column(1)), rule.words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(tokens))], names=["node", "tokens"])
 
@@ -132,26 +150,24 @@ def full_sets(rule: Rule):
 
 
 def held_tokens(known):
-    """Kernel: (node, n, at, token) of the region tokens that the set of keys ``known`` (a broadcast Bitmap) may hold."""
+    """Kernel: (node, n, token) of the region tokens that the set of keys ``known`` (a broadcast Bitmap) may hold."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            region = batch.column("region")
-            sizes = np.asarray(region.value_lengths())
-            tokens = np.asarray(region.flatten())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            hit = np.flatnonzero(known.value.has(tokens.view(np.uint64)))
-            of = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(of), batch.column("n").take(of), pa.array(at[hit], pa.int32()), pa.array(tokens[hit])],
-                                             names=["node", "n", "at", "token"])
+            for part in portions_of_lists(batch, batch.schema.get_field_index("region"), 1 << 17):
+                region = part.column("region")
+                tokens = region.flatten().to_numpy()
+                hit = np.flatnonzero(known.value.has(tokens.view(np.uint64)))
+                of = pa.array(np.repeat(np.arange(part.num_rows), region.value_lengths().to_numpy())[hit])
+                yield pa.RecordBatch.from_arrays([part.column("node").take(of), part.column("n").take(of), pa.array(tokens[hit])], names=["node", "n", "token"])
 
     return run
 
 
 def index_keys(rule: Rule):
-    """Index keys of common and small sets from their shared region tokens: (key, node, n)."""
+    """Index keys of common and small sets from their shared region tokens: (key, node, n). ``at`` of a small set's token is
+    its place among all of them, those of fewer sets first."""
     def run(batches):
         import pyarrow as pa
 
@@ -251,20 +267,23 @@ def differences(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     token, so that lists stay short. If they share none, |x - M| + |y - M| is at most c (|x| + |y|) with
     c = (1 - t) / (1 + t). Then the member with the least |z - M| - c |z| (the least ``gap``) links with x and with
     y, so comparing all members with that one is enough.
+
+    Only tokens in which a member differs from what two members share become rows; those in which more than half
+    differ from it turn it into M.
     """
-    sizes = members.groupBy("a").agg(F.count("*").alias("size"))
-    own = stored(members.join(sets, "node").select("a", "node", F.size("tokens").cast("long").alias("n"), "tokens"))
-    held = own.select("a", F.explode("tokens").alias("token")).groupBy("a", "token").agg(F.count("*").alias("held"))
-    held = stored(held.join(sizes, "a"))
-    most = held.filter(F.col("held") * 2 > F.col("size"))
-    middle = most.groupBy("a").agg(F.collect_list("token").alias("m"))
-    with_m = own.join(middle, "a", "left").withColumn("m", F.coalesce("m", F.array().cast("array<long>")))
-    apart = F.concat(F.array_except("tokens", "m"), F.array_except("m", "tokens"))
-    each = with_m.select("a", "node", "n", apart.alias("d"))
+    ends = members.groupBy("a").agg(F.min("node").alias("one"), F.max("node").alias("two"), F.count("*").alias("size"))
+    one, two = sets.toDF("one", "x"), sets.toDF("two", "y")
+    shared = ends.join(one, "one").join(two, "two").select("a", "size", F.array_intersect("x", "y").alias("m"))
+    own = members.join(sets, "node").join(shared, "a")
+    apart = lambda x, y: F.concat(F.array_except(x, y), F.array_except(y, x))
+    own = stored(own.select("a", "node", "size", F.size("tokens").cast("long").alias("n"), apart("tokens", "m").alias("d")))
+    differ = stored(own.select("a", "size", F.explode("d").alias("token")).groupBy("a", "size", "token").agg(F.count("*").alias("differ")))
+    most = differ.filter(F.col("differ") * 2 > F.col("size")).groupBy("a").agg(F.collect_list("token").alias("h"))
+    each = own.join(most, "a", "left").withColumn("h", F.coalesce("h", F.array().cast("array<long>"))).select("a", "node", "n", apart("d", "h").alias("d"))
     gap = F.size("d") * (rule.scale + rule.percent) - F.col("n") * (rule.scale - rule.percent)
     each = each.withColumn("gap", gap.cast("long"))
-    differ = F.least("held", F.col("size") - F.col("held")).alias("differ")
-    tokens = each.select("a", "node", "n", "gap", F.explode("d").alias("token")).join(held.select("a", "token", differ), ["a", "token"])
+    differ = differ.select("a", "token", F.least("differ", F.col("size") - F.col("differ")).alias("differ"))
+    tokens = each.select("a", "node", "n", "gap", F.explode("d").alias("token")).join(differ, ["a", "token"])
     order = F.row_number().over(W.partitionBy("a", "node").orderBy("differ", "token"))
     first = tokens.withColumn("place", order).filter(F.col("place") <= F.floor(F.col("n") * (rule.scale - rule.percent) / rule.percent) + 1)
     rows = first.select("a", F.xxhash64("a", "token").alias("key"), "node", "n", "gap")
@@ -314,7 +333,7 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
     smallest partner first, the others only if their ends are still apart. An index list of more than LISTED
     members (a large group of near copies) is compared with one member; members that do not end up in one
     component are all indexed again, with or without a link to that one, by what they differ in from what most of
-    their group shares (lists with common members are one group).
+    their group shares (lists with common members are one group); small groups are compared in pairs.
     """
     read = keyed_bytes(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(read_sets(rule), SET)
     sets = stored(read.withColumn("row", F.monotonically_increasing_id()))        # numbers are fixed once written
@@ -325,18 +344,19 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
     counts = stored(counts)
     # most tokens stand in one set only; a bitmap keeps them out of the shuffle
     known = documents.sparkSession.sparkContext.broadcast(Bitmap.of(counts.select(F.col("token").alias("key"))))
-    held = nodes.select("node", "n", "region").mapInArrow(held_tokens(known), "node long, n long, at int, token long")
-    shared = held.join(counts.select("token", (F.col("held") > FREQUENT).alias("hot")), "token")
-    shared = stored(shared)
-
-    listed = F.struct("token", "at", "hot")
-    hot_only = F.count_if("hot").alias("frequent")
-    marked = stored(shared.filter(F.col("hot") | (F.col("n") <= rule.singles)).groupBy("node", "n").agg(hot_only, F.collect_list(listed).alias("shared")))
+    shared = stored(nodes.select("node", "n", "region").mapInArrow(held_tokens(known), "node long, n long, token long").join(counts, "token"))
+
+    hot = F.col("held") > FREQUENT
+    listed = shared.filter(hot | (F.col("n") <= rule.singles)).groupBy("node", "n")
+    marked = listed.agg(F.count_if(hot).alias("frequent"), F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    first = (F.col("n") - F.size("shared")).cast("int")        # tokens of this set only come before all others
+    placed = F.transform("shared", lambda x, i: F.struct(x["token"].alias("token"), (first + i).alias("at"), (x["held"] > FREQUENT).alias("hot")))
+    marked = stored(marked.withColumn("shared", placed))
     index = stored(marked.mapInArrow(index_keys(rule), "key long, node long, n long"))
 
     # plain pairs: rare tokens in common, as many as the regions leave room for
     frequent = small(marked.select("node", "frequent"))
-    rare = shared.filter(~F.col("hot")).groupBy("token").agg(F.collect_list(F.struct("node", "n")).alias("members"))
+    rare = shared.filter(~hot).groupBy("token").agg(F.collect_list(F.struct("node", "n")).alias("members"))
     counted = pairs_of_sized(rare, rule).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
     fa, fb = frequent.toDF("a", "fa"), frequent.toDF("b", "fb")
     counted = counted.join(fa, "a", "left").join(fb, "b", "left")
@@ -354,9 +374,10 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
         stars = many.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "key")
         others = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if level == 0:
-            pairs = stored(near_regions(pairs.union(found).union(others).distinct(), nodes, rule))
+            pairs = pairs.union(found).union(others)
         else:       # pairs of lists are of two components already
-            pairs = stored(found.union(across(others.union(centred).distinct(), classes)).distinct())
+            pairs = found.union(across(others.union(centred).distinct(), classes))
+        pairs = stored(alike(pairs.distinct(), nodes, rule))
         if tokens is None:
             tokens = whole_sets(documents, nodes, ends_of(pairs), rule)
         nearest = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -370,28 +391,39 @@ def join_sets(documents: DataFrame, rule: Rule) -> DataFrame:
             break
         apart = classes_of(many.drop("class"), classes).groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
         again = stored(stars.join(apart, "key", "left_semi").select("a", "b").distinct())
-        if level == 0:      # members of open lists that no pair with their centre named
-            absent = ends_of(again).join(small(tokens.select("node")), "node", "left_anti")
-            tokens = tokens.union(whole_sets(documents, nodes, absent, rule))
         # lists that share members are one group, so that each member is written once a level
         groups = components(again).withColumnRenamed("component", "a")
-        parted = stored(differences(groups, tokens, rule))
+        groups = stored(groups.join(many.select("node", "n").distinct(), "node").withColumn("size", F.count("*").over(W.partitionBy("a"))))
+        whole = F.col("size") <= GROUPED * LISTED
+        by_group = classes_of(groups.filter(whole), classes).groupBy("a").agg(F.collect_list(F.struct("node", "n", "class")).alias("members"))
+        if level == 0:      # members of open lists that no pair with their centre named
+            absent = groups.select("node").join(small(tokens.select("node")), "node", "left_anti")
+            tokens = tokens.union(whole_sets(documents, nodes, absent, rule))
+        parted = stored(differences(groups.filter(~whole).select("node", "a"), tokens, rule))
         nearest = parted.groupBy("a").agg(F.min(F.struct("gap", "node"))["node"].alias("m"))
         centred = parted.select("a", "node").distinct().join(nearest, "a").filter("node <> m").select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b"))
+        centred = centred.union(pairs_of(by_group, rule))
         lists = parted.select("key", "node", "n")
     return classes_of(sets.select("k_id", "k_sum", "doc_id", F.col("n").alias("n_shingles"), "node"), classes)
 
 
-def near_regions(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs whose regions share as many tokens as a link needs: all that one region's slack leaves in the other."""
+def alike(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose sizes and parities allow a link; none that links goes."""
     def side(end: str, n: str, name: str) -> DataFrame:
-        return nodes.join(wanted.filter(f"in_{end}"), "node", "left_semi").select(F.col("node").alias(end), F.col("n").alias(n), F.col("region").alias(name))
+        return nodes.join(wanted.filter(f"in_{end}"), "node", "left_semi").select(F.col("node").alias(end), F.col("n").alias(n), F.col("odd").alias(name))
+
+    def half(name: str) -> Column:
+        longs = (F.size(name) / 2).cast("int")
+        return F.zip_with(F.slice(name, F.lit(1), longs), F.slice(name, longs + 1, longs), lambda p, q: p.bitwiseXOR(q))
 
     pairs = stored(pairs)
     wanted = ends_known(pairs)
-    joined = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
-    room = F.least(region_room(rule, "n"), region_room(rule, "m"))
-    return joined.filter(F.size(F.array_intersect("x", "y")) >= room).select("a", "b")
+    met = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").filter(comparable(rule, F.col("n"), F.col("m")))
+    met = met.withColumn("u", F.when(F.size("x") == 2 * F.size("y"), half("x")).otherwise(F.col("x")))
+    met = met.withColumn("v", F.when(F.size("y") == 2 * F.size("x"), half("y")).otherwise(F.col("y")))
+    other = F.aggregate(F.zip_with("u", "v", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    least = F.when(F.size("u") == F.size("v"), other).otherwise(0)     # tokens in which the sets differ at least
+    return met.filter((rule.scale + rule.percent) * least.cast("long") <= (rule.scale - rule.percent) * (F.col("n") + F.col("m"))).select("a", "b")
 
 
 def pairs_of_sized(lists: DataFrame, rule: Rule) -> DataFrame:

@@ -4,11 +4,13 @@ from collections import Counter
 from itertools import combinations
 from math import comb
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from texts import equal_checksums, words_of
 
 from partwise.llm import jaccard
+from partwise.llm.graph import components
 from partwise.llm.jaccard import Rule, join_sets, link_documents, one_of_each
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,6 +136,62 @@ def test_keys_of_long_lists_in_little_memory():
     assert most < 40e6, most
 
 
+def test_parities_settle_pairs_and_lose_none(spark):
+    rng, rule = random.Random(6), Rule(3, 90)
+    sets = []
+    for size in (1, 5, 31, 33, 60, 130, 500, 1030):         # near the steps of the bits' lengths, so that halves meet
+        one = [rng.getrandbits(63) for _ in range(size)]
+        for share in (1, 0.99, 0.97, 0.95, 0.93, 0.9, 0.8, 0.5, 0):
+            sets.append(np.array(sorted({*rng.sample(one, int(share * size)), *(rng.getrandbits(63) for _ in range(size - int(share * size)))}), np.int64))
+    n = np.array([len(s) for s in sets])
+    bits, longs = jaccard.parities(np.concatenate(sets), n)
+    assert (64 * longs >= 2 * n).all() and (longs < np.maximum(n / 16, 2)).all()
+    nodes = spark.createDataFrame([(i, int(m), b.tolist()) for i, (m, b) in enumerate(zip(n, np.split(bits, np.cumsum(longs)[:-1]), strict=True))], "node long, n long, odd array<long>")
+    ends = list(combinations(range(len(sets)), 2))
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in ends}
+    left = {tuple(r) for r in jaccard.alike(spark.createDataFrame(ends, "a long, b long"), nodes, rule).collect()}
+    assert {(a, b) for a, b in ends if rule.linked(both[a, b], n[a], n[b])} <= left
+    assert not any(both[p] < 0.75 * min(n[p[0]], n[p[1]]) for p in left if n[p[0]] > 100)
+
+
+def test_small_sets_of_many_common_tokens_are_indexed_by_the_rarest(spark, monkeypatch):
+    rng, stored, index = random.Random(8), jaccard.stored, []
+    rows = [(i, " ".join([*(f"c{j}" for j in range(20)), *(f"u{i}x{j}" for j in range(14))])) for i in range(40)]       # 32 shingles, 18 of them common
+    rows += [(100 + i, " ".join(f"p{j}" for j in range(30)) + f" q{i}") for i in range(20)] + [(200, rows[0][1])]
+    rng.shuffle(rows)
+
+    def kept(df):
+        out = stored(df)
+        index.extend([out] if out.columns == ["key", "node", "n"] else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", kept)
+    check(spark.createDataFrame(rows, "doc_id long, text string"), Rule(3, 90))
+    assert index[0].filter("n = 32").count() == 0 < index[0].filter("n = 29").count()
+
+
+def test_groups_turn_what_two_share_into_their_consensus(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(62) for _ in range(60)]
+    sets = {i: sorted({*base} - {*rng.sample(base, 2)} | {rng.getrandbits(62) for _ in range(2)}) for i in range(9)}
+    sets |= {9: sorted(rng.getrandbits(62) for _ in range(60)), 10: sorted({*base})}        # the last two share nothing
+    members = spark.createDataFrame([(0, i) for i in sets], "a long, node long")
+    table = spark.createDataFrame(list(sets.items()), "node long, tokens array<long>")
+    rows = jaccard.differences(members, table, Rule(3, 90)).collect()
+    held = Counter(t for s in sets.values() for t in s)
+    middle = {t for t, c in held.items() if 2 * c > len(sets)}
+    gaps = {i: len({*s} ^ middle) * 190 - len(s) * 10 for i, s in sets.items()}
+    assert {r.node: r.gap for r in rows} == gaps
+    assert all(n <= 60 // 9 + 1 for n in Counter(r.node for r in rows).values())
+
+
+def test_chains_are_united_in_one_task(spark):
+    order = random.Random(2).sample(range(5000), 5000)
+    links = list(zip(order[:3000], order[1:3001], strict=True)) + [(order[4000], order[4001])]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {n: min(order[:3001]) for n in order[:3001]} | {n: min(order[4000:4002]) for n in order[4000:4002]}
+
+
 def test_chance_matches_of_large_sets_are_not_sure():
     n, both = 1_000_000, 947_365                    # one of 947,369 needed at 90 % of 3-word shingles is missing, and three more
     rule, chance = Rule(3, 90), n * n / 2 ** 32
