@@ -273,7 +273,7 @@ def encode_documents(documents: DataFrame, pieces: Pieces, text_col: str = "text
         cache: dict[str, int] = {}
         flat, first, many = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            for part in portions(batch, at):
+            for part in portions(batch, at, 1 << 19):
                 texts = part.column(at).to_pylist()
                 words = [words_of(t or "") for t in texts]
                 if len(cache) > CACHED_WORDS:

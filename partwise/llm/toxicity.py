@@ -135,7 +135,7 @@ def score_texts(documents: DataFrame, machine: Machine, text_col: str = "text",
         import pyarrow as pa
 
         for batch in batches:
-            for part in portions(batch, batch.num_columns - 1):
+            for part in portions(batch, batch.num_columns - 1, 1 << 20):
                 scores = shared.value.scores(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, out])
 

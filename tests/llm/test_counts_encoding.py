@@ -93,3 +93,27 @@ def test_cache_limit_changes_nothing(spark, edge, pieces, monkeypatch):
     before = sorted(map(tuple, encode_documents(df, pieces).select("doc_id", "ids").collect()))
     monkeypatch.setattr(encoding, "CACHED_WORDS", 10)
     assert before == sorted(map(tuple, encode_documents(df, pieces).select("doc_id", "ids").collect()))
+
+
+def test_memory_of_the_kernel_does_not_grow_with_a_batch(spark, monkeypatch):
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from partwise.llm.encoding import encode_documents
+    from partwise.llm.pieces import Pieces
+
+    docs, kernels = spark.createDataFrame([(1, "a")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: kernels.append(f) or self)
+    encode_documents(docs, Pieces.load())
+    rng, most = random.Random(1), []
+    words = [f"w{i}" for i in range(2000)]
+    for rows in (300, 1500):
+        texts = [" ".join(rng.choices(words, k=500)) for _ in range(rows)]
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(rows)), "text": texts})
+        tracemalloc.start()
+        assert sum(b.num_rows for b in kernels[0](iter([batch]))) == rows
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert most[1] < 1.5 * most[0], most
