@@ -59,6 +59,26 @@ def test_mutual_information_equals_brute_force(spark, per_bucket):
     assert got[1] > got[2] + 0.05      # an informative sparse column ranks above a noisy one
 
 
+def test_mutual_information_of_rare_labels_and_several_clusters_moves_no_row_per_cell(spark):
+    """Labels of two rows whose neighbours lie several ranges away, a label of one row, a null label, a NaN column; large and small clusters."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 2)), 2)
+    label = np.concatenate([np.arange(20) // 2 + 5, rng.integers(0, 2, 279), [99]]).astype(float)
+    cluster = np.where(np.arange(300) % 10 == 3, 1, 0)
+    wide = np.column_stack([x, np.where(np.arange(300) == 50, np.nan, 1.0)])
+    rows = sparse_frame(spark, wide, label, cluster).unionByName(sparse_frame(spark, [[1.0]], [0.0]).withColumn("label", mi.F.lit(None).cast("double")))
+    shape = spark.createDataFrame([(0, 3), (1, 3)], "cluster_id int, d int")
+    u = np.array([r["u"] for r in rows.filter("label is not null").withColumn("u", mi.hash_uniform(42, "row_id", "copy")).orderBy("row_id").collect()])
+    scores = mi.mutual_information(rows, shape, per_bucket=60)
+    plan = scores._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "lag(" not in plan
+    got = {(r["cluster_id"], r["feature"]): r["score"] for r in scores.collect()}
+    for c in (0, 1):
+        many = [i for i in np.flatnonzero(cluster == c) if (label[cluster == c] == label[i]).sum() > 1]
+        assert np.allclose([got[c, 0], got[c, 1]], brute_mutual(x[many], label[many], u[many]), atol=1e-8)
+    assert got[0, 2] == 0.0 and len(got) == 6
+
+
 @pytest.mark.parametrize("per_bucket", [1_000_000, 20])
 def test_quantile_edges_equal_numpy(spark, per_bucket):
     x, label = mixed()
