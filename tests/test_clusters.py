@@ -210,3 +210,22 @@ def test_own_clusterer_predicts_from_the_features_it_was_fitted_on(points):
     cascade.fit_predict(points)
     assert cascade.predict(points).filter("cluster_id < 0").count() == 0
     assert len(seen) == 2 and seen[0] == seen[1] == 1
+
+
+def test_silhouette_shuffles_no_pair_of_blocks(spark, monkeypatch):
+    """Blocks are written once and read past each other; only rows, sums and labels go through shuffles."""
+    import numpy as np
+
+    monkeypatch.setattr(ks, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ks, "PARTS", 5)
+    x, label = blobs(150)
+    rows = sparse_frame(spark, x, label).withColumn("labels", F.array(F.col("label").cast("int"), (F.col("row_id") % 7).cast("int")))
+    scores = ks.silhouette(rows, ["a", "b"])
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "hashpartitioning(a" not in plan
+    got = {r["name"]: r["score"] for r in scores.collect()}
+    away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for name, labels in (("a", label), ("b", np.arange(150) % 7)):
+        own = np.array([away[i, labels == labels[i]].sum() / ((labels == labels[i]).sum() - 1) for i in range(150)])
+        other = np.array([min(away[i, labels == c].mean() for c in set(labels) - {labels[i]}) for i in range(150)])
+        assert np.isclose(got[name], ((other - own) / np.maximum(own, other)).mean())
