@@ -9,7 +9,7 @@ from ..operators import construct as ct
 from ..operators import independence as ind
 from ..operators import mutual as mi
 from ..operators.rows import apply_selection, cells_of, selection_map
-from ..session import small
+from ..session import small, stored
 from ..sources import profile as pf
 from ..sources import tables as tb
 from .registry import query
@@ -91,8 +91,8 @@ def _token_clusters(spark, sf):
     return rows, tb.token_cells(spark, sf).select("row_id", "feature", "value", cluster)
 
 
-def _independence(spark, sf):
-    rows, cells = _token_clusters(spark, sf)
+def _independence(spark, sf, tokens=None):
+    rows, cells = tokens or _token_clusters(spark, sf)
     return ind.Independence(cells, rows.groupBy("cluster_id").agg(F.count("*").alias("n")), cells.agg(F.max("feature") + 1).first()[0] or 0)
 
 
@@ -121,8 +121,8 @@ num AS (SELECT *, sum(selected::INT) OVER (PARTITION BY cluster_id ORDER BY feat
 SELECT c.cluster_id, c.row_id, num.o::INT AS feature, c.value FROM tok_cells c JOIN num USING (cluster_id, feature) WHERE selected""")
 def independence_replay(spark, sf):
     from ..operators.rows import project_selected
-    _, cells = _token_clusters(spark, sf)
-    return project_selected(cells, _independence(spark, sf).selection(0.01)).select("cluster_id", "row_id", F.col("feature").cast("int").alias("feature"), "value")
+    rows, cells = _token_clusters(spark, sf)
+    return project_selected(cells, stored(_independence(spark, sf, (rows, cells)).selection(0.01))).select("cluster_id", "row_id", F.col("feature").cast("int").alias("feature"), "value")
 
 
 # --- construction ----------------------------------------------------------------------------

@@ -106,3 +106,23 @@ def test_profile_of_bags_equals_that_of_rows(spark):
     bags = rw.cells_of(rows).select("row_id", rw.F.concat(rw.F.lit("t"), "feature").alias("token"))
     key = lambda df: sorted((r["label"], r["label_count"], r["n_samples"]) for r in df.collect())
     assert key(pf.profile_bags(rows, bags)) == key(pf.profile(rows)) and pf.profile_bags(rows, bags).first()["n_features"] == 2
+
+
+def test_tokens_are_counted_where_their_document_is_and_once(spark, tmp_path, monkeypatch):
+    """Repeated and null ids add up; the query reads the documents a single time, and no cluster's cells meet in one task."""
+    from partwise.plans import feature_queries as fq
+    from partwise.sources import tables as tb
+
+    texts = [(1, "a b  a"), (1, "B c"), (2, ""), (None, "a"), (None, "a d"), (3, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counts = tb.token_counts(spark, str(tmp_path), False)
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted([(1, "a", 2), (1, "b", 2), (1, "c", 1), (None, "a", 2), (None, "d", 1)], key=str)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "token" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    made = []
+    cells = tb.token_cells
+    monkeypatch.setattr(tb, "token_cells", lambda *a: made.append(1) or cells(*a))
+    replayed = fq.independence_replay(spark, str(tmp_path))
+    assert len(made) == 1 and "hashpartitioning(cluster_id, 4)" not in replayed._jdf.queryExecution().toString()
+    replayed.collect()
