@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import query, stored, table
+from ..session import cut
+from .common import query, table
 from .vectors import cosine, doubles, matrix, unit, usable
 
 SHARD_ROWS = 4096       # vectors of a tree, about
 BLOCK_ROWS = 1024       # queries searched together, about
+TURN_BLOCKS = 8         # query blocks that a task leads past one tree
+TREE_FILES = 2000       # at most
 LEAF_ROWS = 64
 NOISE = 1e-10           # of a cosine from a matrix product, at most; what lies closer is told apart by the exact cosine
 SLACK = 1e-6            # of a distance: the root of such noise near 0 (copies come out up to about 2e-8 apart)
@@ -113,8 +116,9 @@ class VantageTree:
 
 
 def build_index(vectors: DataFrame, id_col: str, vector_col: str, rows: int | None = None) -> tuple[DataFrame, int]:
-    """(shard, tree) rows, stored, and the number of shards. Every usable vector is in one tree; shards are by hash
-    of the id, so that their sizes do not depend on the data."""
+    """(shard, tree) rows and the number of shards. Every usable vector is in one tree; shards are by hash of the id, so
+    that their sizes do not depend on the data. They are checkpointed in files of a few trees: a Parquet writer looks at
+    its size after 100 values, and a reader holds what a file has."""
     good = doubles(vectors.filter(usable(F.col(vector_col))).select(id_col, vector_col), vector_col)
     shards = max(1, -(-(rows if rows is not None else good.count()) // SHARD_ROWS))
     keyed = good.select(F.pmod(F.xxhash64(id_col, vector_col), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
@@ -125,14 +129,14 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, rows: int | No
         tree = VantageTree(group.column("id").to_numpy(), matrix(group.column("v")))
         return pa.table({"shard": group.column("shard").slice(0, 1).cast(pa.int32()), "tree": pa.array([tree.packed()], pa.binary())})
 
-    return stored(keyed.groupBy("shard").applyInArrow(build, "shard int, tree binary")), shards
+    return cut(keyed.repartition(min(shards, TREE_FILES), "shard").groupBy("shard").applyInArrow(build, "shard int, tree binary")), shards
 
 
 def search_index(index: DataFrame, shards: int, queries: DataFrame, id_col: str, vector_col: str, k: int, factor: float = 1.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each usable query by cosine, itself (its id) left out.
 
-    Queries meet every tree in blocks of about BLOCK_ROWS; each pair of tree and block gives k rows a query, and
-    the k best of all trees remain. Ties go to the smaller id. An id or vector that repeats is a candidate each
+    Queries meet every tree in blocks of about BLOCK_ROWS, led past it in turns; each pair of tree and block gives k rows a
+    query, and the k best of all trees remain. Ties go to the smaller id. An id or vector that repeats is a candidate each
     time; a query that repeats is answered each time it differs in its vector. An empty table finds nothing.
     """
     good = doubles(queries.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(id_col, vector_col), vector_col).distinct()
@@ -146,14 +150,25 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, id_col: str,
 
     keyed = good.select(F.pmod(F.xxhash64(id_col, vector_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     packed = keyed.groupBy("block").applyInArrow(pack, "block int, queries binary")
-    work = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(max(shards, blocks), "shard", "block").join(index, "shard")
+    turns = max(1, -(-blocks // TURN_BLOCKS))
+    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    asked = packed.withColumn("shard", each).select("shard", (F.col("block") % turns).alias("turn"), "block", F.col("queries").alias("data"))
+    trees = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).select("shard", "turn", F.lit(-1).alias("block"), F.col("tree").alias("data"))
+    # A tree comes once for all blocks of its turn, ahead of them, and no partition holds more than a few trees.
+    work = trees.unionByName(asked).repartition(2 * shards * turns, "shard", "turn").sortWithinPartitions("shard", "turn", "block")
 
     def search(batches):
         import pyarrow as pa
 
+        key = tree = None
         for batch in batches:
-            for tree, block in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                tree, (ids, vectors) = VantageTree.unpacked(tree.as_py()), pickle.loads(block.as_py())
+            for i, (shard, turn, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "turn", "block")), strict=True)):
+                if at < 0:
+                    key, tree = (shard, turn), VantageTree.unpacked(batch.column("data")[i].as_py())
+                    continue
+                if key != (shard, turn):        # a shard without vectors
+                    continue
+                ids, vectors = pickle.loads(batch.column("data")[i].as_py())
                 if tree.vectors.shape[1] != vectors.shape[1]:
                     raise ValueError("vectors of different lengths")
                 found = tree.search(ids, vectors, k, factor)
@@ -161,7 +176,7 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, id_col: str,
                 hit = found[q, j]
                 yield pa.RecordBatch.from_pydict({"query_id": ids[q], "vec_id": tree.ids[hit], "score": cosine(vectors[q], tree.vectors[hit])})
 
-    near = work.select("tree", "queries").mapInArrow(search, "query_id long, vec_id long, score double")
+    near = work.mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

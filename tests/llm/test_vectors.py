@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from partwise.llm import near, neighbours
+from partwise.llm import near, neighbours, vectors
 from partwise.llm.near import near_duplicates, prune
 from partwise.llm.neighbours import VantageTree, build_index, search_index
 
@@ -161,3 +161,23 @@ def test_pruning_keeps_the_nearest_and_spreads():
     np.fill_diagonal(s, -2)
     assert (graph[:, 0] == s.argmax(axis=1)).all()
     assert neighbours.LEAF_ROWS and all(len(set(g[g >= 0])) == (g >= 0).sum() for g in graph)
+
+
+def test_a_tree_is_sent_once_for_a_turn_of_query_blocks(spark, monkeypatch):
+    """Trees and blocks travel as rows of their own, so no row pairs a tree with a block, and no join holds them together."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 40)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(neighbours, "TURN_BLOCKS", 2)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 6)).round(1)
+    x[150:] = x[:50]
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    index, shards = build_index(rows, "vec_id", "embedding")
+    found = search_index(index, shards, rows.filter("vec_id % 3 = 0"), "vec_id", "embedding", 4)
+    assert shards > 3 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    cos = vectors.cosine(np.repeat(x, 200, 0), np.tile(x, (200, 1))).reshape(200, 200)
+    for q in range(0, 200, 3):
+        assert got[q] == [i for i in np.lexsort((np.arange(200), -cos[q])) if i != q][:4]
